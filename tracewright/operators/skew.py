@@ -18,7 +18,7 @@ SMALL_BYTES = 32 * 1024 * 1024
 
 def planned_bytes(df: DataFrame) -> int:
     """The planner's size estimate; file scans give their real size."""
-    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
 
 
 def hot_keys(df: DataFrame, on: list[str], rows_per_salt: int = ROWS_PER_SALT) -> DataFrame:

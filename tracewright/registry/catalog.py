@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tracewright.registry import graph  # noqa: F401
+from tracewright.registry import graph, reads  # noqa: F401
 from tracewright.registry.base import ORACLES, QUERIES
 
 
