@@ -49,6 +49,11 @@ def parse_event_payload(payload: Column) -> Column:
     return F.coalesce(F.map_from_entries(last), F.create_map().cast("map<string,string>"))
 
 
+def without_blanks(values: Column) -> Column:
+    """Map entries with a non-blank value."""
+    return F.map_filter(values, lambda _, v: v.isNotNull() & (v != ""))
+
+
 def classify_auth_identity(username: Column) -> Column:
     """Class of a log user name."""
     value = clean(username)
@@ -66,27 +71,30 @@ def _labelled(label: str, value: Column) -> Column:
 
 
 def persistence_observation(event_id: Column, payload: Column, attributes: Column) -> Column:
-    """Readable text of a persistence or account event."""
+    """Readable text of a persistence or account event.
+
+    ``payload`` is a map column without blank values.
+    """
 
     def field(name: str) -> Column:
-        return nonblank(F.try_element_at(payload, F.lit(name)))
+        return F.try_element_at(payload, F.lit(name))
 
     def attr(name: str) -> Column:
         return nonblank(F.try_element_at(attributes, F.lit(name)))
 
     target, domain = field("TargetUserName"), field("TargetDomainName")
     qualified = F.coalesce(F.concat(domain, F.lit("\\"), target), target, F.lit("UNKNOWN"))
-    service = F.concat_ws(
-        " | ",
+    service_parts = [
         _labelled("Service: ", field("ServiceName")),
         _labelled("Image: ", F.coalesce(field("ImagePath"), attr("executable_info"))),
         _labelled("Start: ", field("StartType")),
         _labelled("Account: ", field("AccountName")),
-    )
-    member = F.coalesce(F.nullif(field("MemberName"), F.lit("-")), field("MemberSid"))
+    ]
+    service = F.when(F.coalesce(*service_parts).isNotNull(), F.concat_ws(" | ", *service_parts))
+    member = F.coalesce(F.when(field("MemberName") != "-", field("MemberName")), field("MemberSid"))
     task = F.coalesce(field("TaskName"), field("TaskContent"))
     return (
-        F.when(event_id == "7045", F.coalesce(nonblank(service), F.lit("Service installation event")))
+        F.when(event_id == "7045", F.coalesce(service, F.lit("Service installation event")))
         .when(
             event_id == "4720",
             F.concat_ws(" | ", _labelled("Account created: ", qualified), _labelled("SID: ", field("TargetSid"))),

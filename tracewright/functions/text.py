@@ -32,7 +32,8 @@ def clean(value: Column | str) -> Column:
 
 def nonblank(value: Column | str) -> Column:
     """Trimmed text, blank becomes NULL."""
-    return F.nullif(trim(_c(value).cast("string")), F.lit(""))
+    text = trim(_c(value).cast("string"))
+    return F.when(text != "", text)
 
 
 def norm_text(value: Column | str) -> Column:

@@ -12,6 +12,7 @@ from tracewright.functions.payload import (
     classify_auth_identity,
     parse_event_payload,
     persistence_observation,
+    without_blanks,
 )
 from tracewright.functions.text import first_nonempty
 from tracewright.plans.lookups import activity_display, specific_path, trusted_time
@@ -148,7 +149,7 @@ def persistence_events(
         .orderBy(F.desc("event_ts"), "event_uid")
         .limit(pool)
     )
-    payload = parse_event_payload(F.try_element_at("attributes", F.lit("payload")))
+    payload = without_blanks(parse_event_payload(F.try_element_at("attributes", F.lit("payload"))))
     return (
         newest.withColumn("payload", payload)
         .select(

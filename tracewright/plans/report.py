@@ -6,7 +6,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tracewright.functions.labels import first_match, lookup
-from tracewright.functions.payload import PERSISTENCE_LABELS, parse_event_payload, persistence_observation
+from tracewright.functions.payload import (
+    PERSISTENCE_LABELS,
+    parse_event_payload,
+    persistence_observation,
+    without_blanks,
+)
 from tracewright.functions.text import clean, collapse, first_nonempty, nonblank
 from tracewright.operators.skew import top_n
 from tracewright.plans.lookups import activity_display, specific_path, trusted_time
@@ -69,16 +74,13 @@ def evidence_display(payload: Column) -> Column:
         F.when(~mapped.isin("{}", "[]", "null"), mapped)
     )
     name, data = nonblank("registry_value_name"), nonblank("registry_value_data")
-    registry_text = F.concat_ws(
-        " | ", nonblank("registry_key"), F.coalesce(F.concat(name, F.lit("="), data), name)
-    )
+    parts = [nonblank("registry_key"), F.coalesce(F.concat(name, F.lit("="), data), name)]
+    registry_text = F.when(F.coalesce(*parts).isNotNull(), F.concat_ws(" | ", *parts))
     special = F.when(F.col("artifact_type") == "evtx", log_text).when(
         F.col("artifact_type") == "registry", registry_text
     )
     return F.coalesce(
-        nonblank(special),
-        nonblank(activity_display("target_path", "path", "executable", "command_line", "description")),
-        F.lit(""),
+        special, activity_display("target_path", "path", "executable", "command_line", "description")
     )
 
 
@@ -132,7 +134,7 @@ def evidence_streams(events: DataFrame, supports: DataFrame, *, preserved: bool
         reasons.select("event_uid"), "event_uid", "left_anti"
     )
     rows = supported.unionByName(pools).withColumn(
-        "_payload", parse_event_payload(F.try_element_at("attributes", F.lit("payload")))
+        "_payload", without_blanks(parse_event_payload(F.try_element_at("attributes", F.lit("payload"))))
     )
     rows = rows.withColumn("display", evidence_display(F.col("_payload")))
     noise = (F.col("selection_priority") != 100) & (clean("description") == REGISTRY_NOISE)

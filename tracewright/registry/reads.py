@@ -11,7 +11,7 @@ from tracewright.plans import activity as A
 from tracewright.plans import lookups as L
 from tracewright.plans import report as R
 from tracewright.registry.base import query
-from tracewright.registry.views import EV_CTE, events_view, table
+from tracewright.registry.views import EV_CTE, events_view, stored_events, table
 
 EV = f"WITH {EV_CTE} "
 
@@ -160,7 +160,7 @@ def group_counts(spark, sf_dir):
     (SELECT windows_event_id, count(*) AS n FROM ev WHERE source_tool = 'evtxecmd' GROUP BY 1) c ON c.windows_event_id = v.event_id""",
 )
 def zero_filled_counts(spark, sf_dir):
-    return A.label_counts(events_view(spark, sf_dir), A.PERSISTENCE_LABELS)
+    return A.label_counts(stored_events(spark, sf_dir), A.PERSISTENCE_LABELS)
 
 
 AUTH_SQL = (
@@ -178,13 +178,13 @@ AUTH_SQL = (
     CASE identity_class WHEN 'USER / OTHER' THEN 0 WHEN 'UNKNOWN' THEN 1 ELSE 2 END, timestamp DESC, event_uid LIMIT 30""",
 )
 def auth_ranking(spark, sf_dir):
-    newest = A.newest_auth(events_view(spark, sf_dir))
+    newest = A.newest_auth(stored_events(spark, sf_dir))
     return A.ranked_auth(newest).select("event_uid", "timestamp", "event_id", "username", "identity_class")
 
 
 @query("identity_counts", AUTH_SQL + "SELECT identity_class, count(*) AS n FROM pool GROUP BY 1")
 def identity_counts(spark, sf_dir):
-    return A.identity_counts(A.newest_auth(events_view(spark, sf_dir)))
+    return A.identity_counts(A.newest_auth(stored_events(spark, sf_dir)))
 
 
 @query(
@@ -205,7 +205,7 @@ def eav_pivot(spark, sf_dir):
     WHERE rn = 1 ORDER BY k DESC, timestamp DESC, event_uid LIMIT 40""",
 )
 def latest_prefetch(spark, sf_dir):
-    return A.top_prefetch(events_view(spark, sf_dir)).select("run_key", "event_uid", "timestamp", "runs")
+    return A.top_prefetch(stored_events(spark, sf_dir)).select("run_key", "event_uid", "timestamp", "runs")
 
 
 @query(
@@ -224,7 +224,7 @@ def process_creation(spark, sf_dir):
     GROUP BY timestamp, target_path, timestamp_source ORDER BY max(ts) DESC, event_uid LIMIT 30""",
 )
 def shell_items(spark, sf_dir):
-    return A.shell_items(events_view(spark, sf_dir), preserved=False).select(
+    return A.shell_items(stored_events(spark, sf_dir), preserved=False).select(
         "event_uid", "timestamp", "display_value", "timestamp_source"
     )
 
@@ -239,7 +239,7 @@ def shell_items(spark, sf_dir):
     ORDER BY ts DESC, event_uid LIMIT 50""",
 )
 def persistence_events(spark, sf_dir):
-    return A.persistence_events(events_view(spark, sf_dir)).select("event_uid", "timestamp", "event_id", "observation")
+    return A.persistence_events(stored_events(spark, sf_dir)).select("event_uid", "timestamp", "event_id", "observation")
 
 
 @query(
@@ -249,7 +249,7 @@ def persistence_events(spark, sf_dir):
     WHERE timestamp_source NOT LIKE 'LNK.Source%' ORDER BY timestamp, event_uid LIMIT 500""",
 )
 def timeline_examples(spark, sf_dir):
-    return L.timeline_examples(events_view(spark, sf_dir), preserved=False).select("event_uid", "timestamp", "display")
+    return L.timeline_examples(stored_events(spark, sf_dir), preserved=False).select("event_uid", "timestamp", "display")
 
 
 @query(
@@ -303,7 +303,7 @@ SUPPORT_CTE = (
     FROM s3 ORDER BY prio DESC, timestamp, event_uid LIMIT 40""",
 )
 def diversified_topn(spark, sf_dir):
-    events = events_view(spark, sf_dir)
+    events = stored_events(spark, sf_dir)
     k = F.col("attributes")["k"].cast("long")
     user = F.regexp_extract("username", r"(\d+)$", 1).cast("long")
     supports = (

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from tracewright.functions.times import format_ts
 from tracewright.schema import conform
-from tracewright.session import prepare
+from tracewright.session import cut_lineage, prepare
 
 CASE = "DEMO"
 
@@ -198,3 +198,8 @@ def staged(spark: SparkSession, sf_dir: str, name: str, build):
     if key not in _STAGES:
         _STAGES[key] = build()
     return _STAGES[key]
+
+
+def stored_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The events view as a written table, as an importer would leave it."""
+    return staged(spark, sf_dir, "events", lambda: cut_lineage(events_view(spark, sf_dir)))
