@@ -126,22 +126,26 @@ def classify_paths(df: DataFrame, path: str, profile: str = "windows_standard")
     rules = STANDARD_RULES if profile == "windows_standard" else INVESTIGATION_RULES
     located = df.withColumn("logical_path", logical_path(F.col(path)))
     target = F.col("logical_path")
-    number = F.lit(None).cast("int")
-    for i in reversed(range(len(rules))):
-        number = F.when(target.rlike(f"(?is)^{rules[i][3]}$"), F.lit(i)).otherwise(number)
-    matched = located.withColumn("_rule", number)
+    def chain(cases: list[tuple[Column, Column]]) -> Column:
+        (condition, value), *rest = cases
+        out = F.when(condition, value)
+        for condition, value in rest:
+            out = out.when(condition, value)
+        return out
+
+    pattern = lambda rule: f"(?is)^{rule[3]}$"
+    number = chain([(target.rlike(pattern(rule)), F.lit(i)) for i, rule in enumerate(rules)])
+    # A one-element explode keeps later filters on the rule from repeating all
+    # pattern tests below it.
+    matched = located.select("*", F.explode_outer(F.array(number)).alias("_rule"))
 
     def by_rule(make) -> Column:
-        chain = F.lit(None).cast("string")
-        for i, rule in enumerate(rules):
-            chain = F.when(F.col("_rule") == i, make(rule)).otherwise(chain)
-        return chain
+        return chain([(F.col("_rule") == i, make(rule)) for i, rule in enumerate(rules)])
 
     def labels(position: int) -> Column:
         values = F.array(*[F.lit(rule[position]) for rule in rules])
         return F.when(F.col("_rule").isNotNull(), F.get(values, F.col("_rule")))
 
-    pattern = lambda rule: f"(?is)^{rule[3]}$"
     return matched.select(
         *df.columns, "logical_path",
         labels(1).alias("family"), labels(2).alias("artifact_type"),

@@ -1,7 +1,8 @@
 """Importing parser outputs into the event store.
 
-The store is a parquet table partitioned by case and tool. The ledger is a
-small table with one row per import attempt.
+The store is a parquet table partitioned by import batch, case and tool. A
+batch overwrites its own folder, so an import that runs again after a failure
+leaves no doubles. The ledger is a small table with one row per import attempt.
 """
 
 from __future__ import annotations
@@ -13,11 +14,13 @@ from pyspark.sql import types as T
 from tracewright.operators.skew import first_by
 from tracewright.schema import EVENT_SCHEMA, union_all
 from tracewright.session import cut_lineage
-from tracewright.sources.parsers import ADAPTERS, split_unparseable
+from tracewright.sources.inventory import fingerprints, list_files
+from tracewright.sources.parsers import ADAPTERS, number_records, split_unparseable
 
 # Ledger states, gap-fill order and its states.
 PARTIAL, COMPLETED = "PARTIAL", "COMPLETED"
 GAP_FILL_ORDER = ["recmd", "lecmd", "hayabusa"]
+MAX_WHOLE_FILE = 256 * 1024 * 1024
 NO_SOURCE, ALREADY, FILLED = "SKIPPED_NO_SOURCE", "ALREADY_COMPLETE", "COMPLETED_MISSING_EVENTS"
 
 LEDGER_SCHEMA = T.StructType(
@@ -59,9 +62,12 @@ def _read(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
         return spark.createDataFrame([], schema)
 
 
-def read_events(spark: SparkSession, store: str) -> DataFrame:
-    """The event store; empty before the first import."""
-    return _read(spark, f"{store}/events", EVENT_SCHEMA)
+def read_events(spark: SparkSession, store: str, *, without_batch: str | None = None) -> DataFrame:
+    """The event store; empty before the first import. One batch can be left out."""
+    rows = _read(spark, f"{store}/events", EVENT_SCHEMA)
+    if without_batch is not None and "batch" in rows.columns:
+        rows = rows.filter(F.col("batch") != without_batch)
+    return rows.select(*EVENT_SCHEMA.names)
 
 
 def read_ledger(spark: SparkSession, store: str) -> DataFrame:
@@ -80,13 +86,13 @@ def first_by_uid(events: DataFrame) -> DataFrame:
     return first_by(events, ["event_uid"], ["provenance.source_row", "timestamp"]).select(*events.columns)
 
 
-def append_events(events: DataFrame, store: str) -> None:
-    """Append rows, clustered by partition and sorted by time for skipping."""
+def write_batch(events: DataFrame, store: str, batch: str) -> None:
+    """Write one batch, sorted by partition and time for skipping."""
     (
         events.sortWithinPartitions("case_id", "source_tool", "event_ts")
-        .write.mode("append")
+        .write.mode("overwrite")
         .partitionBy("case_id", "source_tool")
-        .parquet(f"{store}/events")
+        .parquet(f"{store}/events/batch={batch}")
     )
 
 
@@ -114,6 +120,21 @@ def last_import(ledger: DataFrame, import_id: str):
     return ledger.filter(F.col("import_id") == import_id).orderBy(F.desc("updated_at"), F.desc("last_source_row")).first()
 
 
+def source_fingerprint(spark: SparkSession, path: str) -> dict:
+    """Size and content hash of one source file.
+
+    A file too large for one value gets an order-sensitive line digest that is
+    summed over its splits instead of a hash of its bytes.
+    """
+    size = list_files(spark, path).agg(F.sum("length")).first()[0]
+    if size <= MAX_WHOLE_FILE:
+        return {"sha256": fingerprints(spark, path).first()["sha256"], "length": size}
+    lines = number_records(spark.read.text(path), 1)
+    head = F.substring(F.sha2(F.concat_ws("|", F.col("source_row").cast("string"), "value"), 256), 1, 15)
+    digest = lines.agg(F.sum(F.conv(head, 16, 10).cast("decimal(38,0)"))).first()[0]
+    return {"sha256": f"lines-{digest}", "length": size}
+
+
 def import_source(
     spark: SparkSession, store: str, case_id: str, tool: str, path: str, *, max_rows: int | None = None
 ) -> dict:
@@ -123,9 +144,7 @@ def import_source(
     source rows and leaves the import PARTIAL. Returns a summary with the
     rejected row count; rejected rows are written beside the store.
     """
-    source = spark.read.format("binaryFile").load(path).select(
-        "length", F.sha2("content", 256).alias("sha256")
-    ).first()
+    source = source_fingerprint(spark, path)
     ledger = read_ledger(spark, store)
     import_id = spark.range(1).select(F.sha2(F.lit(f"{case_id}|{tool}|{path}"), 256)).first()[0]
     previous = last_import(ledger, import_id)
@@ -143,12 +162,13 @@ def import_source(
     batch = cut_lineage(events)
     checked(batch, case_id, tool, start_row)
     good, rejected = split_unparseable(batch)
-    fresh = cut_lineage(missing_events(good, read_events(spark, store)))
+    name = f"{import_id[:16]}-{start_row or first}"
+    fresh = cut_lineage(missing_events(good, read_events(spark, store, without_batch=name)))
     counts = batch.agg(F.count(F.lit(1)).alias("n"), F.max("provenance.source_row").alias("last")).first()
     inserted, refused = fresh.count(), rejected.count()
-    append_events(fresh, store)
+    write_batch(fresh, store, name)
     if refused:
-        rejected.write.mode("append").parquet(f"{store}/rejects")
+        rejected.write.mode("overwrite").parquet(f"{store}/rejects/batch={name}")
     last = counts["last"] if counts["last"] is not None else (previous["last_source_row"] if previous else None)
     status = PARTIAL if max_rows is not None else COMPLETED
     row = (
@@ -183,6 +203,6 @@ def gap_fill(spark: SparkSession, store: str, case_id: str, inputs: dict[str, st
         fresh = cut_lineage(missing_events(good, stored))
         inserted = fresh.count()
         if inserted:
-            append_events(fresh, store)
+            write_batch(fresh, store, f"gap-{case_id}-{tool}-{existing}")
         rows.append((tool, FILLED if inserted else ALREADY, existing, n, inserted))
     return spark.createDataFrame(rows, "tool string, state string, existing long, normalized long, inserted long")

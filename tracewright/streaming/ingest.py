@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from tracewright.plans.ingest import missing_events, read_events
+from tracewright.plans.ingest import missing_events, read_events, write_batch
 from tracewright.schema import EVENT_SCHEMA
 
 
@@ -19,18 +19,11 @@ def stream_events(spark: SparkSession, path: str, *, files_per_trigger: int | No
 
 
 def _append_batch(batch: DataFrame, batch_id: int, store: str) -> None:
-    """Append the uids the store lacks, into this batch's own folder.
-
-    The folder is overwritten, so a batch that runs again after a failure
-    replaces its own output. Its own rows must not count as stored then.
-    """
-    spark = batch.sparkSession
-    target = f"{store}/events/batch={batch_id}"
-    stored = read_events(spark, store)
-    own = F.col("_metadata.file_path").contains(f"/batch={batch_id}/")
-    others = stored.filter(~own) if stored.inputFiles() else stored
-    fresh = missing_events(batch.filter(F.col("event_ts").isNotNull()), others)
-    fresh.write.mode("overwrite").partitionBy("case_id", "source_tool").parquet(target)
+    """Write the uids the store lacks as this batch's own folder; a batch that
+    runs again replaces it and does not count its own rows as stored."""
+    name = f"stream-{batch_id}"
+    stored = read_events(batch.sparkSession, store, without_batch=name)
+    write_batch(missing_events(batch, stored), store, name)
 
 
 def start_ingest(
