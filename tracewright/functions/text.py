@@ -8,6 +8,9 @@ from pyspark.sql import functions as F
 # Fixed value: characters removed by a blank-trim.
 WHITESPACE = " \t\n\r\x0b\x0c\x1c\x1d\x1e\x1f\x85\xa0"
 
+# ASCII characters that canonical attribute names drop.
+ASCII_SEPARATORS = "".join(chr(c) for c in range(1, 128) if not chr(c).isalnum())
+
 # Patterns.
 PREFETCH_NAME = r"(?i)^(.+?\.exe)-[0-9a-f]{8}\.pf$"
 EXE_IN_TEXT = r"(?i)((?:[A-Z]:\\|\\Device\\)[^\r\n\"';,]*?\.exe\b)"
@@ -53,13 +56,16 @@ def first_nonempty(*values: Column | str) -> Column:
 
 def norm_path(value: Column | str) -> Column:
     """Unquoted, backslash-only, lower-case path."""
-    bare = F.btrim(F.btrim(clean(value), F.lit('"')), F.lit("'"))
-    return F.lower(F.regexp_replace(F.translate(bare, "/", "\\"), r"\\+", r"\\"))
+    bare = F.lower(F.translate(F.btrim(F.btrim(clean(value), F.lit('"')), F.lit("'")), "/", "\\"))
+    return F.when(bare.contains("\\\\"), F.regexp_replace(bare, r"\\+", r"\\")).otherwise(bare)
 
 
 def last_segment(path: Column) -> Column:
-    """Text after the last backslash, without a leading drive letter."""
-    return F.regexp_extract(path, r"^(?:.*\\|[^\\]:)?([^\\]*)$", 1)
+    """Text after the last backslash; a bare drive prefix is dropped."""
+    bare_drive = ~path.contains("\\") & (F.substring(path, 2, 1) == ":")
+    return F.when(bare_drive, F.substring(path, F.lit(3), F.length(path))).otherwise(
+        F.substring_index(path, "\\", -1)
+    )
 
 
 def norm_executable(value: Column | str) -> Column:
@@ -72,16 +78,48 @@ def basename(value: Column | str) -> Column:
     return F.lower(last_segment(F.translate(clean(value), "/", "\\")))
 
 
+def _tagged(value: Column, tag: str) -> Column:
+    return F.when(value != "", F.concat(F.lit(tag), value)).otherwise("") if tag else value
+
+
+def _key_list(values: list[Column], tag: str) -> Column:
+    return F.array_remove(F.array_distinct(F.array(*[_tagged(v, tag) for v in values])), "")
+
+
+def linkable_paths(*normalized: Column | str, tag: str = "") -> Column:
+    """Distinct linkable keys of normalized paths, each with ``tag`` in front."""
+
+    def linkable(path: Column) -> Column:
+        return F.when((F.length(path) >= 3) & ~path.isin(GENERIC_PATH_KEYS), path).otherwise("")
+
+    return _key_list([linkable(_c(p)) for p in normalized], tag)
+
+
 def path_keys(*paths: Column | str) -> Column:
-    """Distinct linkable path keys of a row."""
-    keys = F.array_distinct(F.array(*[norm_path(p) for p in paths]))
-    return F.filter(
-        keys, lambda k: (F.length(k) >= 3) & ~k.isin(GENERIC_PATH_KEYS)
-    )
+    """Distinct linkable path keys of raw paths."""
+    return linkable_paths(*[norm_path(p) for p in paths])
 
 
-def _with_prefetch_name(name: Column) -> Column:
-    return F.array(name, F.lower(F.regexp_extract(name, PREFETCH_NAME, 1)))
+def _prefetch_name(name: Column) -> Column:
+    return F.when(name.endswith(".pf"), F.lower(F.regexp_extract(name, PREFETCH_NAME, 1))).otherwise("")
+
+
+def executable_names(*normalized: Column | str, text: Column | None = None, tag: str = "") -> Column:
+    """Distinct executable names of normalized paths and of free text that may
+    hold executable paths, each with ``tag`` in front.
+
+    Plain columns stay in generated code; only text with a match goes through
+    array lambdas.
+    """
+    names = [last_segment(_c(v)) for v in normalized]
+    keys = _key_list([*names, *[_prefetch_name(n) for n in names]], tag)
+    if text is None:
+        return keys
+    held = F.coalesce(text, F.lit(""))
+    found = F.regexp_extract_all(held, F.lit(EXE_IN_TEXT), F.lit(1))
+    # An .exe name is its own key: it can never look like a prefetch file name.
+    more = F.transform(found, lambda v: F.concat(F.lit(tag), norm_executable(v)))
+    return F.when(F.lower(held).contains(".exe"), F.array_union(keys, more)).otherwise(keys)
 
 
 def executable_keys(
@@ -91,17 +129,8 @@ def executable_keys(
     *extra: Column,
     text: Column | None = None,
 ) -> Column:
-    """Distinct executable names a row refers to.
-
-    ``extra`` are further single-path columns, ``text`` is free text that may
-    hold executable paths.
-    """
-    names = F.array(*[norm_executable(v) for v in (executable, path, target_path, *extra)])
-    if text is not None:
-        found = F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(EXE_IN_TEXT), F.lit(1))
-        names = F.concat(names, F.transform(found, norm_executable))
-    keys = F.flatten(F.transform(names, _with_prefetch_name))
-    return F.filter(F.array_distinct(keys), lambda k: k != "")
+    """Distinct executable names a row of raw columns refers to."""
+    return executable_names(*[norm_path(v) for v in (executable, path, target_path, *extra)], text=text)
 
 
 def canonical_attribute_key(value: Column) -> Column:
@@ -132,7 +161,7 @@ def canonical_attributes(attributes: Column | str) -> Column:
 
 def attribute(attributes: Column | str, *names: str) -> Column:
     """First non-blank attribute among aliases, compared by canonical key, in
-    one pass over the map."""
+    one pass over the map. Rows whose keys hold no alias skip that pass."""
     canonical = ["".join(ch for ch in n.lower() if ch.isalnum()) for n in names]
     wanted = F.array(*[F.lit(n) for n in dict.fromkeys(canonical)])
     found = F.transform(
@@ -144,7 +173,12 @@ def attribute(attributes: Column | str, *names: str) -> Column:
         ),
     )
     best = F.array_min(F.filter(found, lambda x: (x["alias"] > 0) & (x["value"] != "")))
-    return F.coalesce(best["value"], F.lit(""))
+    joined = F.lower(F.concat_ws("|", F.map_keys(_c(attributes))))
+    plain = F.translate(joined, ASCII_SEPARATORS, "")
+    present = F.length(joined) != F.octet_length(joined)
+    for name in dict.fromkeys(canonical):
+        present = present | plain.contains(name)
+    return F.when(present, F.coalesce(best["value"], F.lit(""))).otherwise("")
 
 
 def short(value: Column | str, limit: int) -> Column:

@@ -10,9 +10,10 @@ from tracewright.functions.text import (
     attribute,
     basename,
     clean,
-    executable_keys,
+    executable_names,
     first_nonempty,
-    path_keys,
+    linkable_paths,
+    norm_path,
 )
 from tracewright.functions.times import micros
 from tracewright.operators.interval import crowded_anchors, interval_join
@@ -41,6 +42,11 @@ FILE_ATTRIBUTES = ["evtx_file", "evtxfile", "file_name", "filename"]
 ANCHOR_TOOLS = ["pecmd", "recmd", "lecmd"]
 ANCHOR_EVENT_ID = "7045"
 
+# Shared-key relations. The tags keep both key kinds in one join
+# and sort executables before paths.
+PATH, EXECUTABLE = "SHARED_PATH_NEAR_TIME", "SHARED_EXECUTABLE_NEAR_TIME"
+PATH_TAG, EXECUTABLE_TAG = "P|", "E|"
+
 EDGE_COLUMNS = [
     "edge_uid",
     "run_id",
@@ -138,32 +144,46 @@ def detection_matches(events: DataFrame, *, window: float = DETECTION_WINDOW) ->
     )
 
 
+def _normalized(events: DataFrame, *more: Column) -> DataFrame:
+    """Event columns with normalized paths, computed once in their own step."""
+    return events.select(
+        "case_id", "event_uid", "source_tool", "event_ts",
+        micros(F.col("event_ts")).alias("ts_us"),
+        "hostname", "username",
+        norm_path("executable").alias("_e"), norm_path("path").alias("_p"), norm_path("target_path").alias("_t"),
+        *more,
+    )
+
+
 def generic_anchors(events: DataFrame) -> DataFrame:
-    """Events that open a window, with the keys they may share."""
+    """Events that open a window, with the keys they may share. Events without
+    keys stay in; exploding their empty key lists drops them later, while a
+    filter here would compute the keys twice."""
     opens = F.col("source_tool").isin(ANCHOR_TOOLS) | (
         (F.col("source_tool") == "evtxecmd") & (F.col("windows_event_id") == ANCHOR_EVENT_ID)
     )
-    rows = events.filter(opens & F.col("event_ts").isNotNull())
-    keyed = rows.select(
-        "case_id", "event_uid", "source_tool", "event_ts",
-        micros(F.col("event_ts")).alias("ts_us"),
-        "hostname", "username",
-        path_keys("path", "target_path").alias("paths"),
-        executable_keys(
-            "executable", "path", "target_path",
-            attribute("attributes", "executableinfo"),
-            attribute("attributes", "imagepath"),
-            text=F.col("registry_value_data"),
-        ).alias("executables"),
+    rows = _normalized(
+        events.filter(opens & F.col("event_ts").isNotNull()),
+        norm_path(attribute("attributes", "executableinfo")).alias("_i"),
+        norm_path(attribute("attributes", "imagepath")).alias("_m"),
+        "registry_value_data",
+    )
+    names = executable_names("_e", "_p", "_t", "_i", "_m", text=F.col("registry_value_data"), tag=EXECUTABLE_TAG)
+    return rows.select(
+        "case_id", "event_uid", "source_tool", "event_ts", "ts_us", "hostname", "username",
+        F.concat(linkable_paths("_p", "_t", tag=PATH_TAG), names).alias("keys"),
     )
-    return keyed.filter((F.size("paths") > 0) | (F.size("executables") > 0))
 
 
-def _window_events(events: DataFrame) -> DataFrame:
-    return events.filter(F.col("event_ts").isNotNull()).select(
-        "case_id", "event_uid", "source_tool", "event_ts",
-        micros(F.col("event_ts")).alias("ts_us"),
-        "hostname", "username", "executable", "path", "target_path",
+def candidate_keys(events: DataFrame) -> DataFrame:
+    """All timed events with their keys. Attributes and registry text count on
+    the anchor side only."""
+    rows = _normalized(events.filter(F.col("event_ts").isNotNull()))
+    return rows.select(
+        "case_id", "event_uid", "source_tool", "event_ts", "ts_us", "hostname", "username",
+        F.concat(
+            linkable_paths("_p", "_t", tag=PATH_TAG), executable_names("_e", "_p", "_t", tag=EXECUTABLE_TAG)
+        ).alias("keys"),
     )
 
 
@@ -174,7 +194,9 @@ def uncrowded_anchors(
     anchors = generic_anchors(events)
     crowded = crowded_anchors(
         anchors.select("case_id", "event_uid", "source_tool", "ts_us"),
-        _window_events(events).select("case_id", "source_tool", "ts_us"),
+        events.filter(F.col("event_ts").isNotNull()).select(
+            "case_id", "source_tool", micros(F.col("event_ts")).alias("ts_us")
+        ),
         uid="event_uid",
         group="case_id",
         source="source_tool",
@@ -185,18 +207,6 @@ def uncrowded_anchors(
     return anchors.join(crowded, "event_uid", "left_anti")
 
 
-# Shared-key relations with their base scores and rule order.
-PATH, EXECUTABLE = "SHARED_PATH_NEAR_TIME", "SHARED_EXECUTABLE_NEAR_TIME"
-
-
-def _keyed(paths: Column, executables: Column) -> Column:
-    """All keys of a row with the relation they would give."""
-    return F.concat(
-        F.transform(paths, lambda k: F.struct(F.lit(PATH).alias("relation"), k.alias("key"))),
-        F.transform(executables, lambda k: F.struct(F.lit(EXECUTABLE).alias("relation"), k.alias("key"))),
-    )
-
-
 def shared_key_matches(
     anchors: DataFrame,
     events: DataFrame,
@@ -207,51 +217,43 @@ def shared_key_matches(
     """Anchor to event pairs of different tools with a common path or executable.
 
     Both key kinds go through one interval join. A pair with several common
-    keys of a kind meets once per key; only the meeting on the smallest common
-    key is kept, so deduplication needs no shuffle. Executable pairs keep the
+    keys meets once per key. Executable keys sort before path keys, so the
+    smallest common key stands for the executables of a pair and the largest
+    for its paths: deduplication needs no shuffle. Executable pairs keep the
     best ``fanout`` per anchor; the crowd limit bounds what one anchor meets.
     """
-    left = anchors.select(
-        "case_id",
-        F.explode(_keyed(F.col("paths"), F.col("executables"))).alias("k"),
-        F.col("event_uid").alias("a_uid"), F.col("source_tool").alias("a_tool"),
-        F.col("event_ts").alias("a_ts"), F.col("ts_us").alias("a_us"),
-        F.col("hostname").alias("a_host"), F.col("username").alias("a_user"),
-        F.col("paths").alias("a_paths"), F.col("executables").alias("a_executables"),
-    ).select("k.*", "*").drop("k")
-    right = (
-        _window_events(events)
-        .select(
-            "*",
-            path_keys("path", "target_path").alias("c_paths"),
-            executable_keys("executable", "path", "target_path").alias("c_executables"),
-        )
-        .select(
-            "case_id",
-            F.explode(_keyed(F.col("c_paths"), F.col("c_executables"))).alias("k"),
-            F.col("event_uid").alias("c_uid"), F.col("source_tool").alias("c_tool"),
-            F.col("event_ts").alias("c_ts"), F.col("ts_us").alias("c_us"),
-            F.col("hostname").alias("c_host"), F.col("username").alias("c_user"),
-            "c_paths", "c_executables",
-        )
-        .select("k.*", "*")
-        .drop("k")
-    )
+
+    def side(rows: DataFrame, prefix: str) -> DataFrame:
+        # The outer form keeps the planner from testing the size of the key list
+        # below, which would compute all keys a second time.
+        return rows.select(
+            "case_id", F.explode_outer("keys").alias("key"),
+            F.col("event_uid").alias(f"{prefix}_uid"), F.col("source_tool").alias(f"{prefix}_tool"),
+            F.col("event_ts").alias(f"{prefix}_ts"), F.col("ts_us").alias(f"{prefix}_us"),
+            F.col("hostname").alias(f"{prefix}_host"), F.col("username").alias(f"{prefix}_user"),
+            F.col("keys").alias(f"{prefix}_keys"),
+        ).filter(F.col("key").isNotNull())
+
     pairs = interval_join(
-        left, right, ["case_id", "relation", "key"],
+        side(anchors, "a"), side(candidate_keys(events), "c"), ["case_id", "key"],
         anchor_us="a_us", candidate_us="c_us", window_us=_us(window),
         salt_by=["c_uid"], hot_on=["case_id"],
     )
-    is_path = F.col("relation") == PATH
-    common = F.when(is_path, F.array_intersect("a_paths", "c_paths")).otherwise(
-        F.array_intersect("a_executables", "c_executables")
-    )
+    shared = F.array_intersect("a_keys", "c_keys")
+    is_path = F.col("key").startswith(PATH_TAG)
     kept = (
         pairs.filter(F.col("a_tool") != F.col("c_tool"))
-        .withColumn("common", F.array_sort(common))
-        .filter(F.col("key") == F.col("common")[0])
+        .filter(F.col("key") == F.when(is_path, F.array_max(shared)).otherwise(F.array_min(shared)))
+        .withColumn("shared", shared)
         .withColumn("delta", F.abs(F.col("a_us") - F.col("c_us")) / F.lit(1e6))
     )
+    tag = F.left("key", F.lit(len(PATH_TAG)))
+    common = F.sort_array(
+        F.transform(
+            F.filter("shared", lambda k: k.startswith(tag)),
+            lambda k: F.substring(k, F.lit(len(PATH_TAG) + 1), F.length(k)),
+        )
+    )
     host = F.when(same_text(F.col("a_host"), F.col("c_host")), 0.05).otherwise(0.0)
     user = F.when(same_text(F.col("a_user"), F.col("c_user")), 0.05).otherwise(0.0)
     near = F.col("delta") <= 0.10
@@ -260,8 +262,8 @@ def shared_key_matches(
     scored = kept.select(
         "case_id", "a_uid", "a_tool", "a_ts", "c_uid", "c_tool", "c_ts", "delta",
         F.when(is_path, path_score).otherwise(executable_score).alias("raw_score"),
-        F.create_map(F.when(is_path, "paths").otherwise("executables"), F.col("common")).alias("shared_keys"),
-        F.col("relation").alias("relationship_type"),
+        F.create_map(F.when(is_path, "paths").otherwise("executables"), common).alias("shared_keys"),
+        F.when(is_path, PATH).otherwise(EXECUTABLE).alias("relationship_type"),
         F.when(is_path, "Events of different sources name the same path close in time.")
         .otherwise("Events of different sources name the same executable close in time.")
         .alias("reason"),

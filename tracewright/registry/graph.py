@@ -91,7 +91,7 @@ edges AS (
 
 def demo_events(spark, sf_dir):
     """The events view, written once: the graph plans read it many times."""
-    return cut_lineage(events_view(spark, sf_dir))
+    return cut_lineage(events_view(spark, sf_dir, parallel=True))
 
 
 def demo_edges(spark, sf_dir, events=None):

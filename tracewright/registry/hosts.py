@@ -40,7 +40,7 @@ def host_events(spark, sf_dir):
     """Registry and log events made of lines, written once."""
 
     def build():
-        lines = table(spark, sf_dir, "lineitem")
+        lines = table(spark, sf_dir, "lineitem", parallel=True)
         part = F.col("l_partkey")
         text = lambda c: c.cast("string")
         kind = F.expr(LINE_KIND)
@@ -305,7 +305,7 @@ def vector_topk(spark, sf_dir):
 
 
 def demo_hits(spark, sf_dir, k):
-    vectors = table(spark, sf_dir, "embeddings")
+    vectors = table(spark, sf_dir, "embeddings", parallel=True)
     queries = vectors.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector"))
     corpus = vectors.select(F.col("vec_id").alias("doc_id"), F.col("embedding").alias("vector"))
     return V.vector_topk(queries, corpus, k)
@@ -342,7 +342,7 @@ BONUS_SQL = "CASE phase " + " ".join(f"WHEN '{p}' THEN {b}::DOUBLE" for p, b in
     SELECT doc_id, round(CASE q WHEN 0 THEN 0.5::DOUBLE + least(hits * 0.025::DOUBLE, 0.15::DOUBLE) WHEN 1 THEN 0.5::DOUBLE + {BONUS_SQL} ELSE 0.5::DOUBLE END, 4) AS score FROM m""",
 )
 def rerank_bonus(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents")
+    docs = table(spark, sf_dir, "documents", parallel=True)
     question = F.element_at(
         F.array(F.lit("Which router was used?"), F.lit("What happened before impact?"), F.lit("Who logged on?")),
         (F.col("doc_id") % 3 + 1).cast("int"),
@@ -359,7 +359,7 @@ def rerank_bonus(spark, sf_dir):
     SELECT q AS query_id, doc_id, context_rank FROM (SELECT *, row_number() OVER (PARTITION BY q ORDER BY doc_id) AS context_rank FROM f) WHERE context_rank <= 6""",
 )
 def context_selection(spark, sf_dir):
-    ranked = table(spark, sf_dir, "documents").select(
+    ranked = table(spark, sf_dir, "documents", parallel=True).select(
         F.col("source").alias("query_id"), F.col("doc_id").alias("position"), F.col("lang").alias("case"),
         F.lit("p").alias("phase"), (F.col("doc_id") % 4).alias("window_order"), "doc_id", "text", F.lit(0.5).alias("score"),
     )
@@ -376,7 +376,7 @@ def context_selection(spark, sf_dir):
       lambda x: NOT contains(q, x) AND contains(substr(t, 1, pos - 1), x)), ',') END AS violations FROM p""",
 )
 def grounding_check(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents")
+    docs = table(spark, sf_dir, "documents", parallel=True)
     tails = [" psexec and nmap 5. Historical Examples zerologon", " nmap", " fine 5. **Historical Examples** nmap", " wmic 5. historical examples"]
     answer = F.concat("text", F.element_at(F.array(*[F.lit(t) for t in tails]), (F.col("doc_id") % 4 + 1).cast("int")))
     question = F.when(F.col("doc_id") % 3 == 0, "Was WMIC or nmap used?").otherwise("")

@@ -504,7 +504,7 @@ STATEMENT_SQL = r"trim(regexp_replace(regexp_replace(lower(trim(text, e' \t\n\r'
     SELECT md5(fact_key) AS key_hash, min(doc_id) AS first_doc, count(*) AS statements, count(DISTINCT source) AS uid_count FROM k WHERE fact_key <> '' GROUP BY fact_key""",
 )
 def fact_merge(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents")
+    docs = table(spark, sf_dir, "documents", parallel=True)
     facts = docs.select(
         F.col("doc_id").alias("fact_id"), F.col("doc_id").alias("seq"), F.col("text").alias("fact"),
         F.col("doc_id").cast("string").alias("source"),

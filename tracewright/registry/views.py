@@ -30,9 +30,22 @@ EVENT_IDS = [
 SPELLINGS = ["info", "low", "medium", "high", "crit", "odd"]
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """One driver table; timestamps without zone become UTC timestamps."""
+def spread(df: DataFrame) -> DataFrame:
+    """Use every core on an input with fewer splits than cores.
+
+    Only inputs below cores x split size are shuffled by this; large inputs
+    have more splits than cores and pass through.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
+def table(spark: SparkSession, sf_dir: str, name: str, *, parallel: bool = False) -> DataFrame:
+    """One driver table; timestamps without zone become UTC timestamps.
+    ``parallel`` spreads a small file for compute-heavy plans."""
     df = prepare(spark).read.parquet(f"{sf_dir}/{name}.parquet")
+    if parallel:
+        df = spread(df)
     for column, kind in df.dtypes:
         if kind == "timestamp_ntz":
             df = df.withColumn(column, F.col(column).cast("timestamp"))
@@ -43,9 +56,9 @@ def _pick(values: list[str], index: Column) -> Column:
     return F.element_at(F.array(*[F.lit(v) for v in values]), index.cast("int") + 1)
 
 
-def events_view(spark: SparkSession, sf_dir: str) -> DataFrame:
+def events_view(spark: SparkSession, sf_dir: str, *, parallel: bool = False) -> DataFrame:
     """The events table as canonical evidence events."""
-    raw = table(spark, sf_dir, "events")
+    raw = table(spark, sf_dir, "events", parallel=parallel)
     kind = F.col("event_type")
     tool = F.lit(None).cast("string")
     artifact = F.lit(None).cast("string")
@@ -202,4 +215,4 @@ def staged(spark: SparkSession, sf_dir: str, name: str, build):
 
 def stored_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The events view as a written table, as an importer would leave it."""
-    return staged(spark, sf_dir, "events", lambda: cut_lineage(events_view(spark, sf_dir)))
+    return staged(spark, sf_dir, "events", lambda: cut_lineage(events_view(spark, sf_dir, parallel=True)))

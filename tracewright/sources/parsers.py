@@ -180,7 +180,8 @@ def unpivot_times(df: DataFrame, times: dict[str, tuple[str, str]]) -> DataFrame
         ]
     )
     present = F.filter(choices, lambda c: c["timestamp"] != "")
-    return df.select("*", F.explode(present).alias("_t")).select("*", "_t.*").drop("_t")
+    rows = df.select("*", F.explode_outer(present).alias("_t")).filter(F.col("_t").isNotNull())
+    return rows.select("*", "_t.*").drop("_t")
 
 
 def finish(
