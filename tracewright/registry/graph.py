@@ -5,12 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tracewright.functions.times import format_ts, micros
-from tracewright.operators.components import connected_components
 from tracewright.operators.interval import crowded_anchors
 from tracewright.plans import clusters as C
 from tracewright.plans import correlate as K
-from tracewright.registry.base import QUERIES, query  # noqa: F401
-from tracewright.registry.views import EV_CTE, events_view
+from tracewright.registry.base import query
+from tracewright.registry.views import EV_CTE, events_view, staged, stored_events
 from tracewright.session import cut_lineage
 
 RUN = "run-1"
@@ -94,6 +93,23 @@ def demo_events(spark, sf_dir):
     return cut_lineage(events_view(spark, sf_dir, parallel=True))
 
 
+def staged_graph(spark, sf_dir):
+    """(events, edges, clusters, candidates) as written stage tables.
+
+    The stage queries themselves (correlate_edges, connected_components,
+    cluster_rollup, candidate_clusters) do not use these.
+    """
+    events = stored_events(spark, sf_dir)
+    edges = staged(spark, sf_dir, "edges", lambda: cut_lineage(demo_edges(spark, sf_dir, events)))
+
+    def write_all(tables):
+        return [cut_lineage(t) for t in tables]
+
+    clusters = staged(spark, sf_dir, "clusters", lambda: write_all(C.build_clusters(events, edges, RUN)))
+    candidates = staged(spark, sf_dir, "candidates", lambda: write_all(C.build_candidates(events, edges, RUN)))
+    return events, edges, clusters, candidates
+
+
 def demo_edges(spark, sf_dir, events=None):
     """Edges of the events view with the widened windows."""
     events = demo_events(spark, sf_dir) if events is None else events
@@ -177,7 +193,7 @@ def hot_window_skip(spark, sf_dir):
     UNION ALL SELECT 'max_degree', '', coalesce(max(n), 0) FROM deg""",
 )
 def edge_stats(spark, sf_dir):
-    return C.edge_statistics(cut_lineage(demo_edges(spark, sf_dir)))
+    return C.edge_statistics(staged_graph(spark, sf_dir)[1])
 
 
 @query(
@@ -187,7 +203,7 @@ def edge_stats(spark, sf_dir):
 )
 def top_edges(spark, sf_dir):
     return (
-        demo_edges(spark, sf_dir)
+        staged_graph(spark, sf_dir)[1]
         .orderBy(F.desc("score"), "time_delta_seconds", "edge_uid")
         .limit(20)
         .select("edge_uid", "score", "time_delta_seconds")
@@ -220,7 +236,7 @@ def components(spark, sf_dir):
     FROM weak w LEFT JOIN labels a ON w.event_uid_a = a.event_uid LEFT JOIN labels b ON w.event_uid_b = b.event_uid""",
 )
 def medium_attach(spark, sf_dir):
-    edges = cut_lineage(demo_edges(spark, sf_dir))
+    edges = staged_graph(spark, sf_dir)[1]
     return C.attach_weak_edges(edges, C.core_labels(edges)).select(
         "edge_uid", "placement", "attached_uid"
     )
@@ -297,7 +313,7 @@ def cluster_rollup(spark, sf_dir):
     f"""WITH RECURSIVE {CLUSTERS_CTE} SELECT cluster_id, event_uid, source_tool, evidence_family, membership_role FROM cl_events""",
 )
 def cluster_members(spark, sf_dir):
-    return demo_clusters(spark, sf_dir)[3]
+    return staged_graph(spark, sf_dir)[2][1]
 
 
 @query(
@@ -306,7 +322,7 @@ def cluster_members(spark, sf_dir):
     ORDER BY independent_family_count DESC, event_count DESC, edge_count DESC, cluster_id LIMIT 20""",
 )
 def top_clusters(spark, sf_dir):
-    clusters = demo_clusters(spark, sf_dir)[2]
+    clusters = staged_graph(spark, sf_dir)[2][0]
     return (
         clusters.orderBy(
             F.desc("independent_family_count"), F.desc("event_count"), F.desc("edge_count"), "cluster_id"
@@ -321,7 +337,7 @@ def top_clusters(spark, sf_dir):
     f"""WITH RECURSIVE {CLUSTERS_CTE} SELECT independent_family_count, count(*) AS n FROM clusters GROUP BY 1""",
 )
 def family_histogram(spark, sf_dir):
-    clusters = demo_clusters(spark, sf_dir)[2]
+    clusters = staged_graph(spark, sf_dir)[2][0]
     return clusters.groupBy("independent_family_count").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -374,9 +390,7 @@ def candidate_clusters(spark, sf_dir):
     ORDER BY edge_count DESC, event_count DESC, start_timestamp, candidate_id LIMIT 15""",
 )
 def top_candidates(spark, sf_dir):
-    events = demo_events(spark, sf_dir)
-    edges = cut_lineage(demo_edges(spark, sf_dir, events))
-    candidates, *_ = C.build_candidates(events, edges, RUN)
+    candidates = staged_graph(spark, sf_dir)[3][0]
     return (
         _with_text_times(candidates)
         .orderBy(F.desc("edge_count"), F.desc("event_count"), "start_timestamp", "candidate_id")
@@ -384,5 +398,3 @@ def top_candidates(spark, sf_dir):
         .select("candidate_id", "edge_count", "event_count", "start_timestamp")
     )
 
-
-__all__ = ["connected_components"]

@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 from tracewright.functions.text import clean
 from tracewright.functions.times import format_ts
 from tracewright.operators.ranking import budget_prefix
-from tracewright.plans import clusters as C
 from tracewright.plans import context as X
 from tracewright.plans import findings as P
 from tracewright.plans import lookups as L
@@ -17,27 +16,14 @@ from tracewright.plans import routing as T
 from tracewright.plans import synthesis as S
 from tracewright.plans.ingest import missing_events
 from tracewright.registry.base import query
-from tracewright.registry.graph import CANDIDATES_CTE, CLUSTERS_CTE, EDGES_CTE, RUN, demo_edges
-from tracewright.registry.views import staged, stored_events, table
+from tracewright.registry.graph import CANDIDATES_CTE, CLUSTERS_CTE, EDGES_CTE, RUN, staged_graph
+from tracewright.registry.views import staged, table
 from tracewright.session import cut_lineage
 
 
-def graph_tables(spark, sf_dir):
-    """Events, edges, clusters and candidates as written stage tables."""
-    events = stored_events(spark, sf_dir)
-    edges = staged(spark, sf_dir, "edges", lambda: cut_lineage(demo_edges(spark, sf_dir, events)))
-    clusters = staged(
-        spark, sf_dir, "clusters", lambda: [cut_lineage(t) for t in C.build_clusters(events, edges, RUN)]
-    )
-    candidates = staged(
-        spark, sf_dir, "candidates", lambda: [cut_lineage(t) for t in C.build_candidates(events, edges, RUN)]
-    )
-    return events, edges, clusters, candidates
-
-
 def finding_tables(spark, sf_dir):
     """Findings, evidence and values as written stage tables."""
-    events, _, (clusters, cluster_events, _), (candidates, candidate_events, _, keys) = graph_tables(spark, sf_dir)
+    events, _, (clusters, cluster_events, _), (candidates, candidate_events, _, keys) = staged_graph(spark, sf_dir)
 
     def build():
         made = P.build_findings(events, clusters, cluster_events, candidates, candidate_events, keys, RUN)
@@ -100,7 +86,7 @@ FINDING_COLUMNS = [
 
 @query("candidate_suppression", f"WITH RECURSIVE {SUPPRESS_CTE} SELECT candidate_id FROM covered")
 def candidate_suppression(spark, sf_dir):
-    _, _, (clusters, cluster_events, _), (_, candidate_events, _, _) = graph_tables(spark, sf_dir)
+    _, _, (clusters, cluster_events, _), (_, candidate_events, _, _) = staged_graph(spark, sf_dir)
     return P.covered_candidates(candidate_events, clusters, cluster_events)
 
 
@@ -119,7 +105,7 @@ def finding_evidence(spark, sf_dir):
     f"""WITH RECURSIVE {SUPPRESS_CTE} SELECT cluster_id, rank, rules AS rule_count, first_rule FROM det""",
 )
 def detection_leads(spark, sf_dir):
-    events, _, (_, cluster_events, _), _ = graph_tables(spark, sf_dir)
+    events, _, (_, cluster_events, _), _ = staged_graph(spark, sf_dir)
     rolled, _ = P.detection_rollup(events, cluster_events)
     return rolled.select("cluster_id", F.col("rank").cast("int").alias("rank"), "rule_count", "first_rule")
 
@@ -131,7 +117,7 @@ def detection_leads(spark, sf_dir):
     FROM ev WHERE source_tool = 'hayabusa' AND event_uid IN (SELECT event_uid FROM cl_events) GROUP BY 1""",
 )
 def detection_severities(spark, sf_dir):
-    events, _, (_, cluster_events, _), _ = graph_tables(spark, sf_dir)
+    events, _, (_, cluster_events, _), _ = staged_graph(spark, sf_dir)
     return P.detection_severities(events, cluster_events.select("event_uid"))
 
 
@@ -177,7 +163,7 @@ def top_findings(spark, sf_dir):
     JOIN evidence v ON v.event_uid = e.event_uid_a OR v.event_uid = e.event_uid_b""",
 )
 def incident_edges(spark, sf_dir):
-    _, edges, _, _ = graph_tables(spark, sf_dir)
+    _, edges, _, _ = staged_graph(spark, sf_dir)
     return L.incident_edges(edges, finding_tables(spark, sf_dir)[1]).select("finding_id", "edge_uid", "score")
 
 
@@ -189,21 +175,21 @@ def incident_edges(spark, sf_dir):
     LEFT JOIN src s ON s.source_id = f.source_id AND s.cand = (f.finding_type = 'CROSS_ARTIFACT_ACTIVITY_LEAD')""",
 )
 def source_context(spark, sf_dir):
-    _, _, (clusters, _, _), (candidates, _, _, _) = graph_tables(spark, sf_dir)
+    _, _, (clusters, _, _), (candidates, _, _, _) = staged_graph(spark, sf_dir)
     found = finding_tables(spark, sf_dir)[0]
     return X.source_context(found, candidates, clusters).select("finding_id", "source_id", "event_count", "edge_count")
 
 
 @query("context_package")
 def context_package(spark, sf_dir):
-    events, edges, (clusters, _, _), (candidates, _, _, _) = graph_tables(spark, sf_dir)
+    events, edges, (clusters, _, _), (candidates, _, _, _) = staged_graph(spark, sf_dir)
     found, evidence, values = finding_tables(spark, sf_dir)
     return X.context_items(found, evidence, values, events, edges, candidates, clusters)
 
 
 @query("search_hints")
 def search_hints(spark, sf_dir):
-    events, *_ = graph_tables(spark, sf_dir)
+    events, *_ = staged_graph(spark, sf_dir)
     found, evidence, values = finding_tables(spark, sf_dir)
     return X.search_hints(found, values, evidence, events)
 
@@ -224,7 +210,7 @@ def finding_search_queries(spark, sf_dir):
     UNION ALL SELECT 'duplicate_edge', count(*) - count(DISTINCT edge_uid) FROM edges UNION ALL SELECT 'missing_event', 0""",
 )
 def integrity_checks(spark, sf_dir):
-    events, edges, _, _ = graph_tables(spark, sf_dir)
+    events, edges, _, _ = staged_graph(spark, sf_dir)
     return Q.event_checks(events).unionByName(Q.edge_checks(edges, events))
 
 
