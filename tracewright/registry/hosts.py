@@ -257,7 +257,16 @@ def volume_detection(spark, sf_dir):
     return A.windows_volumes(page_listing(spark, sf_dir)).select("volume", "entry_count", "windows_detected")
 
 
-@query("best_volume")
+@query(
+    "best_volume",
+    f"""WITH {LISTING_CTE}, sel AS (SELECT volume, page_id FROM (SELECT *, row_number() OVER (PARTITION BY volume, family ORDER BY row_no) AS rn FROM cls WHERE NOT deleted AND family IS NOT NULL)
+    WHERE rn <= CASE family WHEN 'filesystem' THEN 10 WHEN 'eventlogs' THEN 1000 WHEN 'registry' THEN 500 WHEN 'prefetch' THEN 2000 WHEN 'amcache' THEN 10 WHEN 'srum' THEN 10
+      WHEN 'lnk' THEN 3000 WHEN 'jumplists' THEN 3000 WHEN 'powershell_history' THEN 100 WHEN 'user_files' THEN 10000 ELSE 5000 END),
+    det AS (SELECT volume, count(*) AS entry_count FROM cls GROUP BY 1 HAVING max(CASE WHEN shape = 3 THEN 1 ELSE 0 END) = 1 OR (max(CASE WHEN shape = 0 THEN 1 ELSE 0 END) = 1 AND
+      max(CASE WHEN shape = 2 THEN 1 ELSE 0 END) + max(CASE WHEN shape IN (9, 19, 23) THEN 1 ELSE 0 END) + max(CASE WHEN shape = 10 THEN 1 ELSE 0 END) + max(CASE WHEN shape = 11 THEN 1 ELSE 0 END) >= 2))
+    SELECT det.volume, count(sel.page_id) AS artifact_count, det.entry_count FROM det LEFT JOIN sel ON sel.volume = det.volume
+    GROUP BY det.volume, det.entry_count ORDER BY artifact_count DESC, det.volume LIMIT 1""",
+)
 def best_volume(spark, sf_dir):
     return A.best_volume(page_listing(spark, sf_dir), "windows_investigation")
 
