@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 QUERIES: dict = {}
@@ -18,6 +18,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def bucket_of(column: str, parts: int) -> Column:
+    """crc32 of the id as text, modulo ``parts``."""
+    return F.crc32(F.col(column).cast("string").cast("binary")) % parts
+
+
 @_query
 def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tracewright.llm.simhash import hex_digits, near_duplicates
@@ -26,6 +31,42 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", hex_digits(F.col("fingerprint")).alias("fingerprint"), F.col("component").alias("component_id"))
 
 
+@_query
+def op2_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tracewright.llm.langid import identify, learn
+
+    docs = table(spark, sf_dir, "documents")
+    found = identify(docs, learn(docs.filter(bucket_of("doc_id", 3) != 1)))
+    held_out = F.coalesce(bucket_of("doc_id", 3) == 1, F.lit(False))
+    return found.select("doc_id", held_out.alias("held_out"), "lang_pred", "score", "ambiguous")
+
+
+@_query
+def op3_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tracewright.llm.topk import top_k
+
+    return top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
+@_query
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tracewright.llm.toxicity import learn, score
+
+    docs = table(spark, sf_dir, "documents")
+    labels = table(spark, sf_dir, "labels").filter(bucket_of("doc_id", 5) != 0)
+    found = score(docs, learn(docs, labels))
+    held_out = F.coalesce(bucket_of("doc_id", 5) == 0, F.lit(False))
+    return found.select("doc_id", held_out.alias("held_out"), "score", "predicted")
+
+
+@_query
+def op5_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tracewright.llm.linededup import remove_duplicate_lines
+
+    found = remove_duplicate_lines(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_lines", "n_removed", "text")
+
+
 @_query
 def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tracewright.llm.decontaminate import contamination
@@ -39,6 +80,21 @@ def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@_query
+def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tracewright.llm.secrets import scan
+
+    found = scan(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_assign", "n_access", "n_hex", F.sha2("base_spans", 256).alias("base_sha256"), "spans", "n_random")
+
+
+@_query
+def op9_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tracewright.llm.html_text import extract
+
+    return extract(table(spark, sf_dir, "pages")).withColumn("n_chars", F.length("text").cast("long"))
+
+
 @_query
 def op10_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tracewright.llm.packing import best_fit_pack
