@@ -11,6 +11,7 @@ from pathlib import Path
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import _parse_datatype_string
 
@@ -68,6 +69,35 @@ def map_columns(df: DataFrame, schema: str, work: Callable[[list[list]], list[li
     return map_arrow(df, run, schema)
 
 
+def with_results(df: DataFrame, inputs: list, schema: str, work: Callable, carry: bool, keep: list[str]) -> DataFrame:
+    """Columns that ``work`` makes of every row's ``inputs``, beside ``keep`` columns or, with ``carry``, beside all.
+
+    ``work`` takes and returns column lists. Carried columns pass through as they
+    are, so no join brings them back; there the new columns' names get a leading
+    underscore, and columns of ``df`` with such a name are left out.
+    """
+    made = _parse_datatype_string(schema).fields
+    names = [f"_{f.name}" if carry else f.name for f in made]
+    kept = [c for c in df.columns if c not in names] if carry else keep
+    full = ", ".join(
+        [f"`{c}` {df.schema[c].dataType.simpleString()}" for c in kept]
+        + [f"`{n}` {f.dataType.simpleString()}" for n, f in zip(names, made, strict=True)]
+    )
+    target = arrow_schema(full)
+
+    def run(batches):
+        for batch in batches:
+            for start in range(0, batch.num_rows, ROWS):
+                part = batch.slice(start, ROWS)
+                out = work([column.to_pylist() for column in part.columns[len(kept) :]])
+                arrays = [c.cast(f.type) for c, f in zip(part.columns[: len(kept)], target, strict=False)]
+                arrays += [pa.array(values, f.type) for values, f in zip(out, list(target)[len(kept) :], strict=True)]
+                yield pa.RecordBatch.from_arrays(arrays, schema=target)
+
+    columns = [F.col(f"`{c}`") for c in kept] + [c.alias(f"_input{i}") for i, c in enumerate(inputs)]
+    return map_arrow(df.select(*columns), run, full)
+
+
 def byte_words(data: bytes, chunk: int = CHUNK) -> Iterator[list[bytes]]:
     """White-space separated words of ``data``, in lists of about ``chunk`` bytes."""
     start = 0

@@ -3,11 +3,10 @@
 from __future__ import annotations
 
 import numpy as np
-import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracewright.llm.common import arrow_schema, map_arrow, rows_of
+from tracewright.llm.common import with_results
 
 WINDOW = 10  # words of a window
 COVERAGE = 0.8  # a document with at least this share of hit words goes whole
@@ -163,6 +162,7 @@ def contamination(
     coverage: float = COVERAGE,
     shard_words: int = SHARD_WORDS,
     with_text: bool = False,
+    carry: bool = False,
 ) -> DataFrame:
     """(id, n_words, n_hit, items array<string>, drop[, cleaned]) per row of ``docs``.
 
@@ -170,7 +170,8 @@ def contamination(
     item words (of a whole item, if that is shorter). ``items`` are the sorted
     ids of the items that occur. ``drop`` says that hit words reach the
     ``coverage`` limit or leave no word; ``cleaned`` is the text without the
-    spans of hit words (null for null text).
+    spans of hit words (null for null text). With ``carry``, all columns of
+    ``docs`` and these with a leading underscore.
 
     Null text has no words. Items without words take no part; a null item id
     counts as an empty string. Repeated rows are scored alike. Other columns are
@@ -179,8 +180,7 @@ def contamination(
     """
     spark = docs.sparkSession
     shared = [spark.sparkContext.broadcast(a) for a in automata(benchmark, item_id_col, item_text_col, window, shard_words)]
-    kind = docs.schema[id_col].dataType.simpleString()
-    schema = f"`{id_col}` {kind}, n_words long, n_hit long, items array<string>, drop boolean" + ", cleaned string" * with_text
+    schema = "n_words long, n_hit long, items array<string>, drop boolean" + ", cleaned string" * with_text
 
     def one(text: bytes | None) -> list:
         words = item_words(text)
@@ -199,12 +199,7 @@ def contamination(
             row.append(None if text is None else cleaned.decode("utf-8", "replace"))
         return row
 
-    target = arrow_schema(schema)
-
-    def run(batches):
-        for names, texts in rows_of(batches):
-            columns = [names, *map(list, zip(*map(one, texts), strict=True))]
-            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, target, strict=True)], schema=target)
-
-    return map_arrow(docs.select(F.col(id_col), F.col(text_col).cast("binary")), run, schema)
+    def work(columns: list[list]) -> list[list]:
+        return list(map(list, zip(*map(one, columns[0]), strict=True)))
 
+    return with_results(docs, [F.col(text_col).cast("binary")], schema, work, carry, [id_col])

@@ -7,11 +7,10 @@ from functools import lru_cache
 from itertools import product
 
 import numpy as np
-import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracewright.llm.common import CHUNK, arrow_schema, map_arrow, map_columns, rows_of
+from tracewright.llm.common import CHUNK, map_columns, with_results
 from tracewright.operators.skew import top_n
 
 UNKNOWN = "und"
@@ -152,22 +151,18 @@ def _vector_rows(columns: list[list]) -> list[list]:
     return [[x for x, _ in found], [x for _, x in found]]
 
 
-def identify(docs: DataFrame, model: LanguageModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def identify(docs: DataFrame, model: LanguageModel, id_col: str = "doc_id", text_col: str = "text", *, carry: bool = False) -> DataFrame:
     """(id, lang_pred, score, ambiguous) of every row of ``docs``, from its whole text alone.
 
+    With ``carry``, all columns of ``docs`` and these with a leading underscore.
+
     ``lang_pred`` is a learned language, or ``und`` (score 0, ambiguous) if the
     text is null or has no letter, or if nothing was learned. Ties go to the
     language first in alphabetical order. Repeated rows and null ids stay; other
     columns are ignored; an empty table gives no rows.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    kind = docs.schema[id_col].dataType.simpleString()
-    schema = f"`{id_col}` {kind}, lang_pred string, score double, ambiguous boolean"
-    target = arrow_schema(schema)
-
-    def run(batches):
-        for names, texts in rows_of(batches):
-            columns = [names, *shared.value.predict(texts)]
-            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, target, strict=True)], schema=target)
-
-    return map_arrow(docs.select(id_col, text_col), run, schema)
+    return with_results(
+        docs, [F.col(text_col)], "lang_pred string, score double, ambiguous boolean",
+        lambda columns: shared.value.predict(columns[0]), carry, [id_col],
+    )

@@ -417,22 +417,30 @@ def _open_entries(entries: DataFrame, open_lines: DataFrame) -> DataFrame:
     return marked.join(tokens, "token", "left_semi").select(*names)
 
 
-def remove_duplicate_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """``docs`` with the lines of :func:`duplicate_lines` taken out of the text, and the columns n_lines and n_removed.
+def remove_duplicate_lines(
+    docs: DataFrame,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    *,
+    lines_col: str = "n_lines",
+    removed_col: str = "n_removed",
+    **options,
+) -> DataFrame:
+    """``docs`` with the lines of :func:`duplicate_lines` taken out of the text, and how many it had and lost.
 
     Null texts stay null and have no lines. Rows keep their other columns, save
-    that earlier n_lines and n_removed columns are replaced. A document may be
-    left with an empty text.
+    that earlier ``lines_col`` and ``removed_col`` columns are replaced. A document
+    may be left with an empty text.
     """
     found = duplicate_lines(docs, id_col, text_col, **options)
-    by_doc = found.groupBy(F.col("doc").alias("_doc")).agg(F.collect_set("line").alias("_gone"))
-    joined = docs.drop("n_lines", "n_removed").join(by_doc, F.col(id_col).cast("long") == F.col("_doc"), "left")
+    by_doc = found.groupBy(F.col("doc").alias("_repeat_doc")).agg(F.collect_set("line").alias("_repeat_lines"))
+    joined = docs.drop(lines_col, removed_col, "_repeat_doc", "_repeat_lines").join(by_doc, F.col(id_col).cast("long") == F.col("_repeat_doc"), "left")
     lines = F.split(F.col(text_col), "\n", -1)
-    gone = F.coalesce("_gone", F.array().cast("array<int>"))
+    gone = F.coalesce("_repeat_lines", F.array().cast("array<int>"))
     kept = F.filter(lines, lambda _, i: ~F.array_contains(gone, i))
     return (
-        joined.withColumn("n_lines", F.coalesce(F.size(lines), F.lit(0)).cast("long"))
-        .withColumn("n_removed", F.when(F.col(text_col).isNull(), 0).otherwise(F.size(lines) - F.size(kept)).cast("long"))
-        .withColumn(text_col, F.when(F.col("_gone").isNull(), F.col(text_col)).otherwise(F.array_join(kept, "\n")))
-        .drop("_doc", "_gone")
+        joined.withColumn(lines_col, F.coalesce(F.size(lines), F.lit(0)).cast("long"))
+        .withColumn(removed_col, F.when(F.col(text_col).isNull(), 0).otherwise(F.size(lines) - F.size(kept)).cast("long"))
+        .withColumn(text_col, F.when(F.col("_repeat_lines").isNull(), F.col(text_col)).otherwise(F.array_join(kept, "\n")))
+        .drop("_repeat_doc", "_repeat_lines")
     )

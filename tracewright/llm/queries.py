@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+import corpus_pipeline
+
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
 
@@ -80,6 +82,14 @@ def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@_query
+def op7_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tracewright.llm.pii import replace_entities
+
+    found = replace_entities(table(spark, sf_dir, "documents"), key="surrogates")
+    return found.select("doc_id", "text", "n_entities")
+
+
 @_query
 def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tracewright.llm.secrets import scan
@@ -100,3 +110,12 @@ def op10_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tracewright.llm.packing import best_fit_pack
 
     return best_fit_pack(table(spark, sf_dir, "documents"))
+
+
+@_query
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return corpus_pipeline.run(spark, sf_dir)
+
+
+if corpus_pipeline.ORACLE_SQL:
+    ORACLES["pipeline"] = corpus_pipeline.ORACLE_SQL
