@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import _parse_datatype_string
 
+from tracewright.operators.skew import top_n
+
 WHITE = re.compile(rb"[\x20\x09-\x0D]")
 ROWS = 256  # rows turned into Python objects at a time
 CHUNK = 1 << 20  # bytes or characters of one text worked on at a time
@@ -98,6 +100,18 @@ def with_results(df: DataFrame, inputs: list, schema: str, work: Callable, carry
     return map_arrow(df.select(*columns), run, full)
 
 
+def hash_sample(df: DataFrame, by: str, id_col: str, n: int) -> DataFrame:
+    """At most ``n`` different ids of every value of ``by`` (few values), those with the smallest hash.
+
+    A group's size tells below which hash about four times as many rows lie; only
+    those are ranked, so no task gets more than a few times ``n`` rows of a group.
+    """
+    place = F.pmod(F.xxhash64(id_col), F.lit(1 << 40)) / F.lit(float(1 << 40))
+    sizes = df.groupBy(by).agg(F.count(F.lit(1)).alias("_size"))
+    near = df.join(F.broadcast(sizes), by).filter(place * F.col("_size") <= 4 * n).select(by, id_col).distinct()
+    return top_n(near, [by], [F.pmod(F.xxhash64(id_col), F.lit(1 << 40)), F.col(id_col)], n)
+
+
 def byte_words(data: bytes, chunk: int = CHUNK) -> Iterator[list[bytes]]:
     """White-space separated words of ``data``, in lists of about ``chunk`` bytes."""
     start = 0

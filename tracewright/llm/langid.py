@@ -10,8 +10,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracewright.llm.common import CHUNK, map_columns, with_results
-from tracewright.operators.skew import top_n
+from tracewright.llm.common import CHUNK, hash_sample, map_columns, with_results
 
 UNKNOWN = "und"
 BUCKETS = 1 << 12  # hashed n-gram features
@@ -137,7 +136,7 @@ def learn(
     if not kinds:
         return fit(np.zeros((0, BUCKETS), np.float32), [])
     keys = known.select(F.col(id_col).alias("_id"), F.col(lang_col).alias("_lang"))
-    chosen = top_n(keys, ["_lang"], [F.xxhash64("_id"), F.col("_id")], max(1, sample_rows // kinds)).select("_id").distinct()
+    chosen = hash_sample(keys, "_lang", "_id", max(1, sample_rows // kinds)).select("_id").distinct()
     texts = known.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"), F.col(lang_col).alias("_lang"))
     texts = texts.join(F.broadcast(chosen), "_id").dropDuplicates(["_id"]).select("_lang", "_text")
     rows = map_columns(texts, "lang string, vector binary", _vector_rows).limit(sample_rows).toArrow()

@@ -11,8 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracewright.llm.common import arrow_schema, map_arrow, map_columns, rows_of
-from tracewright.operators.skew import top_n
+from tracewright.llm.common import arrow_schema, hash_sample, map_arrow, map_columns, rows_of
 
 WORD = re.compile(r"\w+")
 BUCKETS = 1 << 18  # hashed features
@@ -154,10 +153,10 @@ def learn(
     without a document are left out. The driver gets one list of features per
     sampled row.
     """
-    clean = labels.select(F.col(id_col).alias("_id"), F.col(label_col).cast("int").alias("_toxic")).dropna()
+    clean = labels.select(F.col(id_col).alias("_id"), (F.col(label_col) > 0).cast("int").alias("_toxic")).dropna()
     ids = docs.select(F.col(id_col).alias("_id"))
     marked = clean.groupBy("_id").agg(F.max("_toxic").alias("_toxic")).join(ids, "_id", "left_semi")
-    chosen = top_n(marked, ["_toxic"], [F.xxhash64("_id"), F.col("_id")], sample_rows // 2)
+    chosen = hash_sample(marked, "_toxic", "_id", sample_rows // 2)
     texts = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
     texts = texts.join(F.broadcast(chosen), "_id").dropDuplicates(["_id"]).select("_toxic", "_text")
     schema = "toxic int, held array<int>, swaps array<array<int>>"
