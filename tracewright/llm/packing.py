@@ -6,6 +6,7 @@ import os
 import re
 import zlib
 from functools import lru_cache
+from struct import pack
 
 import numpy as np
 import pandas as pd
@@ -21,11 +22,11 @@ END = 0  # id after every document
 SHARD_ROWS = 50_000  # pieces packed by one task
 FAN_IN = 16  # shards whose open sequences meet in the next round
 HANDED_ON = 4096  # pieces of open sequences that a shard hands on
-CACHED = 400_000  # words whose ids a worker keeps
+CACHED = 1_000_000  # words whose ids a worker keeps
 
 # Word pattern of the byte-level vocabulary, for texts in which it means the same to Python's re as to the
 # tokenizer: printable ASCII, Latin letters and the usual white space. Other texts go to the tokenizer whole.
-PLAIN_WORDS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?[^\W\d_]+| ?\d+| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+")
+PLAIN_WORDS = re.compile(r" ?[^\W\d_]+|'(?:s|t|re|ve|m|ll|d)| ?\d+| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+")
 NOT_PLAIN = re.compile(r"[^\t\n\r\x20-\x7e\xa0-\xb1\xb4-\xb8\xba\xbb\xbf-ɏ]")
 CUT = re.compile(r"(?<=\S)(?=\s)")
 
@@ -42,8 +43,11 @@ class Encoder:
         self.known: dict[str, bytes] = {}
 
     def _direct(self, texts: list[str]) -> list[bytes]:
-        found = self.tokenizer.encode_batch(texts, add_special_tokens=False)
-        return [np.array(e.ids, "<u4").tobytes() for e in found]
+        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _learn(self, words: list[str]) -> None:
+        found = self.tokenizer.encode_batch_fast(words, add_special_tokens=False)
+        self.known.update(zip(words, (pack(f"<{len(e.ids)}I", *e.ids) for e in found), strict=True))
 
     def _chunks(self, text: str):
         """Parts of about CHUNK characters, cut where white space begins, which no word crosses."""
@@ -55,18 +59,26 @@ class Encoder:
             start = end
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        words = [None if len(t) > CHUNK or NOT_PLAIN.search(t) else PLAIN_WORDS.findall(t) for t in texts]
-        new = set().union(*(w for w in words if w is not None)) - self.known.keys()
-        if len(self.known) + len(new) > CACHED:
+        """Ids of every text; words that were not met before are encoded together."""
+        if len(self.known) > CACHED:
             self.known.clear()
-            new = set().union(*(w for w in words if w is not None))
-        new = list(new)
-        self.known.update(zip(new, self._direct(new), strict=True))
-        find = self.known.__getitem__
-        return [
-            b"".join(map(find, w)) if w is not None else b"".join(self._direct([c])[0] for c in self._chunks(t))
-            for t, w in zip(texts, words, strict=True)
-        ]
+        out, open_words = [], {}
+        for text in texts:
+            if len(text) > CHUNK or NOT_PLAIN.search(text):
+                out.append([self._direct([c])[0] for c in self._chunks(text)])
+                continue
+            words = PLAIN_WORDS.findall(text)
+            parts = list(map(self.known.get, words))
+            for i, part in enumerate(parts):
+                if part is None:
+                    open_words.setdefault(words[i], []).append((parts, i))
+            out.append(parts)
+        self._learn(list(open_words))
+        for word, places in open_words.items():
+            part = self.known[word]
+            for parts, i in places:
+                parts[i] = part
+        return [b"".join(parts) for parts in out]
 
 
 @lru_cache(maxsize=2)
@@ -149,7 +161,7 @@ def sum_of_squares(lengths: np.ndarray, size: int = SIZE) -> list[list[int]]:
     return out
 
 
-def pack(lengths: np.ndarray, size: int = SIZE, rounds: int = 4) -> list[list[int]]:
+def pack_lengths(lengths: np.ndarray, size: int = SIZE, rounds: int = 4) -> list[list[int]]:
     """Fewest sequences found: sum of squares over several orders, open sequences taken apart and placed again."""
     ordered = np.argsort(-lengths, kind="stable")
 
@@ -179,7 +191,7 @@ def _shard_packer(level: int, last: bool, size: int):
 def _pack_shard(rows: pd.DataFrame, level: int, last: bool, size: int) -> pd.DataFrame:
     """One shard's sequences; rows of open ones handed on have no sequence."""
     lengths = rows["length"].to_numpy()
-    sequences = pack(lengths, size)
+    sequences = pack_lengths(lengths, size)
     sequence, offset = np.full(len(rows), -1, np.int64), np.zeros(len(rows), np.int64)
     gaps = [size - int(lengths[b].sum()) for b in sequences]
     handed = 0
