@@ -100,6 +100,14 @@ def with_results(df: DataFrame, inputs: list, schema: str, work: Callable, carry
     return map_arrow(df.select(*columns), run, full)
 
 
+def fresh_name(df: DataFrame, name: str) -> str:
+    """``name``, with as many underscores before it as no column of ``df`` has."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
 def hash_sample(df: DataFrame, by: str, id_col: str, n: int) -> DataFrame:
     """At most ``n`` different ids of every value of ``by`` (few values), those with the smallest hash.
 

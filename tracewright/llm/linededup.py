@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracewright.llm.common import CHUNK, arrow_schema, byte_words, map_arrow, map_columns, rows_of
+from tracewright.llm.common import CHUNK, arrow_schema, byte_words, fresh_name, map_arrow, map_columns, rows_of
 from tracewright.session import cut_lineage
 
 THRESHOLD = 0.8
@@ -432,15 +432,16 @@ def remove_duplicate_lines(
     that earlier ``lines_col`` and ``removed_col`` columns are replaced. A document
     may be left with an empty text.
     """
+    place, gone = fresh_name(docs, "_doc"), fresh_name(docs, "_gone")
     found = duplicate_lines(docs, id_col, text_col, **options)
-    by_doc = found.groupBy(F.col("doc").alias("_repeat_doc")).agg(F.collect_set("line").alias("_repeat_lines"))
-    joined = docs.drop(lines_col, removed_col, "_repeat_doc", "_repeat_lines").join(by_doc, F.col(id_col).cast("long") == F.col("_repeat_doc"), "left")
+    by_doc = found.groupBy(F.col("doc").alias(place)).agg(F.collect_set("line").alias(gone))
+    joined = docs.drop(lines_col, removed_col).join(by_doc, F.col(id_col).cast("long") == F.col(place), "left")
     lines = F.split(F.col(text_col), "\n", -1)
-    gone = F.coalesce("_repeat_lines", F.array().cast("array<int>"))
-    kept = F.filter(lines, lambda _, i: ~F.array_contains(gone, i))
+    missing = F.coalesce(gone, F.array().cast("array<int>"))
+    kept = F.filter(lines, lambda _, i: ~F.array_contains(missing, i))
     return (
         joined.withColumn(lines_col, F.coalesce(F.size(lines), F.lit(0)).cast("long"))
         .withColumn(removed_col, F.when(F.col(text_col).isNull(), 0).otherwise(F.size(lines) - F.size(kept)).cast("long"))
-        .withColumn(text_col, F.when(F.col("_repeat_lines").isNull(), F.col(text_col)).otherwise(F.array_join(kept, "\n")))
-        .drop("_repeat_doc", "_repeat_lines")
+        .withColumn(text_col, F.when(F.col(gone).isNull(), F.col(text_col)).otherwise(F.array_join(kept, "\n")))
+        .drop(place, gone)
     )

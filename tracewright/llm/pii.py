@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tracewright.llm.common import fresh_name
 from tracewright.session import cut_lineage
 
 MAX_ROUNDS = 100
@@ -217,7 +218,8 @@ def replace_entities(docs: DataFrame, key: str, text_col: str = "text") -> DataF
     without an entity are never shuffled. Others meet their replacements by a
     digest of the text, so copies are worked out once.
     """
-    plain = docs.drop("n_entities", "_digest", "_parts")
+    plain = docs.drop("n_entities")
+    joint, parts = fresh_name(plain, "_digest"), fresh_name(plain, "_parts")
     text = F.col(text_col)
     has = F.coalesce(text.rlike(ENTITY), F.lit(False))
     digest = F.sha2(text, 256)
@@ -229,10 +231,10 @@ def replace_entities(docs: DataFrame, key: str, text_col: str = "text") -> DataF
     replaced = mentions.join(table, ["kind", "value"]).select(
         "digest", F.struct("at", dressed(F.col("kind"), F.col("mention"), F.col("surrogate")).alias("new")).alias("part")
     )
-    by_text = replaced.groupBy("digest").agg(F.array_sort(F.collect_list("part")).alias("_parts")).withColumnRenamed("digest", "_digest")
-    hit = plain.filter(has).withColumn("_digest", digest).join(by_text, "_digest")
+    by_text = replaced.groupBy("digest").agg(F.array_sort(F.collect_list("part")).alias(parts)).withColumnRenamed("digest", joint)
+    hit = plain.filter(has).withColumn(joint, digest).join(by_text, joint)
     between = F.split(text, ENTITY, -1)
-    together = F.transform(between, lambda gap, i: F.concat(gap, F.coalesce(F.get("_parts", i)["new"], F.lit(""))))
-    changed = hit.withColumn("n_entities", F.size("_parts").cast("long")).withColumn(text_col, F.array_join(together, ""))
+    together = F.transform(between, lambda gap, i: F.concat(gap, F.coalesce(F.get(parts, i)["new"], F.lit(""))))
+    changed = hit.withColumn("n_entities", F.size(parts).cast("long")).withColumn(text_col, F.array_join(together, ""))
     untouched = plain.filter(~has).withColumn("n_entities", F.lit(0).cast("long"))
     return untouched.unionByName(changed.select(*untouched.columns))
