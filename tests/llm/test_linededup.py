@@ -1,5 +1,7 @@
 import random
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from helpers import documents, rows
 from pyspark.sql import functions as F
@@ -55,7 +57,7 @@ def corpus(seed, documents_made=60):
 def test_against_all_pairs(spark, options, monkeypatch):
     texts = corpus(len(options) + 3)
     if options:
-        monkeypatch.setattr(linededup, "SLICE_WORDS", 200)
+        monkeypatch.setattr(linededup, "SLICE_BYTES", 900)
     got = rows(linededup.duplicate_lines(documents(spark, texts), **options), "doc", "line")
     want = plain(texts, options.get("threshold", 0.8), options.get("least_words", 5))
     assert set(got) == want and len(got) == len(want) > 20
@@ -86,14 +88,32 @@ def test_edges(spark):
     assert linededup.remove_duplicate_lines(docs.limit(0)).count() == 0
 
 
-def test_place_hash_is_sparks(spark):
-    made = spark.createDataFrame([(5, 7), (-3, 0), (2**40, 123456)], "doc long, line int")
-    for r in made.select("doc", "line", F.xxhash64("doc", "line").alias("h")).collect():
-        assert linededup._place_hash(r.doc, r.line) % 2**64 == r.h % 2**64
+def test_slices_hash_words_and_number_lines(monkeypatch):
+    texts = [t.encode() for t in corpus(5, 40)] + [b"", b"\n\n", b"one line of words " * 60 + b"\nlast", b"x" * 500 + b"\n\ny"]
+    want = {(d, k): line.lower().split() for d, t in enumerate(texts) for k, line in enumerate(t.split(b"\n"))}
+    names = {}
+    for size in (1 << 20, 2000, 600):
+        monkeypatch.setattr(linededup, "SLICE_BYTES", size)
+        batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array(texts)], names=["doc", "text"])
+        got = {}
+        for lines in linededup.line_slices([batch]):
+            for h, i in zip(lines.words.tolist(), lines.line.tolist(), strict=True):
+                got.setdefault((int(lines.doc[i]), int(lines.number[i])), []).append(h)
+        assert set(got) == {k for k, w in want.items() if w}
+        for place, hashes in got.items():
+            for word, h in zip(want[place], hashes, strict=True):
+                assert names.setdefault(word, h) == h
+    assert len(set(names.values())) == len(names)
+
+
+def test_short_sets_are_counted():
+    words = np.array([1, 65, 129, 193, 257, 7, 7, 7, 7, 7, 1, 2], np.uint64)
+    lines = linededup.Lines(np.arange(3), np.arange(3), words, np.repeat([0, 1, 2], [5, 5, 2]))
+    assert linededup._enough(lines, 5).tolist() == [True, False, False]
 
 
 def test_long_line(spark, monkeypatch):
-    monkeypatch.setattr(linededup, "CHUNK", 50)
+    monkeypatch.setattr(linededup, "SLICE_BYTES", 50)
     texts = corpus(21, 25)
     assert set(rows(linededup.duplicate_lines(documents(spark, texts)), "doc", "line")) == plain(texts)
 

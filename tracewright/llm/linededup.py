@@ -4,14 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracewright.llm.common import CHUNK, arrow_schema, byte_words, fresh_name, map_arrow, map_columns, rows_of
+from tracewright.llm.common import WHITE, arrow_schema, fresh_name, map_arrow, map_columns, rows_of
 from tracewright.session import cut_lineage
 
 THRESHOLD = 0.8
@@ -20,20 +20,13 @@ COUNT_BITS = 22  # word counts are kept for 2**COUNT_BITS hash values, whatever
 FILTER_BITS = 25
 FIRST_CANDIDATES = 4  # candidates of a line that are verified before the rest is looked at
 HOT_RUN = 50_000  # lines with one rare word that one task compares
-SLICE_WORDS = 1 << 18
-CACHED = 400_000
-BINS = 16  # of the word histogram that bounds the overlap of two lines
+SLICE_BYTES = 1 << 20  # of text hashed at a time
+KEPT_KEYS = 400_000  # line keys that a task remembers
 
 ENTRY = "token long, doc long, line int, n int, pos int, s1 long, s2 long, probe boolean"
 PAIR = "x_doc long, x_line int, y_doc long, y_line int, more boolean"
 
 
-class WordHashes(dict):
-    def __missing__(self, word: bytes) -> int:
-        found = self[word] = xxhash.xxh64_intdigest(word)
-        return found
-
-
 @dataclass
 class Lines:
     """Some lines of some documents: line i is (doc[i], number[i]); word hashes with the index of their line."""
@@ -44,87 +37,145 @@ class Lines:
     line: np.ndarray
 
 
-def line_slices(batches, known: WordHashes) -> Iterator[Lines]:
-    """Lines of (id, text) batches, about SLICE_WORDS words at a time; documents without id are left out."""
-    doc, number, sizes, words = [], [], [], []
-    parts, held = [], 0
-
-    def hashed():
-        found = np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
-        words.clear()
-        if len(known) > CACHED:
-            known.clear()
-        return found
-
-    def flush():
-        nonlocal held
-        parts.append(hashed())
-        out = Lines(
-            np.array(doc, np.int64), np.array(number, np.int32), np.concatenate(parts),
-            np.repeat(np.arange(len(sizes)), np.array(sizes, np.int64)),
-        )
-        for each in (doc, number, sizes, parts):
-            each.clear()
-        held = 0
-        return out
+@lru_cache(maxsize=2)
+def _powers(size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of an odd base and of its inverse, modulo 2**64."""
+    base = 0x9E3779B97F4A7C15
+    out = []
+    for x in (base, pow(base, -1, 1 << 64)):
+        steps = np.full(size, x, np.uint64)
+        steps[0] = 1
+        out.append(np.multiply.accumulate(steps))
+    return out[0], out[1]
+
+
+def _mixed(h: np.ndarray) -> np.ndarray:
+    h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return h ^ (h >> np.uint64(31))
+
+
+def word_hashes(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(hash, first byte) of every word of ``data``, and the places of its line ends.
+
+    A word's hash is a polynomial of its bytes, so sums over the whole text give
+    all of them at once; it depends on the word alone.
+    """
+    codes = np.frombuffer(data, np.uint8)
+    inside = ~((codes == 32) | ((codes >= 9) & (codes <= 13)))
+    edges = np.flatnonzero(np.diff(np.r_[False, inside, False].astype(np.int8)))
+    starts, ends = edges[::2], edges[1::2]
+    up, down = _powers(1 << max(SLICE_BYTES.bit_length() + 1, len(codes).bit_length()))
+    sums = np.r_[np.uint64(0), np.cumsum((codes.astype(np.uint64) + np.uint64(1)) * up[: len(codes)])]
+    return _mixed((sums[ends] - sums[starts]) * down[starts]), starts, np.flatnonzero(codes == 10)
+
 
+def _segments(batches) -> Iterator[tuple[int, int, bytes, bool]]:
+    """(doc, number of the first line, text, goes on in a line begun before) of at most SLICE_BYTES and a word."""
     for names, texts in rows_of(batches):
         for name, text in zip(names, texts, strict=True):
             if name is None or text is None:
                 continue
-            for k, line in enumerate(text.lower().split(b"\n")):
-                if len(line) > CHUNK:
-                    parts.append(hashed())
-                    longs = [np.fromiter(map(known.__getitem__, w), np.uint64, len(w)) for w in byte_words(line)]
-                    parts += longs
-                    size = sum(map(len, longs))
-                else:
-                    found = line.split()
-                    words += found
-                    size = len(found)
-                if size:
-                    doc.append(name)
-                    number.append(k)
-                    sizes.append(size)
-                    held += size
-                if held >= SLICE_WORDS:
-                    yield flush()
+            at, number, goes_on = 0, 0, False
+            while at < len(text):
+                end = at + SLICE_BYTES
+                if end < len(text):
+                    cut = text.rfind(b"\n", at, end)
+                    found = None if cut >= at else WHITE.search(text, end)
+                    end = cut if cut >= at else found.start() if found else len(text)
+                part = text[at:end]
+                yield name, number, part, goes_on
+                number += part.count(b"\n")
+                goes_on = end < len(text) and text[end] != 10
+                if not goes_on:
+                    end, number = end + 1, number + 1
+                at = end
+
+
+def _groups(texts: tuple[bytes, ...]) -> Iterator[slice]:
+    """Consecutive texts of about SLICE_BYTES together; only a line longer than that needs more than one group."""
+    start = size = 0
+    for i, text in enumerate(texts):
+        if size >= SLICE_BYTES:
+            yield slice(start, i)
+            start, size = i, 0
+        size += len(text)
+    yield slice(start, len(texts))
+
+
+def line_slices(batches) -> Iterator[Lines]:
+    """Lines of (id, text) batches, about SLICE_BYTES at a time; documents without id are left out."""
+    held, size = [], 0
+
+    def flush() -> Lines:
+        docs, numbers, texts, goes_on = zip(*held, strict=True)
+        sizes = np.array([t.count(b"\n") + 1 for t in texts])
+        first = np.cumsum(sizes) - sizes
+        segment = np.repeat(np.arange(len(texts)), sizes)
+        number = np.array(numbers)[segment] + np.arange(len(segment)) - first[segment]
+        merged = np.ones(len(segment), bool)
+        merged[first[np.array(goes_on)]] = False
+        words, line, done = [], [], 0
+        for start in _groups(texts):
+            hashes, begins, breaks = word_hashes(b"\n".join(texts[start]).lower())
+            words.append(hashes)
+            line.append(np.searchsorted(breaks, begins) + done)
+            done += len(breaks) + 1
+        words, line = np.concatenate(words), (np.cumsum(merged) - 1)[np.concatenate(line)]
+        doc, number = np.array(docs, np.int64)[segment][merged], number[merged]
+        used = np.flatnonzero(np.bincount(line, minlength=len(doc)))
+        place = np.zeros(len(doc), np.int64)
+        place[used] = np.arange(len(used))
+        return Lines(doc[used], number[used].astype(np.int32), words, place[line])
+
+    for segment in _segments(batches):
+        # A slice ends before a new line, so that every line is whole.
+        if size >= SLICE_BYTES and not segment[3]:
+            out = flush()
+            if len(out.doc):
+                yield out
+            held, size = [], 0
+        held.append(segment)
+        size += len(segment[2]) + 1
     if held:
-        yield flush()
+        out = flush()
+        if len(out.doc):
+            yield out
 
 
-def _sets(lines: Lines, rank: np.ndarray | None = None):
-    """Different words of every line, sorted by (rank, hash): (hash, line, position, words per line, ranks)."""
-    of = lines.line
-    ranks = None
-    if rank is not None:
-        ranks = rank[(lines.words >> np.uint64(64 - COUNT_BITS)).astype(np.int64)]
-        of = of * 256 + ranks
-    order = np.lexsort((lines.words, of))
-    words, line = lines.words[order], lines.line[order]
-    new = np.r_[True, (words[1:] != words[:-1]) | (line[1:] != line[:-1])]
-    words, line = words[new], line[new]
-    n = np.bincount(line, minlength=len(lines.doc))
-    position = np.arange(len(line)) - (np.cumsum(n) - n)[line]
-    return words, line, position, n, None if ranks is None else ranks[order][new]
+def _starts(line: np.ndarray) -> np.ndarray:
+    return np.flatnonzero(np.r_[True, line[1:] != line[:-1]])
+
 
+def _class_keys(lines: Lines) -> tuple[np.ndarray, np.ndarray]:
+    """Two 64-bit sums over all words of a line: equal for lines with the same words, each as often."""
+    starts = _starts(lines.line)
+    return np.add.reduceat(lines.words, starts), np.add.reduceat(_mixed(lines.words ^ np.uint64(0x5851F42D4C957F2D)), starts)
 
-def _class_keys(words: np.ndarray, line: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Two 64-bit sums that tell word sets apart."""
-    starts = np.cumsum(n) - n
-    mixed = (words ^ (words >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
-    mixed ^= mixed >> np.uint64(32)
-    return np.add.reduceat(words, starts), np.add.reduceat(mixed * mixed, starts)
+
+def _enough(lines: Lines, least: int) -> np.ndarray:
+    """Which lines have ``least`` different words; the few that a sketch leaves open are counted."""
+    starts = _starts(lines.line)
+    sketch = np.bitwise_count(np.bitwise_or.reduceat(np.uint64(1) << (lines.words & np.uint64(63)), starts))
+    enough = sketch >= least
+    ends = np.r_[starts[1:], len(lines.line)]
+    for i in np.flatnonzero(~enough & (ends - starts >= least)):
+        enough[i] = len(np.unique(lines.words[starts[i] : ends[i]])) >= least
+    return enough
+
+
+def _slots(words: np.ndarray) -> np.ndarray:
+    return (words >> np.uint64(64 - COUNT_BITS)).astype(np.int64)
 
 
 def _profile(batches, target: pa.Schema, least: int):
-    """Lines with the key of their word set, then how many words fell to each hash value."""
+    """Lines with the key of their words, then how many words fell to each hash value."""
     counts = np.zeros(1 << COUNT_BITS, np.uint32)
-    for lines in line_slices(batches, WordHashes()):
-        np.add.at(counts, (lines.words >> np.uint64(64 - COUNT_BITS)).astype(np.int64), 1)
-        words, line, _, n, _ = _sets(lines)
-        a, b = _class_keys(words, line, n)
-        kept = np.flatnonzero(n >= least)
+    for lines in line_slices(batches):
+        slots, times = np.unique(_slots(lines.words), return_counts=True)
+        counts[slots] += times.astype(np.uint32)
+        a, b = _class_keys(lines)
+        kept = np.flatnonzero(_enough(lines, least))
         nothing = pa.nulls(len(kept), pa.int32())
         columns = [lines.doc[kept], lines.number[kept], a[kept].view(np.int64), b[kept].view(np.int64)]
         yield pa.RecordBatch.from_arrays([*map(pa.array, columns), nothing, nothing.cast(pa.int64())], schema=target)
@@ -141,40 +192,63 @@ def prefix_size(n: np.ndarray, threshold: float) -> np.ndarray:
     return n - np.ceil(threshold * n - 1e-9).astype(np.int64) + 1
 
 
-def _entries(batches, target: pa.Schema, rank, threshold: float, least: int):
+def _sets(lines: Lines, rank: np.ndarray):
+    """Different words of every line by (rank, hash): (hash, line, position, words per line, rank)."""
+    ranks = rank[_slots(lines.words)]
+    key = (lines.line.astype(np.uint64) << np.uint64(45)) | (ranks.astype(np.uint64) << np.uint64(37)) | (lines.words >> np.uint64(27))
+    order = np.argsort(key)
+    words, line = lines.words[order], lines.line[order]
+    new = np.r_[True, (words[1:] != words[:-1]) | (line[1:] != line[:-1])]
+    words, line = words[new], line[new]
+    n = np.bincount(line, minlength=len(lines.doc))
+    position = np.arange(len(line)) - (np.cumsum(n) - n)[line]
+    return words, line, position, n, ranks[order][new]
+
+
+def _entries(batches, target: pa.Schema, rank, threshold: float, least: int, places=None, tokens=None):
     """A row for every word of every line's prefix that another line may hold.
 
     Copies of a line that this task has seen further up in the corpus are left
-    out: they are exact copies of a line that is there.
+    out: they are exact copies of a line that is there. ``places`` and ``tokens``
+    are filters of lines and words; with ``places``, only rows that fit it are
+    probes, and with ``tokens``, only rows that fit that are made.
     """
     first: dict[tuple[int, int], tuple[int, int]] = {}
-    for lines in line_slices(batches, WordHashes()):
+    for lines in line_slices(batches):
         words, line, position, n, ranks = _sets(lines, rank.value)
-        a, b = _class_keys(words, line, n)
+        a, b = _class_keys(lines)
         wanted = n >= least
+        probe = np.ones(len(n), bool) if places is None else places.value.holds(place_hashes(lines.doc, lines.number))
         for i, key in enumerate(zip(a.tolist(), b.tolist(), strict=True)):
             if wanted[i]:
                 place = (int(lines.doc[i]), int(lines.number[i]))
                 if first.get(key, place) < place:
-                    wanted[i] = False
+                    wanted[i] = places is not None and probe[i]
                 else:
                     first[key] = place
-        if len(first) > CACHED:
+        if len(first) > KEPT_KEYS:
             first.clear()
-        bins = np.bincount(line * BINS + ((words >> np.uint64(8)) & np.uint64(BINS - 1)).astype(np.int64), minlength=len(n) * BINS)
-        profile = np.minimum(bins.reshape(-1, BINS), 255).astype(np.uint8).view(np.int64)
-        kept = np.flatnonzero((position < prefix_size(n, threshold)[line]) & (ranks > 0) & wanted[line])
+        # Parity of the words in each of 2 x 64 bins: lines differ in at least as many words as in bins.
+        starts = _starts(line)
+        s1 = np.bitwise_xor.reduceat(np.where(words & np.uint64(64), np.uint64(1) << (words & np.uint64(63)), np.uint64(0)), starts)
+        s2 = np.bitwise_xor.reduceat(np.where(words & np.uint64(64), np.uint64(0), np.uint64(1) << (words & np.uint64(63))), starts)
+        chosen = (position < prefix_size(n, threshold)[line]) & (ranks > 0) & wanted[line]
+        if tokens is not None:
+            chosen &= tokens.value.holds(words)
+        elif places is not None:
+            chosen &= probe[line]
+        kept = np.flatnonzero(chosen)
         of = line[kept]
         columns = [
             words[kept].view(np.int64), lines.doc[of], lines.number[of], n[of].astype(np.int32), position[kept].astype(np.int32),
-            profile[of, 0], profile[of, 1], np.ones(len(of), bool),
+            s1[of].view(np.int64), s2[of].view(np.int64), probe[of],
         ]
         if len(of):
             yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(c)) for c in columns], schema=target)
 
 
 def _run_pairs(entries: dict[str, np.ndarray], threshold: float, limit: int | None):
-    """Candidate pairs (x later, y earlier) of runs of one token, after the length, position and histogram bounds.
+    """Candidate pairs (x later, y earlier) of runs of one token, after the length, position and parity bounds.
 
     A line gets its nearest earlier candidates, ``limit`` of them; ``more`` says
     that earlier ones were not looked at.
@@ -182,7 +256,7 @@ def _run_pairs(entries: dict[str, np.ndarray], threshold: float, limit: int | No
     token, n, pos = entries["token"], entries["n"].astype(np.int64), entries["pos"].astype(np.int64)
     starts = np.r_[0, np.flatnonzero(token[1:] != token[:-1]) + 1]
     index = np.arange(len(token)) - np.repeat(starts, np.diff(np.r_[starts, len(token)]))
-    profile = np.stack([entries["s1"], entries["s2"]], axis=1).view(np.uint8).astype(np.int16)
+    s1, s2 = entries["s1"].view(np.uint64), entries["s2"].view(np.uint64)
     found = np.zeros(len(token), np.int64)
     more = np.zeros(len(token), bool)
     xs, ys = [], []
@@ -196,7 +270,7 @@ def _run_pairs(entries: dict[str, np.ndarray], threshold: float, limit: int | No
             np.minimum(nx - pos[x], ny - pos[y]) >= least
         )
         x, y, least = x[fits], y[fits], least[fits]
-        apart = np.abs(profile[x] - profile[y]).sum(axis=1)
+        apart = np.bitwise_count(s1[x] ^ s1[y]).astype(np.int64) + np.bitwise_count(s2[x] ^ s2[y])
         near = apart <= n[x] + n[y] - 2 * least
         same = (entries["doc"][x] == entries["doc"][y]) & (entries["line"][x] == entries["line"][y])
         x, y = x[near & ~same], y[near & ~same]
@@ -294,40 +368,53 @@ def _candidate_pairs(entries: DataFrame, threshold: float, limit: int | None, ho
     return pairs.unionByName(compared(cells.select(*names), None).select(*pair_names))
 
 
-def _line_place(doc, line):
-    return F.xxhash64(doc, line)
+class HashFilter:
+    """Which of 2**FILTER_BITS hash values occur: the same size for any input, with chance hits and no misses."""
+
+    def __init__(self, hashes: DataFrame):
+        """``hashes``: one column of longs."""
+        spot = F.shiftrightunsigned(F.col(hashes.columns[0]), 64 - FILTER_BITS)
+        words = hashes.select(spot.alias("spot")).groupBy(F.shiftright("spot", 5).cast("int").alias("word")).agg(
+            F.bit_or(F.expr("shiftleft(1L, cast(spot & 31 as int))")).alias("bits")
+        ).toArrow()
+        self.bits = np.zeros(1 << (FILTER_BITS - 5), np.uint32)
+        self.bits[words["word"].to_numpy()] = words["bits"].to_numpy().astype(np.uint32)
+
+    def holds(self, hashes: np.ndarray) -> np.ndarray:
+        spot = (hashes >> np.uint64(64 - FILTER_BITS)).astype(np.int64)
+        return (self.bits[spot >> 5] >> (spot & 31).astype(np.uint32) & np.uint32(1)).astype(bool)
 
 
-def _needed_filter(places: DataFrame) -> np.ndarray:
-    """Bits of the (doc, line) hashes that occur: 2**FILTER_BITS of them at any input size."""
-    spot = F.pmod(_line_place("doc", "line"), F.lit(1 << FILTER_BITS))
-    words = places.select(spot.alias("spot")).groupBy(F.shiftright("spot", 5).cast("int").alias("word")).agg(
-        F.bit_or(F.expr("shiftleft(1L, cast(spot & 31 as int))")).alias("bits")
-    ).toArrow()
-    out = np.zeros(1 << (FILTER_BITS - 5), np.uint32)
-    out[words["word"].to_numpy()] = words["bits"].to_numpy().astype(np.uint32)
-    return out
+def place_hashes(doc: np.ndarray, line: np.ndarray) -> np.ndarray:
+    with np.errstate(over="ignore"):
+        return _mixed(_mixed(doc.astype(np.int64).view(np.uint64)) + line.astype(np.uint64))
 
 
-def _place_hash(doc: int, line: int) -> int:
-    """Spark's xxhash64 of a long and an int."""
-    seed = xxhash.xxh64_intdigest(doc.to_bytes(8, "little", signed=True), 42)
-    return xxhash.xxh64_intdigest(line.to_bytes(4, "little", signed=True), seed)
+def _place_filter(places: DataFrame) -> HashFilter:
+    """Filter of (doc, line) rows."""
+
+    def work(columns: list[list]) -> list[list]:
+        return [place_hashes(np.array(columns[0], np.int64), np.array(columns[1], np.int64)).view(np.int64)]
+
+    return HashFilter(map_columns(places.select("doc", "line"), "hash long", work))
 
 
 def _word_sets(docs: DataFrame, needed) -> DataFrame:
     """(doc, line, words) of the lines that ``needed`` may name."""
 
     def work(columns: list[list]) -> list[list]:
-        bits, out = needed.value, [[], [], []]
+        out = [[], [], []]
         for name, text in zip(*columns, strict=True):
             if name is None or text is None:
                 continue
-            for k, line in enumerate(text.split(b"\n")):
-                spot = _place_hash(name, k) & ((1 << FILTER_BITS) - 1)
-                if bits[spot >> 5] >> (spot & 31) & 1:
-                    for column, value in zip(out, (name, k, [w.decode() for w in dict.fromkeys(line.lower().split())]), strict=True):
-                        column.append(value)
+            count = text.count(b"\n") + 1
+            chosen = np.flatnonzero(needed.value.holds(place_hashes(np.full(count, name, np.int64), np.arange(count))))
+            if len(chosen):
+                lines = text.split(b"\n")
+                for k in chosen.tolist():
+                    out[0].append(name)
+                    out[1].append(k)
+                    out[2].append([w.decode() for w in dict.fromkeys(lines[k].lower().split())])
         return out
 
     return map_columns(docs, "doc long, line int, words array<string>", work)
@@ -339,7 +426,7 @@ def _verified(pairs: DataFrame, docs: DataFrame, threshold: float) -> DataFrame:
     places = pairs.select(F.col("x_doc").alias("doc"), F.col("x_line").alias("line")).unionByName(
         pairs.select(F.col("y_doc").alias("doc"), F.col("y_line").alias("line"))
     )
-    bits = spark.sparkContext.broadcast(_needed_filter(places))
+    bits = spark.sparkContext.broadcast(_place_filter(places))
     sets = cut_lineage(_word_sets(docs, bits).dropDuplicates(["doc", "line"]))
     for side in "xy":
         named = sets.select(F.col("doc").alias(f"{side}_doc"), F.col("line").alias(f"{side}_line"), F.col("words").alias(f"{side}_words"))
@@ -370,7 +457,7 @@ def duplicate_lines(
     Exact copies meet by the key of their word set. Others meet on the rarest
     words of a line, as many as similarity demands; counts over the whole corpus
     order words by rarity, and a word that occurs once meets nothing. Length,
-    position and histogram bounds leave few candidates; these are verified by
+    position and parity bounds leave few candidates; these are verified by
     their words. A line is done with when one of its nearest
     ``first_candidates`` candidates is similar; lines with further candidates and
     none similar have all of them verified.
@@ -401,22 +488,16 @@ def duplicate_lines(
         state.filter("more and not similar").select(F.col("x_doc").alias("doc"), F.col("x_line").alias("line"))
     )
     if not open_lines.isEmpty():
-        rest = _open_entries(entries, open_lines)
-        further = _candidate_pairs(rest, threshold, None, hot_run).dropDuplicates(["x_doc", "x_line", "y_doc", "y_line"])
+        at = spark.sparkContext.broadcast(_place_filter(open_lines))
+        asked = map_arrow(texts, lambda batches: _entries(batches, target, ranks, threshold, least_words, at), ENTRY)
+        words = spark.sparkContext.broadcast(HashFilter(asked.select("token").distinct()))
+        rest = map_arrow(texts, lambda batches: _entries(batches, target, ranks, threshold, least_words, at, words), ENTRY)
+        further = _candidate_pairs(rest, threshold, None, hot_run).drop("more").distinct().withColumn("more", F.lit(False))
         again = _verified(further, texts, threshold).filter("similar")
         near = near.unionByName(again.select(F.col("x_doc").alias("doc"), F.col("x_line").alias("line")))
     return copies.unionByName(near).distinct()
 
 
-def _open_entries(entries: DataFrame, open_lines: DataFrame) -> DataFrame:
-    """All entries of the words that ``open_lines`` have in their prefixes; only those lines are probes."""
-    marked = entries.drop("probe").join(open_lines.withColumn("open", F.lit(True)), ["doc", "line"], "left")
-    marked = cut_lineage(marked.withColumn("probe", F.coalesce("open", F.lit(False))).drop("open"))
-    tokens = marked.filter("probe").select("token").distinct()
-    names = [f.split()[0] for f in ENTRY.split(", ")]
-    return marked.join(tokens, "token", "left_semi").select(*names)
-
-
 def remove_duplicate_lines(
     docs: DataFrame,
     id_col: str = "doc_id",
