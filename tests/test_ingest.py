@@ -66,3 +66,33 @@ def test_stream_equals_batch(spark, tmp_path):
     assert sorted(r["event_uid"] for r in got.collect()) == want
     row = got.first()
     assert row["provenance"]["parser"] == "pecmd" and json.loads(json.dumps(row["attributes"]))["run_timestamp_field"] == "LastRun"
+
+
+def test_every_line_is_stored_or_rejected(spark, tmp_path):
+    lines = ['{"Timestamp": "2024-01-01 00:00:00", "RuleTitle": "r"}', "{broken", "", '{"Timestamp": "never"}', '{"Timestamp": "2024-01-02 00:00:00"}']
+    path = tmp_path / "d.jsonl"
+    path.write_text("\n".join(lines))
+    store = str(tmp_path / "store")
+    got = I.import_source(spark, store, "C", "hayabusa", str(path))
+    assert (got["inserted"], got["rejected"], got["malformed"], got["duplicates"]) == (2, 1, 1, 0)
+    assert sorted((r["reason"], r["source_row"]) for r in I.read_rejects(spark, store).collect()) == [("malformed JSON", 2), ("unreadable time", 4)]
+
+
+def test_fingerprint_tells_content_order_and_line_ends(spark, tmp_path):
+    seen = set()
+    for i, data in enumerate([b"a\nb\n", b"a\nb", b"b\na\n", b"a\r\nb\n", b"", b"\n", b"a\nc\n"]):
+        (tmp_path / f"f{i}").write_bytes(data)
+        seen.add(I.source_fingerprint(spark, str(tmp_path / f"f{i}"))["sha256"])
+    assert len(seen) == 7
+    (tmp_path / "same").write_bytes(b"a\nb\n")
+    assert I.source_fingerprint(spark, str(tmp_path / "same"))["sha256"] in seen
+
+
+def test_store_reads_are_pruned(spark, tmp_path):
+    path = write_csv(tmp_path / "pf.csv", P.REQUIRED["pecmd"], prefetch_rows(3))
+    store = str(tmp_path / "store")
+    I.import_source(spark, store, "C", "pecmd", path)
+    stored = I.read_events(spark, store)
+    plan = I.stored_alike(stored, stored)._jdf.queryExecution().executedPlan().toString()
+    folders, pushed = (plan.split(f"{kind}: [")[1].split("], ")[0] for kind in ("PartitionFilters", "PushedFilters"))
+    assert "case_id" in folders and "source_tool" in folders and "GreaterThanOrEqual(event_ts" in pushed

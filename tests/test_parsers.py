@@ -43,6 +43,18 @@ def test_log_rows(spark, tmp_path):
     assert good.count() == 2 and bad.count() == 1
 
 
+def test_files_with_other_headers(spark, tmp_path):
+    row = {"SourceFilename": "s", "ExecutableName": "A.EXE", "LastRun": "2024-01-01 00:00:00"}
+    first = write_csv(tmp_path / "a.csv", P.REQUIRED["pecmd"], [row])
+    second = write_csv(tmp_path / "b c.csv", P.REQUIRED["pecmd"][::-1] + ["Note"], [{**row, "ExecutableName": "B.EXE", "Note": "n"}])
+    (tmp_path / "empty.csv").write_text("")
+    got = P.prefetch_events(spark, [first, second, str(tmp_path / "empty.csv")], "C").collect()
+    assert sorted((r["executable"], r["timestamp"]) for r in got) == [("A.EXE", row["LastRun"]), ("B.EXE", row["LastRun"])]
+    bad = write_csv(tmp_path / "d.csv", P.REQUIRED["pecmd"][1:], [{"LastRun": "2024-01-01"}])
+    with pytest.raises(P.MissingColumns, match="SourceFilename"):
+        P.prefetch_events(spark, [first, bad], "C")
+
+
 def test_missing_header(spark, tmp_path):
     path = write_csv(tmp_path / "x.csv", ["TimeCreated"], [{"TimeCreated": "2024-01-01"}])
     with pytest.raises(P.MissingColumns, match="EventId"):

@@ -260,6 +260,13 @@ def edge_statistics(edges: DataFrame) -> DataFrame:
     return counts.unionByName(top)
 
 
+def edge_counts(edges: DataFrame) -> DataFrame:
+    """(relationship_type, confidence, n, mean_score)."""
+    return edges.groupBy("relationship_type", "confidence").agg(
+        F.count(F.lit(1)).alias("n"), F.avg("score").alias("mean_score")
+    )
+
+
 def node_degrees(edges: DataFrame) -> DataFrame:
     """(event_uid, degree)."""
     return (

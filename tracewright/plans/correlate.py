@@ -22,7 +22,7 @@ from tracewright.operators.interval import crowded_anchors, interval_join
 RULE_VERSION = "1.2"
 DETECTION_WINDOW = 2.0
 GENERIC_WINDOW = 1.0
-MAX_WINDOW_EVENTS = 5000
+REFERENCE_WINDOW_EVENTS = 5000
 EXECUTABLE_FANOUT = 10
 
 # Attribute names that may hold the record number or log file.
@@ -187,12 +187,25 @@ def candidate_keys(events: DataFrame) -> DataFrame:
     )
 
 
-def uncrowded_anchors(
-    events: DataFrame, *, window: float = GENERIC_WINDOW, limit: int = MAX_WINDOW_EVENTS
+def uncrowded_anchors(events: DataFrame, *, window: float = GENERIC_WINDOW, limit: int | None = None) -> DataFrame:
+    """Anchors whose window holds at most ``limit`` events of other tools; all anchors without a limit."""
+    anchors = generic_anchors(events)
+    if limit is None:
+        return anchors
+    return anchors.join(_crowded(anchors, events, window, limit), "event_uid", "left_anti")
+
+
+def skipped_anchors(
+    events: DataFrame, *, window: float = GENERIC_WINDOW, limit: int = REFERENCE_WINDOW_EVENTS
 ) -> DataFrame:
-    """Anchors whose window holds at most ``limit`` events of other tools."""
+    """(case_id, event_uid, source_tool, event_ts) of the anchors that a crowd limit leaves out."""
     anchors = generic_anchors(events)
-    crowded = crowded_anchors(
+    kept = ["case_id", "event_uid", "source_tool", "event_ts"]
+    return anchors.join(_crowded(anchors, events, window, limit), "event_uid", "left_semi").select(*kept)
+
+
+def _crowded(anchors: DataFrame, events: DataFrame, window: float, limit: int) -> DataFrame:
+    return crowded_anchors(
         anchors.select("case_id", "event_uid", "source_tool", "ts_us"),
         events.filter(F.col("event_ts").isNotNull()).select(
             "case_id", "source_tool", micros(F.col("event_ts")).alias("ts_us")
@@ -204,7 +217,6 @@ def uncrowded_anchors(
         window_us=_us(window),
         limit=limit,
     )
-    return anchors.join(crowded, "event_uid", "left_anti")
 
 
 def shared_key_matches(
@@ -326,10 +338,14 @@ def correlate(
     *,
     detection_window: float = DETECTION_WINDOW,
     generic_window: float = GENERIC_WINDOW,
-    crowd_limit: int = MAX_WINDOW_EVENTS,
+    crowd_limit: int | None = None,
     fanout: int = EXECUTABLE_FANOUT,
 ) -> DataFrame:
-    """All edges of the three link rules, one row per edge."""
+    """All edges of the three link rules, one row per edge.
+
+    No anchor is left out unless ``crowd_limit`` is given; ``skipped_anchors``
+    lists those that a limit leaves out.
+    """
     anchors = uncrowded_anchors(events, window=generic_window, limit=crowd_limit)
     matches = detection_matches(events, window=detection_window).unionByName(
         shared_key_matches(anchors, events, window=generic_window, fanout=fanout)

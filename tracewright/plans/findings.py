@@ -341,12 +341,19 @@ def shortcut_targets(events: DataFrame) -> DataFrame:
     return rows.filter(is_lead_target(F.col("target")))
 
 
-def standalone_leads(events: DataFrame, run_id: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """One lead per qualifying shortcut target."""
+def standalone_leads(
+    events: DataFrame, run_id: str, *, without_cases: DataFrame | None = None
+) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """One lead per case and qualifying shortcut target.
+
+    Finding ids hash the case too, as one table holds many cases. Cases of
+    ``without_cases`` give no lead.
+    """
     kind = "STANDALONE_ARTIFACT_LEAD"
     rows = shortcut_targets(events)
-    grouped = rows.groupBy("target").agg(
-        F.min("case_id").alias("case_id"),
+    if without_cases is not None:
+        rows = rows.join(without_cases.select("case_id").distinct(), "case_id", "left_anti")
+    grouped = rows.groupBy("case_id", "target").agg(
         F.min("timestamp").alias("start_timestamp"),
         F.max("timestamp").alias("end_timestamp"),
         F.count_distinct("event_uid").alias("evidence_count"),
@@ -358,7 +365,7 @@ def standalone_leads(events: DataFrame, run_id: str) -> tuple[DataFrame, DataFra
     source = F.concat_ws(
         "|", F.lit("LNK"), F.when(runnable, "EXECUTABLE_OR_SCRIPT").otherwise("ARCHIVE_OR_PACKAGE"), "target"
     )
-    fid = finding_id(kind, source)
+    fid = finding_id(kind, F.concat_ws("|", F.col("case_id"), source))
     # The file name of the title is taken after the last slash only, as paths are kept raw.
     name = F.regexp_extract("original", r"([^/]*)$", 1)
     headers = _header(
@@ -398,8 +405,8 @@ def build_findings(
 ) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(findings, finding_evidence, finding_values) of all producers.
 
-    Shortcut leads are a fallback: they are made only when the other producers
-    made nothing, which one existence check decides.
+    Shortcut leads are a fallback: they are made for the cases in which the
+    other producers made nothing.
     """
     parts = [
         candidate_leads(events, candidates, candidate_events, candidate_keys, clusters, cluster_events, run_id),
@@ -411,9 +418,8 @@ def build_findings(
         reduce(lambda a, b: a.unionByName(b), [p[i] for p in parts]) for i in range(3)
     )
     findings = cut_lineage(findings)
-    if findings.isEmpty():
-        return standalone_leads(events, run_id)
-    return findings, evidence, values
+    lone = standalone_leads(events, run_id, without_cases=findings)
+    return findings.unionByName(lone[0]), evidence.unionByName(lone[1]), values.unionByName(lone[2])
 
 
 def linked_evidence_count(findings: DataFrame, evidence: DataFrame) -> DataFrame:

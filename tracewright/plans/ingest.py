@@ -14,13 +14,12 @@ from pyspark.sql import types as T
 from tracewright.operators.skew import first_by
 from tracewright.schema import EVENT_SCHEMA, union_all
 from tracewright.session import cut_lineage
-from tracewright.sources.inventory import fingerprints, list_files
-from tracewright.sources.parsers import ADAPTERS, number_records, split_unparseable
+from tracewright.sources.inventory import list_files
+from tracewright.sources.parsers import ADAPTERS, limit_rows, number_records, read_detections, split_unparseable
 
 # Ledger states, gap-fill order and its states.
 PARTIAL, COMPLETED = "PARTIAL", "COMPLETED"
 GAP_FILL_ORDER = ["recmd", "lecmd", "hayabusa"]
-MAX_WHOLE_FILE = 256 * 1024 * 1024
 NO_SOURCE, ALREADY, FILLED = "SKIPPED_NO_SOURCE", "ALREADY_COMPLETE", "COMPLETED_MISSING_EVENTS"
 
 LEDGER_SCHEMA = T.StructType(
@@ -81,6 +80,49 @@ def missing_events(events: DataFrame, stored: DataFrame) -> DataFrame:
     return unique.join(stored.select("event_uid"), "event_uid", "left_anti")
 
 
+def stored_alike(events: DataFrame, stored: DataFrame) -> DataFrame:
+    """The part of the store that can hold the uids of ``events``.
+
+    A uid is a hash of case, tool and time among others, so only the cases and
+    tools of the batch (partition folders) and its time range (file statistics)
+    are read.
+    """
+    row = events.agg(
+        F.collect_set("case_id").alias("cases"), F.collect_set("source_tool").alias("tools"),
+        F.min("event_ts").alias("low"), F.max("event_ts").alias("high"),
+    ).first()
+    if row["low"] is None:
+        return stored.limit(0)
+    return stored.filter(
+        F.col("case_id").isin(row["cases"]) & F.col("source_tool").isin(row["tools"])
+        & F.col("event_ts").between(F.lit(row["low"]), F.lit(row["high"]))
+    )
+
+
+REJECT_SCHEMA = "source_file string, source_row long, event_uid string, value string, reason string"
+UNREADABLE_TIME = "unreadable time"
+
+
+def untimed_rejects(events: DataFrame) -> DataFrame:
+    """Reject rows of events whose time cannot be read."""
+    return events.select(
+        F.col("provenance.parser_output").alias("source_file"), F.col("provenance.source_row").alias("source_row"),
+        "event_uid", F.col("timestamp").alias("value"), F.lit(UNREADABLE_TIME).alias("reason"),
+    )
+
+
+def write_rejects(rejects: DataFrame, store: str, batch: str) -> None:
+    """Keep the rejected rows of one batch beside the store."""
+    rejects.write.mode("overwrite").parquet(f"{store}/rejects/batch={batch}")
+
+
+def read_rejects(spark: SparkSession, store: str) -> DataFrame:
+    """All rejected rows; empty before the first reject."""
+    return _read(spark, f"{store}/rejects", T._parse_datatype_string(REJECT_SCHEMA)).select(
+        "source_file", "source_row", "event_uid", "value", "reason"
+    )
+
+
 def first_by_uid(events: DataFrame) -> DataFrame:
     """One row per uid; the lowest source row wins."""
     return first_by(events, ["event_uid"], ["provenance.source_row", "timestamp"]).select(*events.columns)
@@ -121,18 +163,18 @@ def last_import(ledger: DataFrame, import_id: str):
 
 
 def source_fingerprint(spark: SparkSession, path: str) -> dict:
-    """Size and content hash of one source file.
+    """Size and content digest of one source file, of the same kind at every size.
 
-    A file too large for one value gets an order-sensitive line digest that is
-    summed over its splits instead of a hash of its bytes.
+    Lines are cut at line feeds alone, so carriage returns count as content. The
+    hash of every numbered line is summed over the splits; the digest is the
+    hash of that sum and the size, which also tells a last line feed.
     """
     size = list_files(spark, path).agg(F.sum("length")).first()[0]
-    if size <= MAX_WHOLE_FILE:
-        return {"sha256": fingerprints(spark, path).first()["sha256"], "length": size}
-    lines = number_records(spark.read.text(path), 1)
+    lines = number_records(spark.read.option("lineSep", "\n").text(path), 1)
     head = F.substring(F.sha2(F.concat_ws("|", F.col("source_row").cast("string"), "value"), 256), 1, 15)
-    digest = lines.agg(F.sum(F.conv(head, 16, 10).cast("decimal(38,0)"))).first()[0]
-    return {"sha256": f"lines-{digest}", "length": size}
+    total = F.coalesce(F.sum(F.conv(head, 16, 10).cast("decimal(38,0)")), F.lit(0)).cast("string")
+    digest = lines.agg(F.sha2(F.concat_ws("|", F.lit(str(size)), total), 256).alias("digest")).first()["digest"]
+    return {"sha256": digest, "length": size}
 
 
 def import_source(
@@ -141,8 +183,10 @@ def import_source(
     """Import one parser output, resuming after the last imported record.
 
     A changed source or a finished import is refused. ``max_rows`` bounds the
-    source rows and leaves the import PARTIAL. Returns a summary with the
-    rejected row count; rejected rows are written beside the store.
+    source rows and leaves the import PARTIAL. Returns a summary whose parsed
+    events are the inserted, the duplicates and the rejected ones; rejected rows
+    (events without a readable time, and malformed lines, counted apart) are
+    written beside the store.
     """
     source = source_fingerprint(spark, path)
     ledger = read_ledger(spark, store)
@@ -163,12 +207,18 @@ def import_source(
     checked(batch, case_id, tool, start_row)
     good, rejected = split_unparseable(batch)
     name = f"{import_id[:16]}-{start_row or first}"
-    fresh = cut_lineage(missing_events(good, read_events(spark, store, without_batch=name)))
+    fresh = cut_lineage(missing_events(good, stored_alike(good, read_events(spark, store, without_batch=name))))
+    rejects = untimed_rejects(rejected)
+    malformed = 0
+    if tool == "hayabusa":
+        lines = cut_lineage(limit_rows(read_detections(spark, path)[1], start_row, max_row))
+        malformed = lines.count()
+        rejects = rejects.unionByName(lines.withColumn("event_uid", F.lit(None).cast("string")))
     counts = batch.agg(F.count(F.lit(1)).alias("n"), F.max("provenance.source_row").alias("last")).first()
     inserted, refused = fresh.count(), rejected.count()
     write_batch(fresh, store, name)
-    if refused:
-        rejected.write.mode("overwrite").parquet(f"{store}/rejects/batch={name}")
+    if refused + malformed:
+        write_rejects(rejects, store, name)
     last = counts["last"] if counts["last"] is not None else (previous["last_source_row"] if previous else None)
     status = PARTIAL if max_rows is not None else COMPLETED
     row = (
@@ -180,29 +230,32 @@ def import_source(
         "append"
     ).parquet(f"{store}/imports")
     return {
-        "import_id": import_id, "status": status, "inserted": inserted, "rejected": refused,
+        "import_id": import_id, "status": status, "inserted": inserted, "rejected": refused, "malformed": malformed,
         "duplicates": counts["n"] - refused - inserted, "last_source_row": last,
     }
 
 
 def gap_fill(spark: SparkSession, store: str, case_id: str, inputs: dict[str, str | list[str]]) -> DataFrame:
     """Insert missing events of the gap-fill tools: (tool, state, existing,
-    normalized, inserted). Duplicate uids inside one output are an error."""
+    normalized, inserted, rejected). Duplicate uids inside one output are an
+    error; events without a readable time are kept as rejects."""
     rows = []
     for tool in GAP_FILL_ORDER:
         stored = read_events(spark, store).filter((F.col("case_id") == case_id) & (F.col("source_tool") == tool))
         existing = stored.count()
         if not inputs.get(tool):
-            rows.append((tool, NO_SOURCE, existing, 0, 0))
+            rows.append((tool, NO_SOURCE, existing, 0, 0, 0))
             continue
         batch = cut_lineage(checked(ADAPTERS[tool](spark, inputs[tool], case_id), case_id, tool))
         n, distinct = batch.agg(F.count(F.lit(1)), F.count_distinct("event_uid")).first()
         if n != distinct:
             raise InvalidEvents(f"{tool} output gives duplicate event keys")
-        good, _ = split_unparseable(batch)
-        fresh = cut_lineage(missing_events(good, stored))
-        inserted = fresh.count()
+        good, rejected = split_unparseable(batch)
+        fresh = cut_lineage(missing_events(good, stored_alike(good, stored)))
+        inserted, refused = fresh.count(), rejected.count()
+        if refused:
+            write_rejects(untimed_rejects(rejected), store, f"gap-{case_id}-{tool}-{existing}")
         if inserted:
             write_batch(fresh, store, f"gap-{case_id}-{tool}-{existing}")
-        rows.append((tool, FILLED if inserted else ALREADY, existing, n, inserted))
-    return spark.createDataFrame(rows, "tool string, state string, existing long, normalized long, inserted long")
+        rows.append((tool, FILLED if inserted else ALREADY, existing, n, inserted, refused))
+    return spark.createDataFrame(rows, "tool string, state string, existing long, normalized long, inserted long, rejected long")

@@ -9,8 +9,9 @@ from pyspark.sql import functions as F
 
 from tracewright.functions.text import clean, first_nonempty
 from tracewright.functions.times import canonical_ts
+from tracewright.operators.ranking import number_rows
 
-# Result size bounds and the known placeholder time.
+# The default result bound and the known placeholder time.
 MAX_LIMIT = 10_000
 PLACEHOLDER_TIME = "2000-01-01 00:00:00"
 TARGET_SOURCES = ["LNK.TargetCreated", "LNK.TargetModified", "LNK.TargetAccessed"]
@@ -22,10 +23,18 @@ LIST_COLUMNS = [
 ]
 
 
-def _checked(limit: int) -> int:
+def _bounded(rows: DataFrame, limit: int | None) -> DataFrame:
+    """The first ``limit`` rows (at most MAX_LIMIT), or all rows without a limit."""
+    if limit is None:
+        return rows
     if not 1 <= limit <= MAX_LIMIT:
-        raise ValueError(f"limit must be between 1 and {MAX_LIMIT}")
-    return limit
+        raise ValueError(f"limit must be between 1 and {MAX_LIMIT}, or None for all rows")
+    return rows.limit(limit)
+
+
+def in_case(events: DataFrame, case_id: str | None) -> DataFrame:
+    """Rows of one case; of all cases without one."""
+    return events if case_id is None else events.filter(F.col("case_id") == case_id)
 
 
 def get_event(events: DataFrame, case_id: str, uid: str) -> DataFrame:
@@ -33,7 +42,9 @@ def get_event(events: DataFrame, case_id: str, uid: str) -> DataFrame:
     return events.filter((F.col("case_id") == case_id) & (F.col("event_uid") == uid))
 
 
-def events_by_time(events: DataFrame, start: str, end: str, *, limit: int = 1000) -> DataFrame:
+def events_by_time(
+    events: DataFrame, start: str, end: str, *, case_id: str | None = None, limit: int | None = 1000
+) -> DataFrame:
     """Events of a closed time range in time order."""
     low, high = canonical_ts(F.lit(start)), canonical_ts(F.lit(end))
     bounds = events.sparkSession.range(1).select(low.alias("low"), high.alias("high")).first()
@@ -41,21 +52,17 @@ def events_by_time(events: DataFrame, start: str, end: str, *, limit: int = 1000
         raise ValueError("unsupported timestamp format")
     if bounds["low"] > bounds["high"]:
         raise ValueError("start_time must not be after end_time")
-    return (
-        events.filter(F.col("event_ts").between(low, high))
-        .orderBy("event_ts", "event_uid")
-        .limit(_checked(limit))
-        .select(*LIST_COLUMNS)
-    )
+    rows = in_case(events, case_id).filter(F.col("event_ts").between(low, high)).orderBy("event_ts", "event_uid")
+    return _bounded(rows, limit).select(*LIST_COLUMNS)
 
 
-def events_by_artifact(events: DataFrame, artifact_type: str, *, limit: int = 1000) -> DataFrame:
+def events_by_artifact(
+    events: DataFrame, artifact_type: str, *, case_id: str | None = None, limit: int | None = 1000
+) -> DataFrame:
     """Events of one artifact type in raw timestamp order."""
-    return (
-        events.filter(F.col("artifact_type") == artifact_type)
-        .orderBy("timestamp", "event_uid")
-        .limit(_checked(limit))
-        .select("event_uid", "timestamp", "artifact_type", "event_type", "source_tool", "description")
+    rows = in_case(events, case_id).filter(F.col("artifact_type") == artifact_type).orderBy("timestamp", "event_uid")
+    return _bounded(rows, limit).select(
+        "event_uid", "timestamp", "artifact_type", "event_type", "source_tool", "description"
     )
 
 
@@ -65,20 +72,17 @@ def windows_events(
     event_id: str | None = None,
     provider: str | None = None,
     channel: str | None = None,
-    limit: int = 1000,
+    case_id: str | None = None,
+    limit: int | None = 1000,
 ) -> DataFrame:
     """Log events under every filter that is given."""
     wanted = {"windows_event_id": event_id, "provider": provider, "channel": channel}
     conditions = [F.col("artifact_type") == "evtx"]
     conditions += [F.col(name) == value for name, value in wanted.items() if value is not None]
-    return (
-        events.filter(reduce(lambda a, b: a & b, conditions))
-        .orderBy("timestamp", "event_uid")
-        .limit(_checked(limit))
-        .select(
-            "event_uid", "timestamp", "hostname", "windows_event_id", "provider", "channel", "username",
-            "process_id", "description",
-        )
+    rows = in_case(events, case_id).filter(reduce(lambda a, b: a & b, conditions)).orderBy("timestamp", "event_uid")
+    return _bounded(rows, limit).select(
+        "event_uid", "timestamp", "hostname", "windows_event_id", "provider", "channel", "username",
+        "process_id", "description",
     )
 
 
@@ -109,12 +113,13 @@ def specific_path(display: Column) -> Column:
     return ~bare.isin(GENERIC_SHELL_PATHS)
 
 
-def timeline_examples(events: DataFrame, *, preserved: bool | None = None, limit: int = 500) -> DataFrame:
+def timeline_examples(
+    events: DataFrame, *, preserved: bool | None = None, case_id: str | None = None, limit: int | None = 500
+) -> DataFrame:
     """First trusted events with a display text."""
+    rows = in_case(events, case_id).filter(trusted_time(preserved)).orderBy("timestamp", "event_uid")
     return (
-        events.filter(trusted_time(preserved))
-        .orderBy("timestamp", "event_uid")
-        .limit(limit)
+        _bounded(rows, limit)
         .select(
             "event_uid", "timestamp", "timestamp_source", "source_tool", "artifact_type",
             activity_display("path", "target_path", "executable", "command_line", "description").alias("display"),
@@ -123,24 +128,39 @@ def timeline_examples(events: DataFrame, *, preserved: bool | None = None, limit
 
 
 def latest_run(runs: DataFrame, version_column: str, version: str) -> DataFrame:
-    """The newest COMPLETED run of a version: one row or none."""
+    """The newest COMPLETED run of a version: one row per case, where runs name their case, or one row at most."""
+    by = [c for c in ("case_id",) if c in runs.columns]
     return (
         runs.filter((F.col("status") == "COMPLETED") & (F.col(version_column) == version))
+        .groupBy(*by)
         .agg(F.max_by("run_id", F.struct("completed_utc", "run_id")).alias("run_id"))
         .filter(F.col("run_id").isNotNull())
     )
 
 
 def rows_of_latest_run(rows: DataFrame, runs: DataFrame, version_column: str, version: str) -> DataFrame:
-    """Rows that belong to the newest completed run. The run side is one row."""
-    return rows.join(F.broadcast(latest_run(runs, version_column, version)), "run_id", "left_semi")
+    """Rows that belong to the newest completed run (of their case)."""
+    newest = latest_run(runs, version_column, version)
+    on = [c for c in newest.columns if c in rows.columns]
+    return rows.join(newest, on, "left_semi")
 
 
 def finding_evidence_lists(findings: DataFrame, evidence: DataFrame) -> DataFrame:
-    """Evidence rows of findings in (role, family, uid) order as a table."""
+    """Evidence rows of findings with their position in (role, family, uid) order, counted from 1 per finding.
+
+    All rows are numbered by a range sort, and a finding's positions start at
+    its smallest number, so no task needs a whole finding.
+    """
+    rows = evidence.join(findings.select("finding_id"), "finding_id", "left_semi").select(
+        "finding_id", "evidence_role", "evidence_family", "event_uid"
+    )
+    order = [F.col(c) for c in ("finding_id", "evidence_role", "evidence_family", "event_uid")]
+    numbered = number_rows(rows, order, "_number")
+    first = numbered.groupBy("finding_id").agg(F.min("_number").alias("_first"))
     return (
-        evidence.join(findings.select("finding_id"), "finding_id", "left_semi")
-        .select("finding_id", "evidence_role", "evidence_family", "event_uid")
+        numbered.join(first, "finding_id")
+        .withColumn("position", F.col("_number") - F.col("_first") + 1)
+        .drop("_number", "_first")
     )
 
 

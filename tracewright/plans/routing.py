@@ -78,7 +78,8 @@ def apply_results(routes: DataFrame, fast: DataFrame, deep: DataFrame) -> DataFr
     A deep result closes the finding. A fast result on a fast route completes
     it or escalates it.
     """
-    quick = fast.select("finding_id", F.col("escalate").alias("_escalate")).dropDuplicates(["finding_id"])
+    # Any fast result that escalates decides.
+    quick = fast.groupBy("finding_id").agg(F.max("escalate").alias("_escalate"))
     slow = deep.select("finding_id").distinct().withColumn("_deep", F.lit(True))
     status = (
         F.when(F.col("_deep"), "ANALYZED_8B")

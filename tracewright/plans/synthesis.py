@@ -66,7 +66,8 @@ def results_by_precedence(findings: DataFrame, deep: DataFrame, fast: DataFrame,
     fields = ["assessment", "priority", "confidence"]
 
     def side(results: DataFrame, prefix: str) -> DataFrame:
-        one = results.dropDuplicates(["finding_id"])
+        # Of several results of a finding the first in field order counts.
+        one = first_by(results.select("finding_id", *fields), ["finding_id"], fields)
         return one.select("finding_id", F.lit(True).alias(f"{prefix}_hit"), *[F.col(c).alias(f"{prefix}_{c}") for c in fields])
 
     counted = references.groupBy("finding_id").agg(

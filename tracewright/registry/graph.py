@@ -15,7 +15,7 @@ from tracewright.session import cut_lineage
 RUN = "run-1"
 # The tables hold few events per second, so windows are widened to half an hour.
 WINDOW = 1800.0
-CROWD = 5000
+CROWD = None
 
 # Keys, windows, scores and keep-first stated naively in SQL.
 KEYS_CTE = (
@@ -43,7 +43,7 @@ windowed AS (
   SELECT a.event_uid, count(c.event_uid) AS n FROM anchors a LEFT JOIN ev c
     ON c.source_tool <> a.source_tool AND c.us BETWEEN a.us - 1800000000 AND a.us + 1800000000
   GROUP BY a.event_uid),
-calm AS (SELECT a.* FROM anchors a JOIN windowed w USING (event_uid) WHERE w.n <= 5000)
+calm AS (SELECT * FROM anchors)
 """
 )
 EDGES_CTE = (
@@ -196,6 +196,19 @@ def edge_stats(spark, sf_dir):
     return C.edge_statistics(staged_graph(spark, sf_dir)[1])
 
 
+@query(
+    "edge_counts",
+    f"""WITH {EDGES_CTE} SELECT relationship_type, confidence, count(*) AS n, round(avg(score), 4) AS mean_score FROM edges GROUP BY 1, 2""",
+)
+def edge_counts(spark, sf_dir):
+    return C.edge_counts(staged_graph(spark, sf_dir)[1]).withColumn("mean_score", F.round("mean_score", 4))
+
+
+@query("skipped_anchors", f"WITH {CALM_CTE} SELECT event_uid, source_tool FROM windowed JOIN anchors USING (event_uid) WHERE n > 20")
+def skipped_anchors(spark, sf_dir):
+    return K.skipped_anchors(demo_events(spark, sf_dir), window=WINDOW, limit=20).select("event_uid", "source_tool")
+
+
 @query(
     "top_edges",
     f"""WITH {EDGES_CTE} SELECT edge_uid, score, time_delta_seconds FROM edges

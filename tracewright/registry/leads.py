@@ -568,7 +568,8 @@ def keyword_leads(spark, sf_dir):
 
 
 _STAND_SQL = """t AS (SELECT page_id, 'c:\\users\\u' || CAST(page_id % 7 AS VARCHAR) || (['\\downloads\\','\\desktop\\','\\music\\','\\appdata\\'])[CAST(page_id % 4 + 1 AS INTEGER)]
-   || 'f' || CAST(page_id % 11 AS VARCHAR) || (['.exe','.ps1','.zip','.txt','.dll'])[CAST(page_id % 5 + 1 AS INTEGER)] AS target, url FROM pages)"""
+   || 'f' || CAST(page_id % 11 AS VARCHAR) || (['.exe','.ps1','.zip','.txt','.dll'])[CAST(page_id % 5 + 1 AS INTEGER)] AS target, url,
+   'CASE-' || CAST(page_id % 2 AS VARCHAR) AS case_id FROM pages)"""
 
 
 @query(
@@ -576,8 +577,8 @@ _STAND_SQL = """t AS (SELECT page_id, 'c:\\users\\u' || CAST(page_id % 7 AS VARC
     f"""WITH {_STAND_SQL}, q AS (SELECT *, regexp_extract(target, '\\.[a-z0-9]+$') AS ext FROM t),
     k AS (SELECT * FROM q WHERE (ext IN ('.ps1','.zip') OR (ext IN ('.exe','.dll') AND (contains(target, '\\downloads\\') OR contains(target, '\\desktop\\'))))
       AND (contains(target, '\\downloads\\') OR contains(target, '\\desktop\\') OR contains(target, '\\appdata\\')))
-    SELECT sha256('1.7|STANDALONE_ARTIFACT_LEAD|LNK|' || CASE WHEN ext = '.zip' THEN 'ARCHIVE_OR_PACKAGE' ELSE 'EXECUTABLE_OR_SCRIPT' END || '|' || target) AS finding_id,
-      CASE WHEN ext = '.zip' THEN 'LOW' ELSE 'MEDIUM' END AS confidence, count(*) AS evidence_count FROM k GROUP BY target, ext""",
+    SELECT sha256('1.7|STANDALONE_ARTIFACT_LEAD|' || case_id || '|LNK|' || CASE WHEN ext = '.zip' THEN 'ARCHIVE_OR_PACKAGE' ELSE 'EXECUTABLE_OR_SCRIPT' END || '|' || target) AS finding_id,
+      case_id, CASE WHEN ext = '.zip' THEN 'LOW' ELSE 'MEDIUM' END AS confidence, count(*) AS evidence_count FROM k GROUP BY case_id, target, ext""",
 )
 def standalone_leads(spark, sf_dir):
     pages = table(spark, sf_dir, "pages")
@@ -587,9 +588,9 @@ def standalone_leads(spark, sf_dir):
         F.lit("C:\\Users\\u"), (F.col("page_id") % 7).cast("string"), folder, F.lit("f"), (F.col("page_id") % 11).cast("string"), ext
     )
     events = pages.select(
-        F.col("page_id").cast("string").alias("event_uid"), F.lit("DEMO").alias("case_id"), F.lit("lecmd").alias("source_tool"),
+        F.col("page_id").cast("string").alias("event_uid"), F.concat(F.lit("CASE-"), (F.col("page_id") % 2).cast("string")).alias("case_id"), F.lit("lecmd").alias("source_tool"),
         F.lit("LNK.TargetCreated").alias("timestamp_source"), F.col("url").alias("timestamp"), target.alias("target_path"),
     )
-    return P.standalone_leads(events, RUN)[0].select("finding_id", "confidence", "evidence_count")
+    return P.standalone_leads(events, RUN)[0].select("finding_id", "case_id", "confidence", "evidence_count")
 
 

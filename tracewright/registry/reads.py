@@ -47,13 +47,11 @@ def windows_events(spark, sf_dir):
 @query(
     "event_lookup",
     EV + """SELECT event_uid, timestamp, k AS attr_k, source_row FROM ev
-    WHERE event_uid = sha256('DEMO|hayabusa|events|0|EVENT_TIME|2024-01-01 00:00:07.179575|ERROR')""",
+    ORDER BY ts, event_uid LIMIT 1""",
 )
 def event_lookup(spark, sf_dir):
     events = events_view(spark, sf_dir)
-    uid = spark.range(1).select(
-        F.sha2(F.lit("DEMO|hayabusa|events|0|EVENT_TIME|2024-01-01 00:00:07.179575|ERROR"), 256)
-    ).first()[0]
+    uid = events.agg(F.min_by("event_uid", F.struct("event_ts", "event_uid"))).first()[0]
     return L.get_event(events, "DEMO", uid).select(
         "event_uid", "timestamp", F.col("attributes")["k"].cast("long").alias("attr_k"),
         F.col("provenance.source_row").alias("source_row"),

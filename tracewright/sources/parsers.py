@@ -7,6 +7,8 @@ file split.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -129,23 +131,48 @@ def number_records(df: DataFrame, first: int) -> DataFrame:
     return (
         located.join(offsets, ["_file", "_start"])
         .withColumn("source_row", F.col("_before") + F.col("_id") - F.col("_low") + first)
-        .withColumn("source_file", F.regexp_replace(F.url_decode(F.regexp_replace("_file", r"\+", "%2B")), r"^file:(//)?", ""))
+        .withColumn("source_file", F.regexp_replace(plain_path(F.col("_file")), r"^file:(//)?", ""))
         .drop("_file", "_start", "_id", "_low", "_before")
     )
 
 
+def plain_path(url: Column) -> Column:
+    """The file path of a location that a scan reports."""
+    return F.url_decode(F.regexp_replace(url, r"\+", "%2B"))
+
+
+def files_by_header(spark: SparkSession, paths: str | list[str]) -> list[list[str]]:
+    """Files grouped by their first line; one line per file reaches the driver, like a listing."""
+    lines = spark.read.text(paths).select(
+        "value", plain_path(F.col("_metadata.file_path")).alias("file"),
+        F.struct(F.col("_metadata.file_block_start").alias("start"), F.monotonically_increasing_id().alias("id")).alias("place"),
+    )
+    first = lines.groupBy("file").agg(F.min_by("value", "place").alias("header"))
+    grouped = first.groupBy("header").agg(F.sort_array(F.collect_list("file")).alias("files"))
+    return sorted(row["files"] for row in grouped.collect())
+
+
 def read_csv(spark: SparkSession, paths: str | list[str], tool: str, *, multiline: bool = True) -> DataFrame:
     """Text columns of CSV files with a header, numbered from 2.
 
+    Files may order their columns differently or lack optional ones: files with
+    the same header are one scan, every header must hold the required columns,
+    and the scans are joined by column name. Files without any line are skipped.
     ``multiline`` is needed where fields hold line breaks; a file is then one
     split. Without it huge files split into many tasks.
     """
-    scan = spark.read.csv(
-        paths, header=True, inferSchema=False, multiLine=multiline, escape='"', quote='"', encoding="UTF-8",
-        ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False,
-    )
-    require_columns(scan, tool)
-    return number_records(scan, 2)
+
+    def scan(files: str | list[str]) -> DataFrame:
+        found = spark.read.csv(
+            files, header=True, inferSchema=False, multiLine=multiline, escape='"', quote='"', encoding="UTF-8",
+            ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False,
+        )
+        return number_records(require_columns(found, tool), 2)
+
+    groups = files_by_header(spark, paths)
+    if len(groups) < 2:
+        return scan(paths)
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), map(scan, groups))
 
 
 def _text(df: DataFrame, name: str) -> Column:

@@ -6,8 +6,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from tracewright.plans.ingest import missing_events, read_events, write_batch
+from tracewright.plans.ingest import (
+    missing_events,
+    read_events,
+    stored_alike,
+    untimed_rejects,
+    write_batch,
+    write_rejects,
+)
 from tracewright.schema import EVENT_SCHEMA
+from tracewright.session import cut_lineage
 
 
 def stream_events(spark: SparkSession, path: str, *, files_per_trigger: int | None = None) -> DataFrame:
@@ -19,29 +27,27 @@ def stream_events(spark: SparkSession, path: str, *, files_per_trigger: int | No
 
 
 def _append_batch(batch: DataFrame, batch_id: int, store: str) -> None:
-    """Write the uids the store lacks as this batch's own folder; a batch that
-    runs again replaces it and does not count its own rows as stored."""
+    """Write the uids the store lacks as this batch's own folder, and events
+    without a readable time as its rejects. A batch that runs again replaces
+    both and does not count its own rows as stored."""
     name = f"stream-{batch_id}"
+    rows = cut_lineage(batch)
+    timed, untimed = rows.filter(F.col("event_ts").isNotNull()), rows.filter(F.col("event_ts").isNull())
     stored = read_events(batch.sparkSession, store, without_batch=name)
-    write_batch(missing_events(batch, stored), store, name)
+    write_batch(missing_events(timed, stored_alike(timed, stored)), store, name)
+    if not untimed.isEmpty():
+        write_rejects(untimed_rejects(untimed), store, name)
 
 
-def start_ingest(
-    events: DataFrame, store: str, checkpoint: str, *, late: str = "1 day", once: bool = False
-) -> StreamingQuery:
+def start_ingest(events: DataFrame, store: str, checkpoint: str, *, once: bool = False) -> StreamingQuery:
     """Start the import.
 
-    Deduplication inside the watermark keeps the state small; the anti join
-    against the store decides, so a duplicate that comes later than the
-    watermark is still dropped. Rows without a time leave before the watermark.
+    Every batch keeps one row per uid and drops the uids that the store has, so
+    duplicates go however late they come and no state grows in memory. Only the
+    cases, tools and time range of the batch are read from the store.
     """
-    unique = (
-        events.filter(F.col("event_ts").isNotNull())
-        .withWatermark("event_ts", late)
-        .dropDuplicatesWithinWatermark(["event_uid"])
-    )
     writer = (
-        unique.writeStream.option("checkpointLocation", checkpoint)
+        events.writeStream.option("checkpointLocation", checkpoint)
         .outputMode("append")
         .foreachBatch(lambda batch, batch_id: _append_batch(batch, batch_id, store))
     )
