@@ -17,16 +17,17 @@ _TITLES_F = "Mrs|Ms|Miss|Frau|Madame|Mme|Mademoiselle|Señora|Sra|Señorita|Doñ
 _TITLES_N = "Dr|Prof|Mx"
 _NAME = r"\p{Lu}[\p{L}'’-]+"
 PATTERNS = {
-    "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@(?:[A-Za-z0-9-]+\.)+[A-Za-z]{2,}(?![A-Za-z0-9-])",
-    "ip": rf"(?<![\w.])(?:{_OCTET}\.){{3}}{_OCTET}(?!\w|\.[0-9])",
-    "iban": r"(?<!\w)[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?!\w)",
-    "ssn": r"(?<![\w-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![\w-])",
-    "card": r"(?<![\w+])(?:[0-9]{13,19}|[0-9]{4}(?:[ -][0-9]{4}){2,3}(?:[ -][0-9]{1,3})?|[0-9]{4}[ -][0-9]{6}[ -][0-9]{5})(?!\w)",
-    "phone": r"(?<![\w.+-])(?:\+[0-9]{8,15}|(?:\+[0-9]{1,3}[ .-]?)?(?:\([0-9]{2,4}\)[ .-]?|[0-9]{2,4}[ .-])[0-9]{3,4}[ .-][0-9]{3,4}"
+    "email": r"(?=[A-Za-z0-9._%+-])(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@(?:[A-Za-z0-9-]+\.)+[A-Za-z]{2,}(?![A-Za-z0-9-])",
+    "ip": rf"(?=[0-9])(?<![\w.])(?:{_OCTET}\.){{3}}{_OCTET}(?!\w|\.[0-9])",
+    "iban": r"(?=[A-Z])(?<!\w)[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?!\w)",
+    "ssn": r"(?=[0-9])(?<![\w-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![\w-])",
+    "card": r"(?=[0-9])(?<![\w+])(?:[0-9]{13,19}|[0-9]{4}(?:[ -][0-9]{4}){2,3}(?:[ -][0-9]{1,3})?|[0-9]{4}[ -][0-9]{6}[ -][0-9]{5})(?!\w)",
+    "phone": r"(?=[0-9+(])(?<![\w.+-])(?:\+[0-9]{8,15}|(?:\+[0-9]{1,3}[ .-]?)?(?:\([0-9]{2,4}\)[ .-]?|[0-9]{2,4}[ .-])[0-9]{3,4}[ .-][0-9]{3,4}"
     r"|(?:\+[0-9]{1,3}[ .-]?)?(?:[0-9]{1,2}[ .-]){4}[0-9]{2})(?![\w-])",
-    "name": rf"(?<![\p{{L}}])(?:{_TITLES_M}|{_TITLES_F}|{_TITLES_N})\.?[ ]{_NAME}(?:[ ]{_NAME}){{0,2}}",
+    "name": rf"(?=[DFHLMPSг])(?<!\p{{L}})(?:{_TITLES_M}|{_TITLES_F}|{_TITLES_N})\.?[ ]{_NAME}(?:[ ]{_NAME}){{0,2}}",
 }
 ENTITY = "|".join(PATTERNS.values())
+SPARKS = "[0-9@]"  # every entity but a name holds one of these
 GIVEN = {
     "latin m": "James Robert Daniel Lukas Felix Jonas Antoine Julien Mathieu Carlos Diego Javier Samuel Peter Victor Martin",
     "latin f": "Emily Sarah Laura Hannah Lena Clara Camille Juliette Manon Lucia Elena Carmen Alice Julia Nina Teresa",
@@ -221,11 +222,13 @@ def replace_entities(docs: DataFrame, key: str, text_col: str = "text") -> DataF
     plain = docs.drop("n_entities")
     joint, parts = fresh_name(plain, "_digest"), fresh_name(plain, "_parts")
     text = F.col(text_col)
-    has = F.coalesce(text.rlike(ENTITY), F.lit(False))
+    # The quick test first: few texts without a digit or an at sign need the whole pattern.
+    has = F.coalesce((text.rlike(SPARKS) & text.rlike(ENTITY)) | text.rlike(PATTERNS["name"]), F.lit(False))
     digest = F.sha2(text, 256)
     matches = F.regexp_extract_all(text, F.lit(ENTITY), F.lit(0))
-    found = cut_lineage(plain.select(text).filter(has).select(digest.alias("digest"), matches.alias("matches")).dropDuplicates(["digest"]))
-    mentions = found.select("digest", F.posexplode("matches").alias("at", "mention")).withColumn("kind", kind_of(F.col("mention")))
+    found = cut_lineage(plain.select(text).filter(has).select(digest.alias("digest"), matches.alias("matches")).dropDuplicates(["digest"]).withColumn("kinds", F.transform("matches", kind_of)))
+    listed = found.select("digest", F.posexplode(F.arrays_zip("matches", "kinds")).alias("at", "entity"))
+    mentions = listed.select("digest", "at", F.col("entity.matches").alias("mention"), F.col("entity.kinds").alias("kind"))
     mentions = mentions.withColumn("value", canonical(F.col("kind"), F.col("mention")))
     table = assign(cut_lineage(mentions.select("kind", "value").distinct()), key)
     replaced = mentions.join(table, ["kind", "value"]).select(
