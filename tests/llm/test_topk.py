@@ -63,16 +63,34 @@ def test_large_components_stay_exact():
 
 def test_stops_before_all_candidates(monkeypatch):
     rng = np.random.default_rng(0)
-    near = rng.integers(60, 66, (200, 8))
-    far = -rng.integers(50, 70, (4000, 8))
-    both = np.concatenate([near, far])
+    both = np.concatenate([rng.integers(60, 66, (200, 8)), -rng.integers(50, 70, (4000, 8))])
     pivots = topk.choose_pivots(both.astype(float), 8)
     table = topk._distances(both.astype(float), pivots)
-    looked = []
-    real = np.lexsort
-    monkeypatch.setattr(topk.np, "lexsort", lambda keys: looked.append(len(keys[0])) or real(keys))
-    topk.search_block(np.array([-1]), both[:1], table[:1], np.arange(len(both)), both, table, 20)
-    assert sum(looked) < 1000
+    batches = []
+    real = topk._best
+    monkeypatch.setattr(topk, "BATCH", 100)
+    monkeypatch.setattr(topk, "_best", lambda *a: batches.append(1) or real(*a))
+    _, ids, scores = topk.search_block(np.array([-1]), both[:1], table[:1], np.arange(len(both)), both, table, 20)
+    want = sorted(((-int(both[0] @ v), i) for i, v in enumerate(both)))[:20]
+    assert sorted(zip((-scores).tolist(), ids.tolist(), strict=True)) == want
+    assert len(batches) < 6
+
+
+@pytest.mark.parametrize("batch", [3, 7, 1000])
+def test_blocks_with_many_ties(monkeypatch, batch):
+    monkeypatch.setattr(topk, "BATCH", batch)
+    monkeypatch.setattr(topk, "TILE", 4)
+    rng = np.random.default_rng(batch)
+    vectors = rng.integers(-1, 2, (90, 3))
+    ids = rng.permutation(90)
+    table = topk._distances(vectors.astype(float), topk.choose_pivots(vectors.astype(float), 4))
+    q, found, scores = topk.search_block(ids[:11], vectors[:11], table[:11], ids, vectors, table, 5)
+    got = set(zip(q.tolist(), found.tolist(), scores.tolist(), strict=True))
+    want = set()
+    for a, v in zip(ids[:11], vectors[:11], strict=True):
+        best = sorted((-int(v @ w), int(i)) for i, w in zip(ids, vectors, strict=True) if i != a)[:5]
+        want |= {(int(a), i, -s) for s, i in best}
+    assert got == want
 
 
 def test_query_on_table(spark):

@@ -12,12 +12,12 @@ from tracewright.session import cut_lineage
 
 K = 20
 SCALE = 64
-PIVOTS = 24
+PIVOTS = 16
 PIVOT_SAMPLE = 4096  # vectors among which pivots are chosen
 CANDIDATE_ROWS = 4096  # candidates of a block
 QUERY_ROWS = 16384  # queries of a block
-TILE = 64  # queries bounded at a time
-FIRST = 64  # candidates evaluated before the first stopping test; doubled after each
+TILE = 128  # queries bounded at a time
+BATCH = 1024  # candidates evaluated between two stopping tests
 EXACT = 2**53  # sums below this are exact in double precision
 
 
@@ -63,6 +63,15 @@ def _pivot_table(vectors: DataFrame, pivots: dict[int, np.ndarray]) -> DataFrame
     return map_columns(vectors, "vec_id long, vector array<long>, distances array<double>", blockwise)
 
 
+def _best(row: np.ndarray, ids: np.ndarray, scores: np.ndarray, k: int) -> np.ndarray:
+    """Places of the k best entries of every row, by falling score, then id."""
+    order = np.lexsort((ids, -scores, row))
+    row = row[order]
+    first = np.flatnonzero(np.r_[True, row[1:] != row[:-1]])
+    rank = np.arange(len(row)) - np.repeat(first, np.diff(np.r_[first, len(row)]))
+    return order[rank < k]
+
+
 def search_block(
     query_ids: np.ndarray, queries: np.ndarray, query_pivots: np.ndarray,
     ids: np.ndarray, vectors: np.ndarray, pivots: np.ndarray, k: int = K,
@@ -71,42 +80,56 @@ def search_block(
 
     The largest difference to a pivot bounds the distance from below, so
     (|q|^2 + |x|^2 - bound^2) / 2 bounds the inner product from above.
-    Candidates are evaluated by falling bound in growing batches; a query stops
-    when no remaining bound reaches its k-th score, which keeps ties whole.
+    Candidates are evaluated by falling bound, BATCH at a time for a tile of
+    queries; the tile stops when no remaining bound reaches the k-th score of any
+    of its queries, which keeps ties whole.
     """
     exact = queries.shape[1] * float(np.abs(queries).max(initial=0)) * float(np.abs(vectors).max(initial=0)) < EXACT
     kind = np.float64 if exact else np.int64
+    least = -np.inf if exact else np.iinfo(np.int64).min
     multiplied, asked = vectors.astype(kind), queries.astype(kind)
     halves = (vectors.astype(float) ** 2).sum(axis=1)
+    columns = np.ascontiguousarray(pivots.T, np.float32)
     out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
     for start in range(0, len(queries), TILE):
-        tile = query_pivots[start : start + TILE]
-        bound = np.zeros((len(tile), len(ids)))
-        for p in range(pivots.shape[1]):
-            np.maximum(bound, np.abs(tile[:, p, None] - pivots[None, :, p]), out=bound)
-        norms = (queries[start : start + TILE].astype(float) ** 2).sum(axis=1)
-        # A little room for rounding: a bound may only be too high.
-        upper = (norms[:, None] + halves[None] - bound**2) / 2 + 1e-6 * (norms[:, None] + halves[None]) + 1e-6
-        for row, top in enumerate(upper):
-            at = start + row
-            top[ids == query_ids[at]] = -np.inf
-            left = np.flatnonzero(top > -np.inf)
-            found, scores, batch = np.zeros(0, np.int64), np.zeros(0, kind), max(FIRST, k)
-            while len(left):
-                if len(left) > batch:
-                    split = np.argpartition(-top[left], batch)
-                    now, left = left[split[:batch]], left[split[batch:]]
-                else:
-                    now, left = left, left[:0]
-                found = np.r_[found, now]
-                scores = np.r_[scores, multiplied[now] @ asked[at]]
-                if len(found) > k:
-                    best = np.lexsort((ids[found], -scores))[:k]
-                    found, scores = found[best], scores[best]
-                if len(found) >= k:
-                    left = left[top[left] >= scores.min()]
-                batch *= 2
-            out.append((np.full(len(found), query_ids[at]), ids[found], scores.astype(np.int64)))
+        stop = min(start + TILE, len(queries))
+        near = query_pivots[start:stop].astype(np.float32)
+        bound, apart = np.zeros((2, stop - start, len(ids)), np.float32)
+        for p, column in enumerate(columns):
+            np.subtract(near[:, p, None], column[None], out=apart)
+            np.abs(apart, out=apart)
+            np.maximum(bound, apart, out=bound)
+        # Room for rounding: the bound of the distance may only be too low, that of the product too high.
+        norms = (queries[start:stop].astype(float) ** 2).sum(axis=1)
+        largest = norms.max() + halves.max(initial=0)
+        bound -= np.float32(1e-5 * np.sqrt(largest) + 1e-5)
+        np.maximum(bound, 0, out=bound)
+        np.multiply(bound, bound, out=bound)
+        np.subtract(norms.astype(np.float32)[:, None], bound, out=bound)
+        peak = (bound.max(axis=0).astype(float) + halves) / 2 + 1e-6 * largest
+        order = np.argsort(-peak, kind="stable")
+        floor = np.full(stop - start, least, kind)
+        row, found, scores = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, kind)
+        for at in range(0, len(order), BATCH):
+            now = order[at : at + BATCH]
+            if peak[now[0]] < floor.min():
+                break
+            product = asked[start:stop] @ multiplied[now].T
+            own = query_ids[start:stop, None] == ids[now][None]
+            if len(now) > k:
+                ranked = np.where(own, least, product)
+                floor = np.maximum(floor, np.partition(ranked, len(now) - k, axis=1)[:, len(now) - k])
+            rows, places = np.nonzero(~own & (product >= floor[:, None]))
+            row, found = np.r_[row, rows], np.r_[found, now[places]]
+            scores = np.r_[scores, product[rows, places]]
+            best = _best(row, ids[found], scores, k)
+            row, found, scores = row[best], found[best], scores[best]
+            full = np.bincount(row, minlength=stop - start) >= k
+            worst = np.full(stop - start, least, kind)
+            last = np.r_[row[1:] != row[:-1], True]
+            worst[row[last]] = scores[last]
+            floor = np.where(full, np.maximum(floor, worst), floor)
+        out.append((query_ids[start:stop][row], ids[found], scores.astype(np.int64)))
     if not out:
         return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
     return tuple(np.concatenate(c) for c in zip(*out, strict=True))
