@@ -37,6 +37,14 @@ _COLUMNS = [
 ]
 
 
+def findings_preview(findings: DataFrame, *, limit: int | None = 20) -> DataFrame:
+    """(finding_id, priority, title) of the first findings by id; a missing title falls back to type, then id."""
+    title = F.coalesce(nonblank("title"), nonblank("finding_type"), nonblank("finding_id"), F.lit("Finding"))
+    rows = findings.orderBy("finding_id")
+    rows = rows if limit is None else rows.limit(limit)
+    return rows.select("finding_id", F.coalesce("severity", F.lit("INFO")).alias("priority"), title.alias("title"))
+
+
 def event_totals(events: DataFrame, *, preserved: bool | None = None) -> DataFrame:
     """One row: events, distinct uids and the trusted time range."""
     trusted = F.when(trusted_time(preserved), F.col("timestamp"))

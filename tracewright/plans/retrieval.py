@@ -19,8 +19,10 @@ RERANK_K, RERANK_POOL = 10, 120
 CONTEXT_K, MIN_CONTEXT_CHARS = 6, 300
 LIST_VALUES, QUERY_CHARS = 8, 3000
 
-# Queries are broadcast in blocks of at most this many vector bytes.
-MAX_QUERY_BYTES = 64 * 1024 * 1024
+# Queries are broadcast in blocks of at most this many vector bytes; a task scores
+# tiles of at most this many (query, chunk) pairs at a time: 32 MB of scores.
+MAX_QUERY_BYTES = 16 * 1024 * 1024
+TILE_PAIRS = 4 * 1024 * 1024
 
 # Question signals, device terms and phase bonuses.
 DEVICE_SIGNALS = [
@@ -53,16 +55,32 @@ def _unit_rows(vectors: np.ndarray) -> np.ndarray:
     return np.divide(vectors, norms, out=np.zeros_like(vectors), where=norms > 0)
 
 
+def _best_of_tile(scores: np.ndarray, docs: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """(row, column) of the k best of every row: higher score, then smaller id."""
+    if scores.shape[1] > k:
+        least = np.partition(scores, scores.shape[1] - k, axis=1)[:, scores.shape[1] - k]
+        rows, cols = np.nonzero(scores >= least[:, None])
+    else:
+        rows, cols = (x.ravel() for x in np.indices(scores.shape))
+    order = np.lexsort((docs[cols], -scores[rows, cols], rows))
+    rows, cols = rows[order], cols[order]
+    first = np.searchsorted(rows, np.arange(scores.shape[0]))
+    kept = np.arange(len(rows)) - first[rows] < k
+    return rows[kept], cols[kept]
+
+
 def vector_topk(
-    queries: DataFrame, corpus: DataFrame, k: int, *, max_query_bytes: int = MAX_QUERY_BYTES
+    queries: DataFrame, corpus: DataFrame, k: int, *, max_query_bytes: int = MAX_QUERY_BYTES, tile_pairs: int = TILE_PAIRS
 ) -> DataFrame:
     """Exact cosine top-k: (query_id, doc_id, score), score rounded to 6 digits.
 
     ``queries`` is (query_id, vector), ``corpus`` is (doc_id, vector). Corpus
     batches stay where they are: each task scores its batch against a broadcast
     query block and keeps k rows per query, so what is shuffled is k rows per
-    query and task, never all pairs. Queries are sized first; more than one
-    block's worth is read block by block, and every block scans the corpus.
+    query and batch, never all pairs. Queries are sized first; more than one
+    block's worth is read block by block, and every block scans the corpus. A
+    task holds the scores of ``tile_pairs`` pairs at most and sorts only the best
+    of them, however many queries there are.
     """
     spark = queries.sparkSession
     size = queries.agg(
@@ -92,14 +110,15 @@ def vector_topk(
                     continue
                 docs = batch["doc_id"].to_numpy()
                 vectors = np.vstack(batch["vector"].map(lambda v: np.asarray(v, dtype=np.float64)))
-                scores = np.round(matrix.value @ _unit_rows(vectors).T, 6)
-                # Rounded score first, then the smaller id, as in the final ranking.
-                order = np.lexsort((np.broadcast_to(docs, scores.shape), -scores), axis=1)[:, :k]
-                rows = np.repeat(np.arange(len(ids.value)), order.shape[1])
-                cols = order.ravel()
-                yield pd.DataFrame(
-                    {"query_id": ids.value[rows], "doc_id": docs[cols], "score": scores[rows, cols]}
-                )
+                unit = _unit_rows(vectors)
+                step = max(1, tile_pairs // len(docs))
+                for start in range(0, len(ids.value), step):
+                    # Rounded score first, then the smaller id, as in the final ranking.
+                    scores = np.round(matrix.value[start : start + step] @ unit.T, 6)
+                    rows, cols = _best_of_tile(scores, docs, k)
+                    yield pd.DataFrame(
+                        {"query_id": ids.value[start + rows], "doc_id": docs[cols], "score": scores[rows, cols]}
+                    )
 
         hits = corpus.select("doc_id", "vector").mapInPandas(score, schema)
         parts.append(top_n(hits, ["query_id"], [F.desc("score"), F.asc("doc_id")], k))
@@ -123,14 +142,18 @@ def best_chunk_per_report(hits: DataFrame, *, reports: int = REPORT_K) -> DataFr
     return top_n(flat, ["query_id"], [F.desc("score"), F.asc("doc_id")], reports, "rank")
 
 
-def rerank_score(question: Column, score: Column, text: Column, phase: Column) -> Column:
+def rerank_score(
+    question: Column, score: Column, text: Column, phase: Column, heading: Column | None = None, case: Column | None = None
+) -> Column:
     """Score with the bonus the question calls for.
 
-    A question about network devices rewards device terms in the text; one
-    about the time before impact rewards phases; else the score stands.
+    A question about network devices rewards device terms in text, heading, phase
+    and case together; one about the time before impact rewards phases; else the
+    score stands.
     """
     asked = F.lower(question)
-    searchable = F.lower(text)
+    parts = [text, phase, *(c for c in (heading, case) if c is not None)]
+    searchable = F.lower(F.concat_ws(" ", *parts))
     matches = F.size(
         F.filter(F.array(*[F.lit(t) for t in DEVICE_TERMS]), lambda t: F.contains(searchable, t))
     )
@@ -159,15 +182,6 @@ def select_context(ranked: DataFrame, *, size: int = CONTEXT_K, min_chars: int =
     return top_n(long_enough, ["query_id"], [F.asc("position")], size, "context_rank")
 
 
-def context_block(rank: Column, case: Column, source: Column, phase: Column, heading: Column, score: Column, text: Column) -> Column:
-    """Text block of one context chunk."""
-    return F.concat(
-        F.lit("[HISTORICAL CASE "), rank.cast("string"), F.lit("]\nCase: "), case, F.lit("\nSource: "), source,
-        F.lit("\nDFIR Phase: "), phase, F.lit("\nSection: "), heading, F.lit("\nSimilarity: "),
-        F.format_string("%.4f", score), F.lit("\n\n"), text,
-    )
-
-
 def grounding_violations(answer: Column, question: Column) -> Column:
     """Banned terms used before the historical section, or the missing section."""
     low, asked = F.lower(answer), F.lower(question)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tracewright.functions import labels as B
@@ -10,6 +11,7 @@ from tracewright.functions import times as M
 from tracewright.plans import acquisition as A
 from tracewright.plans import progress as G
 from tracewright.plans import quality as Q
+from tracewright.plans import report as R
 from tracewright.plans import retrieval as V
 from tracewright.plans import telemetry as T
 from tracewright.registry.base import query
@@ -293,6 +295,32 @@ def recent_files(spark, sf_dir):
     return I.recent_files(listing).select("path")
 
 
+@query(
+    "bounded_listing",
+    f"""WITH {LISTING_CTE} SELECT path, (SELECT count(*) FROM lst) AS total, (SELECT count(*) FROM lst) > 40 AS bounded FROM lst ORDER BY path LIMIT 40""",
+)
+def bounded_listing(spark, sf_dir):
+    return I.bounded_listing(page_listing(spark, sf_dir).select("path"), limit=40)
+
+
+@query(
+    "findings_preview",
+    """SELECT CAST(doc_id AS VARCHAR) AS finding_id, CASE WHEN doc_id % 4 = 0 THEN 'INFO' ELSE upper(lang) END AS priority,
+    CASE WHEN doc_id % 3 = 0 THEN source ELSE trim(left(text, 30), e' \\t\\n\\r') END AS title,
+    row_number() OVER (ORDER BY CAST(doc_id AS VARCHAR)) AS position
+    FROM documents ORDER BY CAST(doc_id AS VARCHAR) LIMIT 20""",
+)
+def findings_preview(spark, sf_dir):
+    """The position column holds the order of the preview against the SQL."""
+    docs = table(spark, sf_dir, "documents")
+    findings = docs.select(
+        F.col("doc_id").cast("string").alias("finding_id"), F.when(F.col("doc_id") % 4 != 0, F.upper("lang")).alias("severity"),
+        F.when(F.col("doc_id") % 3 != 0, F.left("text", F.lit(30))).otherwise(" ").alias("title"), F.col("source").alias("finding_type"),
+    )
+    shown = R.findings_preview(findings)
+    return shown.withColumn("position", F.row_number().over(Window.orderBy("finding_id")).cast("long"))
+
+
 @query(
     "status_rollup",
     """SELECT CASE WHEN max(toxic) = 1 THEN 'FAILED' WHEN min(quality) = 0 THEN 'PARTIAL_SUCCESS' ELSE 'SUCCESS' END AS status, count(*) AS tools FROM labels""",
@@ -339,15 +367,25 @@ def best_chunk_per_doc(spark, sf_dir):
     return V.best_chunk_per_report(hits).select("query_id", "doc_id", "rank")
 
 
-PHASE_LIST = list(V.PHASE_BONUS)
-BONUS_SQL = "CASE phase " + " ".join(f"WHEN '{p}' THEN {b}::DOUBLE" for p, b in V.PHASE_BONUS.items()) + " ELSE 0::DOUBLE END"
+# Fixed values, stated apart from the library so that the SQL checks them.
+PHASE_LIST = [
+    "credential_access", "privilege_escalation", "lateral_movement", "defense_evasion", "discovery", "collection", "persistence",
+    "command_and_control", "execution", "initial_access", "impact",
+]
+BONUS_SQL = """CASE phase WHEN 'credential_access' THEN 0.055::DOUBLE WHEN 'privilege_escalation' THEN 0.05::DOUBLE WHEN 'lateral_movement' THEN 0.05::DOUBLE
+  WHEN 'defense_evasion' THEN 0.045::DOUBLE WHEN 'discovery' THEN 0.04::DOUBLE WHEN 'collection' THEN 0.04::DOUBLE WHEN 'persistence' THEN 0.035::DOUBLE
+  WHEN 'command_and_control' THEN 0.035::DOUBLE WHEN 'execution' THEN 0.025::DOUBLE WHEN 'initial_access' THEN 0.015::DOUBLE
+  WHEN 'impact' THEN -0.08::DOUBLE ELSE 0::DOUBLE END"""
+TERMS_SQL = """['network appliance', 'network device', 'controller', 'sd-wan', 'router', 'switch', 'firewall', 'ssh', 'peering', 'configuration',
+  'administrative account', 'admin account', 'device configuration', 'control plane']"""
 
 
 @query(
     "rerank_bonus",
     f"""WITH d AS (SELECT doc_id, text, doc_id % 3 AS q, ([{', '.join(repr(p) for p in PHASE_LIST)}])[CAST(doc_id % 11 + 1 AS INTEGER)] AS phase,
-      text || ' ' || CASE WHEN doc_id % 2 = 0 THEN 'Router and SSH configuration' ELSE 'switch' END AS body FROM documents),
-    m AS (SELECT *, len(list_filter([{', '.join(repr(t) for t in V.DEVICE_TERMS)}], lambda t: contains(lower(body), t))) AS hits FROM d)
+      text || ' ' || CASE WHEN doc_id % 2 = 0 THEN 'Router and SSH' ELSE 'switch' END AS body,
+      CASE WHEN doc_id % 5 = 0 THEN 'SD-WAN Peering' ELSE 'notes' END AS heading, lang || ' firewall' AS place FROM documents),
+    m AS (SELECT *, len(list_filter({TERMS_SQL}, lambda t: contains(lower(concat_ws(' ', body, phase, heading, place)), t))) AS hits FROM d)
     SELECT doc_id, round(CASE q WHEN 0 THEN 0.5::DOUBLE + least(hits * 0.025::DOUBLE, 0.15::DOUBLE) WHEN 1 THEN 0.5::DOUBLE + {BONUS_SQL} ELSE 0.5::DOUBLE END, 4) AS score FROM m""",
 )
 def rerank_bonus(spark, sf_dir):
@@ -357,8 +395,10 @@ def rerank_bonus(spark, sf_dir):
         (F.col("doc_id") % 3 + 1).cast("int"),
     )
     phase = F.element_at(F.array(*[F.lit(p) for p in PHASE_LIST]), (F.col("doc_id") % 11 + 1).cast("int"))
-    body = F.concat("text", F.lit(" "), F.when(F.col("doc_id") % 2 == 0, "Router and SSH configuration").otherwise("switch"))
-    return docs.select("doc_id", F.round(V.rerank_score(question, F.lit(0.5), body, phase), 4).alias("score"))
+    body = F.concat("text", F.lit(" "), F.when(F.col("doc_id") % 2 == 0, "Router and SSH").otherwise("switch"))
+    heading = F.when(F.col("doc_id") % 5 == 0, "SD-WAN Peering").otherwise("notes")
+    place = F.concat("lang", F.lit(" firewall"))
+    return docs.select("doc_id", F.round(V.rerank_score(question, F.lit(0.5), body, phase, heading, place), 4).alias("score"))
 
 
 @query(

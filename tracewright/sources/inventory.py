@@ -49,6 +49,15 @@ def fingerprints(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
+def bounded_listing(files: DataFrame, *, limit: int | None = 500) -> DataFrame:
+    """First files by path, each with the number of all files (``total``) and whether the listing is cut (``bounded``)."""
+    total = files.count()
+    rows = files.orderBy("path")
+    rows = rows if limit is None else rows.limit(limit)
+    cut = limit is not None and total > limit
+    return rows.withColumn("total", F.lit(total).cast("long")).withColumn("bounded", F.lit(cut))
+
+
 def parser_outputs(files: DataFrame) -> DataFrame:
     """Files that are a tool's output, with the tool."""
     tool = F.lit(None).cast("string")
