@@ -117,5 +117,37 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf_dir)
 
 
+ORACLES["op3_topk"] = """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)) AS e FROM embeddings
+  WHERE len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (
+  SELECT q.vec_id AS query_id, c.vec_id, list_dot_product(q.e, c.e)::BIGINT AS score
+  FROM v q JOIN v c ON q.vec_id <> c.vec_id AND len(q.e) = len(c.e) WHERE q.vec_id % 20 = 0),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS n FROM s)
+SELECT query_id, n::INTEGER AS rank, vec_id, score FROM r WHERE n <= 20"""
+
+# The windows of all items by their text; documents give their word runs of each window length that occurs.
+ORACLES["op6_decontaminate"] = """
+WITH i AS (
+  SELECT CAST(item_id AS VARCHAR) AS item,
+    regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+  FROM benchmark WHERE text IS NOT NULL),
+g AS (
+  SELECT DISTINCT item, least(len(w), 10) AS size, array_to_string(list_slice(w, k, k + least(len(w), 10) - 1), ' ') AS run
+  FROM (SELECT item, w, unnest(range(1, greatest(len(w) - 9, 1) + 1)) AS k FROM i WHERE len(w) > 0)),
+d AS (
+  SELECT row_number() OVER () AS row_id, doc_id, coalesce(regexp_extract_all(
+    translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'), []) AS w FROM documents),
+r AS (
+  SELECT row_id, size, k, array_to_string(list_slice(w, k, k + size - 1), ' ') AS run
+  FROM (SELECT row_id, w, size, unnest(range(1, len(w) - size + 2)) AS k FROM d, (SELECT DISTINCT size FROM g))),
+m AS (SELECT row_id, item, size, k FROM r JOIN g USING (size, run)),
+h AS (SELECT row_id, count(DISTINCT place) AS n FROM (SELECT row_id, unnest(range(k, k + size)) AS place FROM m) GROUP BY row_id),
+n AS (SELECT row_id, count(*) AS items, string_agg(item, ',' ORDER BY item) AS names FROM (SELECT DISTINCT row_id, item FROM m) GROUP BY row_id)
+SELECT doc_id, len(w) AS n_words, coalesce(h.n, 0) AS n_hit, coalesce(n.items, 0) AS n_items,
+  sha256(coalesce(n.names, '')) AS items_sha256, coalesce(h.n, 0) > 0 AS contaminated
+FROM d LEFT JOIN h USING (row_id) LEFT JOIN n USING (row_id)"""
+
 if corpus_pipeline.ORACLE_SQL:
     ORACLES["pipeline"] = corpus_pipeline.ORACLE_SQL
