@@ -182,6 +182,30 @@ def select_context(ranked: DataFrame, *, size: int = CONTEXT_K, min_chars: int =
     return top_n(long_enough, ["query_id"], [F.asc("position")], size, "context_rank")
 
 
+def retrieve_context(
+    questions: DataFrame,
+    chunks: DataFrame,
+    *,
+    pool: int = RERANK_POOL,
+    keep: int = RERANK_K,
+    size: int = CONTEXT_K,
+    min_chars: int = MIN_CONTEXT_CHARS,
+) -> DataFrame:
+    """(query_id, doc_id, text, score, context_rank): search, rerank and context selection in one.
+
+    ``questions`` is (query_id, question, vector), ``chunks`` is (doc_id, vector,
+    text, heading, phase, case, window_order). Vector search gives ``pool`` chunks
+    per question, of which the ``keep`` best by reranked score, ties by id, are
+    looked through for context.
+    """
+    hits = vector_topk(questions.select("query_id", "vector"), chunks.select("doc_id", "vector"), pool)
+    described = hits.join(questions.select("query_id", "question"), "query_id").join(chunks.drop("vector"), "doc_id")
+    bonus = rerank_score(*map(F.col, ("question", "score", "text", "phase", "heading", "case")))
+    scored = described.withColumn("score", F.round(bonus, 6))
+    ranked = top_n(scored, ["query_id"], [F.desc("score"), F.asc("doc_id")], keep, "position")
+    return select_context(ranked, size=size, min_chars=min_chars)
+
+
 def grounding_violations(answer: Column, question: Column) -> Column:
     """Banned terms used before the historical section, or the missing section."""
     low, asked = F.lower(answer), F.lower(question)

@@ -354,19 +354,6 @@ HITS_CTE = """s AS (SELECT q.vec_id AS query_id, d.vec_id AS doc_id, d.label,
    top AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rn FROM s) WHERE rn <= 8)"""
 
 
-@query(
-    "best_chunk_per_doc",
-    f"""WITH {HITS_CTE}, b AS (SELECT * EXCLUDE (rn) FROM (SELECT * EXCLUDE (rn), row_number() OVER (PARTITION BY query_id, label ORDER BY score DESC, doc_id) AS rn FROM top) WHERE rn = 1)
-    SELECT query_id, doc_id, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM b) WHERE rank <= 4""",
-)
-def best_chunk_per_doc(spark, sf_dir):
-    labels = table(spark, sf_dir, "embeddings").select(
-        F.col("vec_id").alias("doc_id"), F.col("label").cast("string").alias("report_key")
-    )
-    hits = demo_hits(spark, sf_dir, V.SEARCH_K).join(labels, "doc_id")
-    return V.best_chunk_per_report(hits).select("query_id", "doc_id", "rank")
-
-
 # Fixed values, stated apart from the library so that the SQL checks them.
 PHASE_LIST = [
     "credential_access", "privilege_escalation", "lateral_movement", "defense_evasion", "discovery", "collection", "persistence",
@@ -380,6 +367,49 @@ TERMS_SQL = """['network appliance', 'network device', 'controller', 'sd-wan', '
   'administrative account', 'admin account', 'device configuration', 'control plane']"""
 
 
+@query(
+    "retrieval_chain",
+    f"""WITH d AS (SELECT v.vec_id, v.embedding, d.text, ([{', '.join(repr(p) for p in PHASE_LIST)}])[CAST(v.vec_id % 11 + 1 AS INTEGER)] AS phase,
+      CASE WHEN v.vec_id % 5 = 0 THEN 'SD-WAN Peering' ELSE 'notes' END AS heading, lang AS place, v.vec_id % 4 AS w FROM embeddings v JOIN documents d ON d.doc_id = v.vec_id),
+    s AS (SELECT q.vec_id AS query_id, d.vec_id AS doc_id, d.text, d.phase, d.heading, d.place, d.w, q.vec_id % 3 AS kind,
+      round(list_dot_product(q.embedding::DOUBLE[], d.embedding::DOUBLE[]) / (sqrt(list_dot_product(q.embedding::DOUBLE[], q.embedding::DOUBLE[])) * sqrt(list_dot_product(d.embedding::DOUBLE[], d.embedding::DOUBLE[]))), 6) AS score
+      FROM embeddings q CROSS JOIN d),
+    h AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rn FROM s) WHERE rn <= 30),
+    b AS (SELECT *, round(CASE kind WHEN 0 THEN score + least(len(list_filter({TERMS_SQL}, lambda t: contains(lower(concat_ws(' ', text, phase, heading, place)), t))) * 0.025::DOUBLE, 0.15::DOUBLE)
+      WHEN 1 THEN score + {BONUS_SQL} ELSE score END, 6) AS total FROM h),
+    p AS (SELECT * FROM (SELECT * EXCLUDE (rn), row_number() OVER (PARTITION BY query_id ORDER BY total DESC, doc_id) AS pos FROM b) WHERE pos <= 10),
+    f AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id, place, phase, w ORDER BY pos) AS k FROM p WHERE trim(text, e' \\t\\n\\r') <> '')
+      WHERE k = 1 AND length(trim(text, e' \\t\\n\\r')) >= 300)
+    SELECT query_id, doc_id, context_rank, total AS score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY pos) AS context_rank FROM f) WHERE context_rank <= 6""",
+)
+def retrieval_chain(spark, sf_dir):
+    vectors = table(spark, sf_dir, "embeddings", parallel=True)
+    question = F.element_at(
+        F.array(F.lit("Which router was used?"), F.lit("What happened before impact?"), F.lit("Who logged on?")), (F.col("vec_id") % 3 + 1).cast("int")
+    )
+    questions = vectors.select(F.col("vec_id").alias("query_id"), question.alias("question"), F.col("embedding").alias("vector"))
+    number = F.col("vec_id")
+    chunks = vectors.join(table(spark, sf_dir, "documents"), F.col("doc_id") == number).select(
+        "doc_id", F.col("embedding").alias("vector"), "text", F.when(number % 5 == 0, "SD-WAN Peering").otherwise("notes").alias("heading"),
+        F.element_at(F.array(*[F.lit(p) for p in PHASE_LIST]), (number % 11 + 1).cast("int")).alias("phase"), F.col("lang").alias("case"),
+        (number % 4).alias("window_order"),
+    )
+    return V.retrieve_context(questions, chunks, pool=30).select("query_id", "doc_id", "context_rank", "score")
+
+
+@query(
+    "best_chunk_per_doc",
+    f"""WITH {HITS_CTE}, b AS (SELECT * EXCLUDE (rn) FROM (SELECT * EXCLUDE (rn), row_number() OVER (PARTITION BY query_id, label ORDER BY score DESC, doc_id) AS rn FROM top) WHERE rn = 1)
+    SELECT query_id, doc_id, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM b) WHERE rank <= 4""",
+)
+def best_chunk_per_doc(spark, sf_dir):
+    labels = table(spark, sf_dir, "embeddings").select(
+        F.col("vec_id").alias("doc_id"), F.col("label").cast("string").alias("report_key")
+    )
+    hits = demo_hits(spark, sf_dir, V.SEARCH_K).join(labels, "doc_id")
+    return V.best_chunk_per_report(hits).select("query_id", "doc_id", "rank")
+
+
 @query(
     "rerank_bonus",
     f"""WITH d AS (SELECT doc_id, text, doc_id % 3 AS q, ([{', '.join(repr(p) for p in PHASE_LIST)}])[CAST(doc_id % 11 + 1 AS INTEGER)] AS phase,
