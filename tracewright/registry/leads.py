@@ -214,6 +214,35 @@ def integrity_checks(spark, sf_dir):
     return Q.event_checks(events).unionByName(Q.edge_checks(edges, events))
 
 
+@query(
+    "integrity_dirty",
+    """WITH e AS (SELECT CAST(l_orderkey AS VARCHAR) || '-' || CAST(l_linenumber % 3 AS VARCHAR) AS uid, l_linenumber AS n FROM lineitem),
+    g AS (SELECT CAST(o_custkey AS VARCHAR) AS edge, CAST(o_orderkey AS VARCHAR) || '-' || CAST(o_custkey % 3 AS VARCHAR) AS a,
+      CAST(o_orderkey AS VARCHAR) || '-' || CAST(o_orderkey % 3 AS VARCHAR) AS b FROM orders)
+    SELECT 'duplicate_uid' AS "check", (SELECT count(*) FROM (SELECT uid FROM e GROUP BY uid HAVING count(*) > 1)) AS bad_rows
+    UNION ALL SELECT 'missing_provenance', (SELECT count(*) FROM e WHERE n % 4 = 0)
+    UNION ALL SELECT 'unreadable_time', (SELECT count(*) FROM e WHERE n % 5 = 0)
+    UNION ALL SELECT 'self_edge', (SELECT count(*) FROM g WHERE a = b)
+    UNION ALL SELECT 'duplicate_edge', (SELECT count(*) FROM (SELECT edge FROM g GROUP BY edge HAVING count(*) > 1))
+    UNION ALL SELECT 'missing_event', (SELECT count(*) FROM (SELECT a AS uid FROM g UNION SELECT b FROM g) WHERE uid NOT IN (SELECT uid FROM e))""",
+)
+def integrity_dirty(spark, sf_dir):
+    """The checks over rows that break every rule."""
+    text = lambda c: F.col(c).cast("string")
+    number = F.col("l_linenumber")
+    events = table(spark, sf_dir, "lineitem").select(
+        F.concat_ws("-", text("l_orderkey"), (number % 3).cast("string")).alias("event_uid"),
+        F.when(number % 4 != 0, F.struct(number.alias("source_row"))).alias("provenance"),
+        F.when(number % 5 != 0, F.col("l_shipdate")).alias("event_ts"),
+    )
+    edges = table(spark, sf_dir, "orders").select(
+        text("o_custkey").alias("edge_uid"),
+        F.concat_ws("-", text("o_orderkey"), (F.col("o_custkey") % 3).cast("string")).alias("event_uid_a"),
+        F.concat_ws("-", text("o_orderkey"), (F.col("o_orderkey") % 3).cast("string")).alias("event_uid_b"),
+    )
+    return Q.event_checks(events).unionByName(Q.edge_checks(edges, events))
+
+
 @query(
     "missing_rows_anti",
     "SELECT CAST(doc_id AS VARCHAR) AS event_uid, lang FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)",
@@ -534,6 +563,31 @@ def text_buckets(spark, sf_dir):
     return grouped.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"))
 
 
+@query(
+    "text_bucket_rules",
+    """WITH d AS (SELECT doc_id AS seq, trim((['Service origin unclear', 'Service purpose', 'Check the network', 'File  system state', 'Which user or process', 'Process context',
+        'Add the user', 'Group membership', 'Timestamp order', 'Follow up', 'Additional  logs', 'Artifacts', 'Service only', 'Nothing here'])[CAST(doc_id % 14 + 1 AS INTEGER)]
+        || ' ' || source) AS text FROM documents),
+    b AS (SELECT DISTINCT text, CASE WHEN contains(lower(text), 'service') AND regexp_matches(lower(text), 'origin|purpose|configuration') THEN 'Service origin and configuration context'
+      WHEN regexp_matches(lower(text), 'network|file\\s+system|filesystem') THEN 'Network and file-system corroboration'
+      WHEN regexp_matches(lower(text), 'user\\s+or\\s+process|process\\s+context|source\\s+of\\s+the\\s+user') THEN 'User and process attribution'
+      WHEN regexp_matches(lower(text), 'add\\s+the\\s+user|group\\s+membership|account') THEN 'Account and privilege-change context'
+      WHEN regexp_matches(lower(text), 'timestamp|subsequent\\s+actions|follow') THEN 'Timing and follow-on activity'
+      WHEN regexp_matches(lower(text), 'additional\\s+logs|artifacts|additional\\s+evidence') THEN 'Additional logs and supporting artifacts' ELSE 'Other evidence gaps' END AS bucket FROM d)
+    SELECT bucket, count(*) AS n FROM b GROUP BY 1""",
+)
+def text_bucket_rules(spark, sf_dir):
+    """Texts that reach every bucket."""
+    starts = [
+        "Service origin unclear", "Service purpose", "Check the network", "File  system state", "Which user or process", "Process context",
+        "Add the user", "Group membership", "Timestamp order", "Follow up", "Additional  logs", "Artifacts", "Service only", "Nothing here",
+    ]
+    start = F.element_at(F.array(*[F.lit(s) for s in starts]), (F.col("doc_id") % len(starts) + 1).cast("int"))
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("seq"), F.concat_ws(" ", start, "source").alias("text"))
+    grouped = R.bucket_texts(docs, R.gap_rules(), "Other evidence gaps")
+    return grouped.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"))
+
+
 @query(
     "budget_prefix",
     """SELECT conv_id, turn, running AS running_cost FROM (SELECT conv_id, turn, sum(length(role) + length(text)) OVER (PARTITION BY conv_id ORDER BY turn) AS running,
