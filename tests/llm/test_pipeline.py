@@ -44,7 +44,7 @@ def test_lines(stages):
     for i in ids:
         kept = [x for k, x in enumerate(before[i].text.split("\n")) if (i, k) not in gone]
         text = "\n".join(kept)
-        if text.strip() or text == before[i].text:
+        if text == before[i].text or text.strip() and len(text) >= 0.2 * len(before[i].text):
             want[i] = text
     assert {r.doc_id: r.text for r in after} == want and len(want) < len(ids)
     assert all(r.n_chars == len(r.text) and r.lang == before[r.doc_id].lang for r in after)

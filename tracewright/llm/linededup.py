@@ -18,12 +18,12 @@ THRESHOLD = 0.8
 LEAST_WORDS = 5  # lines with fewer different words are left alone
 COUNT_BITS = 22  # word counts are kept for 2**COUNT_BITS hash values, whatever the corpus
 FILTER_BITS = 25
-FIRST_CANDIDATES = 4  # candidates of a line that are verified before the rest is looked at
+FIRST_CANDIDATES = 32  # candidates of a line that are verified before the rest is looked at
 HOT_RUN = 50_000  # lines with one rare word that one task compares
 SLICE_BYTES = 1 << 20  # of text hashed at a time
 KEPT_KEYS = 400_000  # line keys that a task remembers
 
-ENTRY = "token long, doc long, line int, n int, pos int, s1 long, s2 long, probe boolean"
+ENTRY = "token long, doc long, line int, n int, pos int, s1 long, s2 long, kind long, probe boolean"
 PAIR = "x_doc long, x_line int, y_doc long, y_line int, more boolean"
 
 
@@ -217,6 +217,7 @@ def _entries(batches, target: pa.Schema, rank, threshold: float, least: int, pla
     for lines in line_slices(batches):
         words, line, position, n, ranks = _sets(lines, rank.value)
         a, b = _class_keys(lines)
+        kind = _mixed(a ^ _mixed(b))
         wanted = n >= least
         probe = np.ones(len(n), bool) if places is None else places.value.holds(place_hashes(lines.doc, lines.number))
         for i, key in enumerate(zip(a.tolist(), b.tolist(), strict=True)):
@@ -241,7 +242,7 @@ def _entries(batches, target: pa.Schema, rank, threshold: float, least: int, pla
         of = line[kept]
         columns = [
             words[kept].view(np.int64), lines.doc[of], lines.number[of], n[of].astype(np.int32), position[kept].astype(np.int32),
-            s1[of].view(np.int64), s2[of].view(np.int64), probe[of],
+            s1[of].view(np.int64), s2[of].view(np.int64), kind[of].view(np.int64), probe[of],
         ]
         if len(of):
             yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(c)) for c in columns], schema=target)
@@ -250,9 +251,22 @@ def _entries(batches, target: pa.Schema, rank, threshold: float, least: int, pla
 def _run_pairs(entries: dict[str, np.ndarray], threshold: float, limit: int | None):
     """Candidate pairs (x later, y earlier) of runs of one token, after the length, position and parity bounds.
 
+    Of lines with the same words only the first of a run takes part; the others
+    are exact copies.
+
     A line gets its nearest earlier candidates, ``limit`` of them; ``more`` says
     that earlier ones were not looked at.
     """
+    order = np.lexsort((np.arange(len(entries["token"])), entries["kind"], entries["token"]))
+    token, kind = entries["token"][order], entries["kind"][order]
+    kept = np.sort(order[np.r_[True, (token[1:] != token[:-1]) | (kind[1:] != kind[:-1])]])
+    x, y, more = _first_pairs({name: column[kept] for name, column in entries.items()}, threshold, limit)
+    whole = np.zeros(len(order), bool)
+    whole[kept] = more
+    return kept[x], kept[y], whole
+
+
+def _first_pairs(entries: dict[str, np.ndarray], threshold: float, limit: int | None):
     token, n, pos = entries["token"], entries["n"].astype(np.int64), entries["pos"].astype(np.int64)
     starts = np.r_[0, np.flatnonzero(token[1:] != token[:-1]) + 1]
     index = np.arange(len(token)) - np.repeat(starts, np.diff(np.r_[starts, len(token)]))
@@ -304,7 +318,7 @@ def _candidates(batches, target: pa.Schema, threshold: float, limit: int | None,
         entries = dict(zip(names, columns, strict=True))
         size = len(entries["doc"])
         out = [pa.array(entries["doc"]), pa.array(entries["line"]), *(pa.nulls(size, f.type) for f in list(target)[2:5])]
-        out += [pa.array(np.ascontiguousarray(entries[k])) for k in ("token", "n", "pos", "s1", "s2", "probe")]
+        out += [pa.array(np.ascontiguousarray(entries[k])) for k in ("token", "n", "pos", "s1", "s2", "kind", "probe")]
         return pa.RecordBatch.from_arrays(out, schema=target)
 
     def joined():
@@ -348,7 +362,7 @@ def _candidates(batches, target: pa.Schema, threshold: float, limit: int | None,
 def _candidate_pairs(entries: DataFrame, threshold: float, limit: int | None, hot_run: int) -> DataFrame:
     """PAIR rows of ``entries``; runs over ``hot_run`` lines are dealt to cells of two parts and compared there."""
     names = [f.split()[0] for f in ENTRY.split(", ")]
-    schema = f"{PAIR}, token long, n int, pos int, s1 long, s2 long, probe boolean"
+    schema = f"{PAIR}, token long, n int, pos int, s1 long, s2 long, kind long, probe boolean"
     target = arrow_schema(schema)
 
     def compared(frame: DataFrame, hot: int | None) -> DataFrame:
@@ -505,21 +519,26 @@ def remove_duplicate_lines(
     *,
     lines_col: str = "n_lines",
     removed_col: str = "n_removed",
+    share_col: str | None = None,
     **options,
 ) -> DataFrame:
     """``docs`` with the lines of :func:`duplicate_lines` taken out of the text, and how many it had and lost.
 
     Null texts stay null and have no lines. Rows keep their other columns, save
     that earlier ``lines_col`` and ``removed_col`` columns are replaced. A document
-    may be left with an empty text.
+    may be left with an empty text. ``share_col`` names a column for the share of
+    characters that stayed (1 for texts without any).
     """
     place, gone = fresh_name(docs, "_doc"), fresh_name(docs, "_gone")
     found = duplicate_lines(docs, id_col, text_col, **options)
     by_doc = found.groupBy(F.col("doc").alias(place)).agg(F.collect_set("line").alias(gone))
-    joined = docs.drop(lines_col, removed_col).join(by_doc, F.col(id_col).cast("long") == F.col(place), "left")
+    joined = docs.drop(lines_col, removed_col, share_col or lines_col).join(by_doc, F.col(id_col).cast("long") == F.col(place), "left")
     lines = F.split(F.col(text_col), "\n", -1)
     missing = F.coalesce(gone, F.array().cast("array<int>"))
     kept = F.filter(lines, lambda _, i: ~F.array_contains(missing, i))
+    if share_col:
+        share = F.length(F.array_join(kept, "\n")) / F.nullif(F.length(text_col), F.lit(0))
+        joined = joined.withColumn(share_col, F.when(F.col(gone).isNull(), 1.0).otherwise(F.coalesce(share, F.lit(1.0))))
     return (
         joined.withColumn(lines_col, F.coalesce(F.size(lines), F.lit(0)).cast("long"))
         .withColumn(removed_col, F.when(F.col(text_col).isNull(), 0).otherwise(F.size(lines) - F.size(kept)).cast("long"))
