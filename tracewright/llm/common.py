@@ -18,16 +18,23 @@ from pyspark.sql.types import _parse_datatype_string
 from tracewright.operators.skew import top_n
 
 WHITE = re.compile(rb"[\x20\x09-\x0D]")
+BATCH_ROWS = 2000  # rows of an Arrow batch: texts are long, and a batch is held several times over
 ROWS = 256  # rows turned into Python objects at a time
 CHUNK = 1 << 20  # bytes or characters of one text worked on at a time
 
 
+BATCH_SETTING = "spark.sql.execution.arrow.maxRecordsPerBatch"
 _shipped: set[str] = set()
 
 
 def ship_package(spark: SparkSession) -> None:
-    """Let the Python workers import this package wherever the driver was started; once per application."""
+    """Let the Python workers import this package wherever the driver was started; once per application.
+
+    The session's Arrow batches are made smaller as well, where that setting is untouched.
+    """
     context = spark.sparkContext
+    if spark.conf.get(BATCH_SETTING) == "10000":
+        spark.conf.set(BATCH_SETTING, str(BATCH_ROWS))
     if context.applicationId in _shipped:
         return
     root = Path(__file__).resolve().parents[1]
@@ -72,7 +79,7 @@ def map_columns(df: DataFrame, schema: str, work: Callable[[list[list]], list[li
 
 
 def with_results(df: DataFrame, inputs: list, schema: str, work: Callable, carry: bool, keep: list[str]) -> DataFrame:
-    """Columns that ``work`` makes of every row's ``inputs``, beside ``keep`` columns or, with ``carry``, beside all.
+    """Columns that ``work`` makes of every row's ``inputs`` columns, beside ``keep`` columns or, with ``carry``, beside all.
 
     ``work`` takes and returns column lists. Carried columns pass through as they
     are, so no join brings them back; there the new columns' names get a leading
@@ -86,17 +93,21 @@ def with_results(df: DataFrame, inputs: list, schema: str, work: Callable, carry
         + [f"`{n}` {f.dataType.simpleString()}" for n, f in zip(names, made, strict=True)]
     )
     target = arrow_schema(full)
+    # An input that is carried anyway is not sent twice.
+    places = [kept.index(c) if isinstance(c, str) and c in kept else None for c in inputs]
+    sent = [c for c, at in zip(inputs, places, strict=True) if at is None]
+    places = [len(kept) + sent.index(c) if at is None else at for c, at in zip(inputs, places, strict=True)]
 
     def run(batches):
         for batch in batches:
             for start in range(0, batch.num_rows, ROWS):
                 part = batch.slice(start, ROWS)
-                out = work([column.to_pylist() for column in part.columns[len(kept) :]])
+                out = work([part.column(at).to_pylist() for at in places])
                 arrays = [c.cast(f.type) for c, f in zip(part.columns[: len(kept)], target, strict=False)]
                 arrays += [pa.array(values, f.type) for values, f in zip(out, list(target)[len(kept) :], strict=True)]
                 yield pa.RecordBatch.from_arrays(arrays, schema=target)
 
-    columns = [F.col(f"`{c}`") for c in kept] + [c.alias(f"_input{i}") for i, c in enumerate(inputs)]
+    columns = [F.col(f"`{c}`") for c in kept] + [F.col(f"`{c}`").alias(f"_input{i}") for i, c in enumerate(sent)]
     return map_arrow(df.select(*columns), run, full)
 
 

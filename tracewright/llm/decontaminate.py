@@ -182,7 +182,8 @@ def contamination(
     shared = [spark.sparkContext.broadcast(a) for a in automata(benchmark, item_id_col, item_text_col, window, shard_words)]
     schema = "n_words long, n_hit long, items array<string>, drop boolean" + ", cleaned string" * with_text
 
-    def one(text: bytes | None) -> list:
+    def one(given: str | bytes | None) -> list:
+        text = given.encode() if isinstance(given, str) else given
         words = item_words(text)
         marks, found = None, set()
         for each in shared:
@@ -202,4 +203,4 @@ def contamination(
     def work(columns: list[list]) -> list[list]:
         return list(map(list, zip(*map(one, columns[0]), strict=True)))
 
-    return with_results(docs, [F.col(text_col).cast("binary")], schema, work, carry, [id_col])
+    return with_results(docs, [text_col], schema, work, carry, [id_col])

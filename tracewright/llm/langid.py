@@ -162,6 +162,6 @@ def identify(docs: DataFrame, model: LanguageModel, id_col: str = "doc_id", text
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
     return with_results(
-        docs, [F.col(text_col)], "lang_pred string, score double, ambiguous boolean",
+        docs, [text_col], "lang_pred string, score double, ambiguous boolean",
         lambda columns: shared.value.predict(columns[0]), carry, [id_col],
     )

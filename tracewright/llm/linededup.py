@@ -19,8 +19,9 @@ LEAST_WORDS = 5  # lines with fewer different words are left alone
 COUNT_BITS = 22  # word counts are kept for 2**COUNT_BITS hash values, whatever the corpus
 FILTER_BITS = 25
 FIRST_CANDIDATES = 32  # candidates of a line that are verified before the rest is looked at
+CLOSE_CANDIDATES = 2  # of a line with close candidates, those that are verified first
 HOT_RUN = 50_000  # lines with one rare word that one task compares
-SLICE_BYTES = 1 << 20  # of text hashed at a time
+SLICE_BYTES = 1 << 18  # of text hashed at a time
 KEPT_KEYS = 400_000  # line keys that a task remembers
 
 ENTRY = "token long, doc long, line int, n int, pos int, s1 long, s2 long, kind long, probe boolean"
@@ -37,7 +38,7 @@ class Lines:
     line: np.ndarray
 
 
-@lru_cache(maxsize=2)
+@lru_cache(maxsize=1)
 def _powers(size: int) -> tuple[np.ndarray, np.ndarray]:
     """Powers of an odd base and of its inverse, modulo 2**64."""
     base = 0x9E3779B97F4A7C15
@@ -65,7 +66,7 @@ def word_hashes(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     inside = ~((codes == 32) | ((codes >= 9) & (codes <= 13)))
     edges = np.flatnonzero(np.diff(np.r_[False, inside, False].astype(np.int8)))
     starts, ends = edges[::2], edges[1::2]
-    up, down = _powers(1 << max(SLICE_BYTES.bit_length() + 1, len(codes).bit_length()))
+    up, down = _powers(1 << max(SLICE_BYTES.bit_length() + 2, len(codes).bit_length()))
     sums = np.r_[np.uint64(0), np.cumsum((codes.astype(np.uint64) + np.uint64(1)) * up[: len(codes)])]
     return _mixed((sums[ends] - sums[starts]) * down[starts]), starts, np.flatnonzero(codes == 10)
 
@@ -254,8 +255,9 @@ def _run_pairs(entries: dict[str, np.ndarray], threshold: float, limit: int | No
     Of lines with the same words only the first of a run takes part; the others
     are exact copies.
 
-    A line gets its nearest earlier candidates, ``limit`` of them; ``more`` says
-    that earlier ones were not looked at.
+    A line gets its nearest earlier candidates: CLOSE_CANDIDATES of those whose
+    parities differ in at most half the bins that similarity allows, or ``limit``
+    others if it has none; ``more`` says that some were left out.
     """
     order = np.lexsort((np.arange(len(entries["token"])), entries["kind"], entries["token"]))
     token, kind = entries["token"][order], entries["kind"][order]
@@ -268,36 +270,42 @@ def _run_pairs(entries: dict[str, np.ndarray], threshold: float, limit: int | No
 
 def _first_pairs(entries: dict[str, np.ndarray], threshold: float, limit: int | None):
     token, n, pos = entries["token"], entries["n"].astype(np.int64), entries["pos"].astype(np.int64)
+    s1, s2 = entries["s1"].view(np.uint64), entries["s2"].view(np.uint64)
     starts = np.r_[0, np.flatnonzero(token[1:] != token[:-1]) + 1]
     index = np.arange(len(token)) - np.repeat(starts, np.diff(np.r_[starts, len(token)]))
-    s1, s2 = entries["s1"].view(np.uint64), entries["s2"].view(np.uint64)
-    found = np.zeros(len(token), np.int64)
+    close, far = np.zeros(len(token), np.int64), np.zeros(len(token), np.int64)
     more = np.zeros(len(token), bool)
-    xs, ys = [], []
+    xs, ys, near_by = [], [], []
     active = np.flatnonzero((index > 0) & entries["probe"])
     lag = 1
     while len(active):
         x, y = active, active - lag
         nx, ny = n[x], n[y]
         least = np.ceil(threshold / (1 + threshold) * (nx + ny) - 1e-9)
-        fits = (np.minimum(nx, ny) >= threshold * np.maximum(nx, ny) - 1e-9) & (
-            np.minimum(nx - pos[x], ny - pos[y]) >= least
-        )
+        fits = (np.minimum(nx, ny) >= threshold * np.maximum(nx, ny) - 1e-9) & (np.minimum(nx - pos[x], ny - pos[y]) >= least)
         x, y, least = x[fits], y[fits], least[fits]
         apart = np.bitwise_count(s1[x] ^ s1[y]).astype(np.int64) + np.bitwise_count(s2[x] ^ s2[y])
-        near = apart <= n[x] + n[y] - 2 * least
-        same = (entries["doc"][x] == entries["doc"][y]) & (entries["line"][x] == entries["line"][y])
-        x, y = x[near & ~same], y[near & ~same]
+        allowed = n[x] + n[y] - 2 * least
+        kept = (apart <= allowed) & ((entries["doc"][x] != entries["doc"][y]) | (entries["line"][x] != entries["line"][y]))
+        x, y, likely = x[kept], y[kept], 2 * apart[kept] <= allowed[kept]
         xs.append(x)
         ys.append(y)
-        found[x] += 1
+        near_by.append(likely)
+        close[x] += likely
+        far[x] += ~likely
         lag += 1
         active = active[index[active] >= lag]
         if limit:
-            full = found[active] >= limit
+            full = (close[active] >= CLOSE_CANDIDATES) | (far[active] >= limit)
             more[active[full]] = True
             active = active[~full]
-    return np.concatenate(xs or [np.zeros(0, np.int64)]), np.concatenate(ys or [np.zeros(0, np.int64)]), more
+    x, y, likely = (np.concatenate(c or [np.zeros(0, np.int64)]) for c in (xs, ys, near_by))
+    if limit:
+        # Far candidates of a line that has close ones wait until those are verified.
+        wait = ~likely.astype(bool) & (close[x] > 0)
+        more[x[wait]] = True
+        x, y = x[~wait], y[~wait]
+    return x, y, more
 
 
 def _candidates(batches, target: pa.Schema, threshold: float, limit: int | None, hot_run: int | None):
@@ -472,8 +480,8 @@ def duplicate_lines(
     words of a line, as many as similarity demands; counts over the whole corpus
     order words by rarity, and a word that occurs once meets nothing. Length,
     position and parity bounds leave few candidates; these are verified by
-    their words. A line is done with when one of its nearest
-    ``first_candidates`` candidates is similar; lines with further candidates and
+    their words. A line is done with when one of its first candidates (a few close ones,
+    or ``first_candidates`` others) is similar; lines with further candidates and
     none similar have all of them verified.
     """
     spark = docs.sparkSession

@@ -22,7 +22,7 @@ END = 0  # id after every document
 SHARD_ROWS = 50_000  # pieces packed by one task
 FAN_IN = 16  # shards whose open sequences meet in the next round
 HANDED_ON = 4096  # pieces of open sequences that a shard hands on
-CACHED = 1_000_000  # words whose ids a worker keeps
+CACHED = 600_000  # words whose ids a worker keeps
 
 # Word pattern of the byte-level vocabulary, for texts in which it means the same to Python's re as to the
 # tokenizer: printable ASCII, Latin letters and the usual white space. Other texts go to the tokenizer whole.

@@ -136,30 +136,42 @@ def _name(value: Column, seed: list[Column], attempt: Column) -> Column:
     return F.when(cyrillic, whole("cyrillic")).otherwise(whole("latin"))
 
 
-def surrogate(kind: Column, value: Column, attempt: Column, key: str) -> Column:
-    """A keyed replacement of a canonical value: same type, script, gender and format."""
-    seed = [F.lit(key), kind, value, attempt.cast("string")]
-    domain = F.regexp_extract(value, r"@(.*)\.", 1)
-    email = F.concat(
-        _scrambled(F.regexp_extract(value, "^([^@]*)@", 1), *seed),
-        F.lit("@"),
-        _scrambled(domain, F.lit(key), F.lit("domain"), domain),
-        F.regexp_extract(value, r"(\.[^.]*)$", 1),
+def _seed(kind: Column, value: Column, attempt: Column, key: str) -> list[Column]:
+    return [F.lit(key), kind, value, attempt.cast("string")]
+
+
+def variable_part(kind: Column, value: Column, attempt: Column, key: str) -> Column:
+    """The letters and digits of a canonical value that its surrogate replaces one by one, replaced."""
+    part = (
+        F.when(kind == "email", F.regexp_extract(value, "^([^@]*)@", 1))
+        .when(kind == "card", value.substr(F.lit(2), F.length(value) - 2))
+        .when(kind == "iban", value.substr(F.lit(3), F.length(value)))
+        .when(kind == "phone", F.regexp_extract(value, "([0-9]*)$", 1))
+        .when(kind.isin("ip", "name"), "")
+        .otherwise(value)
     )
+    return _scrambled(part, *_seed(kind, value, attempt, key))
+
+
+def surrogate(kind: Column, value: Column, attempt: Column, part: Column, key: str) -> Column:
+    """A keyed replacement of a canonical value around its ``variable_part``: same type, script, gender and format."""
+    seed = _seed(kind, value, attempt, key)
+    domain = F.regexp_extract(value, r"@(.*)\.", 1)
+    mail_domain = _scrambled(domain, F.lit(key), F.lit("domain"), domain)
+    email = F.concat(part, F.lit("@"), mail_domain, F.regexp_extract(value, r"(\.[^.]*)$", 1))
     octets = F.transform(F.split(value, r"\."), lambda _, i: (_draw(254, *seed, i.cast("string")) + 1).cast("string"))
-    body = F.concat(value.substr(F.lit(1), F.lit(1)), _scrambled(value.substr(F.lit(2), F.length(value) - 2), *seed))
+    body = F.concat(value.substr(F.lit(1), F.lit(1)), part)
     check = (10 - _luhn_sum(F.concat(body, F.lit("0"))) % 10) % 10
     wrong = (check + 1 + _draw(9, *seed, F.lit("check"))) % 10
     card = F.concat(body, F.when(_luhn_sum(value) % 10 == 0, check).otherwise(wrong).cast("int").cast("string"))
-    country = F.regexp_extract(value, "^([0-9]+ )", 1)
     return (
         F.when(kind == "email", email)
         .when(kind == "ip", F.array_join(octets, "."))
         .when(kind == "card", card)
         .when(kind == "name", _name(value, seed, attempt))
-        .when(kind == "iban", F.concat(value.substr(F.lit(1), F.lit(2)), _scrambled(value.substr(F.lit(3), F.length(value)), *seed)))
-        .when(kind == "phone", F.concat(country, _scrambled(value.substr(F.length(country) + 1, F.length(value)), *seed)))
-        .otherwise(_scrambled(value, *seed))
+        .when(kind == "iban", F.concat(value.substr(F.lit(1), F.lit(2)), part))
+        .when(kind == "phone", F.concat(F.regexp_extract(value, "^([0-9]+ )", 1), part))
+        .otherwise(part)
     )
 
 
@@ -188,7 +200,10 @@ def assign(values: DataFrame, key: str) -> DataFrame:
     real = values.select("kind", F.col("value").alias("surrogate"))
     given = None
     for _ in range(MAX_ROUNDS):
-        offered = still.withColumn("surrogate", surrogate(F.col("kind"), F.col("value"), F.col("attempt"), key))
+        named = [F.col("kind"), F.col("value"), F.col("attempt")]
+        # The exchange deals a few files out and keeps the part from being worked out again wherever it is used.
+        parted = still.withColumn("part", variable_part(*named, key)).repartition("kind", "value")
+        offered = parted.withColumn("surrogate", surrogate(*named, F.col("part"), key)).drop("part")
         taken = real if given is None else real.unionByName(given.select("kind", "surrogate"))
         marked = offered.join(taken.distinct().withColumn("taken", F.lit(True)), ["kind", "surrogate"], "left")
         best = marked.filter("taken is null").groupBy("kind", "surrogate").agg(F.min("value").alias("winner"))
