@@ -24,10 +24,26 @@ def test_ids_equal_the_tokenizer(monkeypatch):
     assert [np.frombuffer(b, "<u4").tolist() for b in encode.encode(texts)] == want
     monkeypatch.setattr(packing, "CHUNK", 20)
     assert [np.frombuffer(b, "<u4").tolist() for b in encode.encode(texts)] == want
+    plain = packing.Encoder(packing.default_vocabulary())
+    plain.single = None
+    assert plain.encode(texts) == encode.encode(texts)
     monkeypatch.setattr(packing, "CACHED", 50)
     assert [np.frombuffer(b, "<u4").tolist() for b in encode.encode(texts[:50])] == want[:50]
 
 
+def test_words_by_ranks_equal_the_tokenizer():
+    """Every kind of word that the plain pattern gives, by both libraries."""
+    rng = random.Random(3)
+    letters = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZéèàçüößñíóúâêîôûœøåÆŁšž"
+    words = {rng.choice(["", " "]) + "".join(rng.choice(letters) for _ in range(rng.randint(1, 24))) for _ in range(20000)}
+    words |= {rng.choice(["", " "]) + "".join(rng.choice("0123456789") for _ in range(rng.randint(1, 30))) for _ in range(3000)}
+    words |= {rng.choice(["", " "]) + "".join(rng.choice("!\"#$%&()*+,-./:;<=>?@[]^_`{|}~¡«»¿×÷") for _ in range(rng.randint(1, 12))) for _ in range(3000)}
+    words |= {"".join(rng.choice(" \n\t\r\xa0") for _ in range(rng.randint(1, 12))) for _ in range(500)}
+    words = sorted(words)
+    by_ranks, t = packing.Encoder(packing.default_vocabulary()).single, tokenizer()
+    assert [by_ranks(w) for w in words] == [e.ids for e in t.encode_batch(words, add_special_tokens=False)]
+
+
 def check(rows, ids_of, size):
     by_sequence, by_doc = {}, {}
     for r in rows:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import base64
 import os
 import re
 import zlib
@@ -23,6 +24,7 @@ SHARD_ROWS = 50_000  # pieces packed by one task
 FAN_IN = 16  # shards whose open sequences meet in the next round
 HANDED_ON = 4096  # pieces of open sequences that a shard hands on
 CACHED = 600_000  # words whose ids a worker keeps
+SHORT = 10  # characters of a word that stays when the others are dropped
 
 # Word pattern of the byte-level vocabulary, for texts in which it means the same to Python's re as to the
 # tokenizer: printable ASCII, Latin letters and the usual white space. Other texts go to the tokenizer whole.
@@ -31,6 +33,15 @@ NOT_PLAIN = re.compile(r"[^\t\n\r\x20-\x7e\xa0-\xb1\xb4-\xb8\xba\xbb\xbf-ɏ]")
 CUT = re.compile(r"(?<=\S)(?=\s)")
 
 
+def _word_encoder(path: str):
+    import public_tokenizers
+    import tiktoken
+
+    with open(path, "rb") as lines:
+        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
+    return tiktoken.Encoding("words", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+
+
 class Encoder:
     """Ids of whole texts as little-endian unsigned 32-bit bytes."""
 
@@ -41,13 +52,19 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
         self.known: dict[str, bytes] = {}
+        ranks = path.removesuffix(".json") + ".tiktoken"
+        self.single = _word_encoder(ranks) if os.path.exists(ranks) else None
 
     def _direct(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def _learn(self, words: list[str]) -> None:
-        found = self.tokenizer.encode_batch_fast(words, add_special_tokens=False)
-        self.known.update(zip(words, (pack(f"<{len(e.ids)}I", *e.ids) for e in found), strict=True))
+        """Ids of single words; the same vocabulary written as ranks gives them faster, where its file is there."""
+        if self.single is not None:
+            found = map(self.single, words)
+        else:
+            found = (e.ids for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False))
+        self.known.update(zip(words, (pack(f"<{len(ids)}I", *ids) for ids in found), strict=True))
 
     def _chunks(self, text: str):
         """Parts of about CHUNK characters, cut where white space begins, which no word crosses."""
@@ -61,7 +78,10 @@ class Encoder:
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of every text; words that were not met before are encoded together."""
         if len(self.known) > CACHED:
-            self.known.clear()
+            # Short words come again most.
+            self.known = {word: ids for word, ids in self.known.items() if len(word) <= SHORT}
+            if len(self.known) > CACHED // 2:
+                self.known = {}
         out, open_words = [], {}
         for text in texts:
             if len(text) > CHUNK or NOT_PLAIN.search(text):
