@@ -48,6 +48,29 @@ def test_text_without_article_element():
     assert got == "\n\n".join([*long[:3], "Short.", *long[3:]])
 
 
+def test_link_lists_inside_the_article():
+    long = ["This is a rather long paragraph of the story, number %d, with words enough to count as text." % i for i in range(4)]
+    p = [f"<p>{x}</p>" for x in long]
+    links = "<ul>" + "".join(f'<li><a href="/{i}">A link to another story {i}</a> {i}</li>' for i in range(6)) + "</ul>"
+    inline = '<p>See <a href="/r">the report on all of this</a>.</p>'
+    for tag in ("article", "main"):
+        got = main_text(page(f"<{tag}>{links}{p[0]}{p[1]}{links}{p[2]}{inline}{p[3]}<p>End.</p></{tag}>"))
+        assert got == "\n\n".join([*long[:3], "See the report on all of this.", long[3], "End."])
+    assert main_text(f"<article>{links}</article>") == ""
+
+
+def test_stretches():
+    assert html_text.stretches([]) == [] == html_text.stretches([1, 1, 1], 3, 50)
+    assert html_text.stretches([0, 90, 0, 0, 0, 0, 0, 60, 0, 70, 0], 3, 50) == [(1, 2), (7, 10)]
+    rng = random.Random(6)
+    for _ in range(300):
+        weights = [rng.choice([0, 0, 0, 3, 40, 90]) for _ in range(rng.randint(1, 25))]
+        high = [i for i in range(-2, len(weights)) if sum(weights[max(i, 0) : i + 3]) > 50]
+        inside = {k for first, last in html_text.stretches(weights, 3, 50) for k in range(first, last)}
+        covered = {k for i in high for k in range(max(i, 0), min(i + 3, len(weights)))}
+        assert inside <= covered and all(not weights[k] for k in covered - inside)
+
+
 def test_surge_and_dive():
     assert html_text.surge_and_dive([]) == (0, 0)
     assert html_text.surge_and_dive([0, 5, 0, 0, 90, 0, 3, 0, 0, 0, 0, 7], 3, 50) == (4, 7)

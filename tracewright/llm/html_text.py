@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from tracewright.llm.common import map_columns
 
 WINDOW = 3  # lines of a window
-SURGE = 80  # characters of a window at which text surges, where the page names no article
+SURGE = 80  # characters of a window at which text surges
 
 MARKUP = re.compile(
     r"""<!--.*?(?:--!?>|\Z)
@@ -149,18 +149,43 @@ def surge_and_dive(weights: list[int], window: int = WINDOW, surge: int = SURGE)
     return held[0], held[-1] + 1
 
 
+def stretches(weights: list[int], window: int = WINDOW, surge: int = SURGE) -> list[tuple[int, int]]:
+    """First and last line (exclusive) of every stretch of text: the lines of consecutive windows over ``surge``.
+
+    Lines that weigh nothing are left out at both ends of a stretch. The first
+    start and the last end are those of :func:`surge_and_dive`.
+    """
+    if not weights:
+        return []
+    weighed = np.array(weights, np.int64)
+    high = np.convolve(weighed, np.ones(window, np.int64))[window - 1 :] > surge
+    covered = np.convolve(high, np.ones(window, np.int64))[: len(weights)] > 0
+    edges = np.flatnonzero(np.diff(np.r_[False, covered, False].astype(np.int8)))
+    out = []
+    for first, last in zip(edges[::2].tolist(), edges[1::2].tolist(), strict=True):
+        held = np.flatnonzero(weighed[first:last])
+        if len(held):
+            out.append((first + int(held[0]), first + int(held[-1]) + 1))
+    return out
+
+
 def main_text(html: str | None, window: int = WINDOW, surge: int = SURGE) -> str:
     """Blocks of the article joined by an empty line.
 
-    Where the page names its article (an article or main element, role main),
-    lines outside it weigh nothing and any text inside surges. Elsewhere a line
-    weighs its characters outside links.
+    A line weighs its characters outside links. Where the page names its article
+    (an article or main element, role main), that is a hint: lines that are
+    mostly links weigh nothing, of the lines in stretches between surge and dive
+    those inside it stay, and so do lines inside it that lie in no stretch but
+    are not mostly links.
     """
     found = lines(html or "")
+    weights = [weight for _, weight, _ in found]
     if any(inside for _, _, inside in found):
-        first, last = surge_and_dive([len(text) if inside else 0 for text, _, inside in found], window, 0)
-        return "\n\n".join(text for text, _, inside in found[first:last] if inside)
-    first, last = surge_and_dive([weight for _, weight, _ in found], window, surge)
+        own = [weight if 2 * weight >= len(text) else 0 for text, weight, _ in found]
+        in_stretch = {i for first, last in stretches(own, window, surge) for i in range(first, last)}
+        kept = [text for i, (text, _, inside) in enumerate(found) if inside and (own[i] or i in in_stretch)]
+        return "\n\n".join(kept)
+    first, last = surge_and_dive(weights, window, surge)
     return "\n\n".join(text for text, _, _ in found[first:last])
 
 
