@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
@@ -15,7 +16,7 @@ from tracewright.llm.common import WHITE, arrow_schema, fresh_name, map_arrow, m
 from tracewright.session import cut_lineage
 
 THRESHOLD = 0.8
-LEAST_WORDS = 5  # lines with fewer different words are left alone
+LEAST_WORDS = 5  # lines with fewer different words are similar to none
 COUNT_BITS = 22  # word counts are kept for 2**COUNT_BITS hash values, whatever the corpus
 FILTER_BITS = 25
 FIRST_CANDIDATES = 32  # candidates of a line that are verified before the rest is looked at
@@ -24,6 +25,12 @@ HOT_RUN = 50_000  # lines with one rare word that one task compares
 SLICE_BYTES = 1 << 18  # of text hashed at a time
 KEPT_KEYS = 400_000  # line keys that a task remembers
 
+# UTF-8 of runs of Thai, Lao, Myanmar, Khmer, kana and Han characters, which are written without blanks.
+UNSPACED = re.compile(
+    rb"(?:\xe0[\xb8-\xbb][\x80-\xbf]|\xe1(?:[\x80\x81\x9e\x9f][\x80-\xbf]|\x82[\x80-\x9f])"
+    rb"|\xe3(?:\x81|\x82|\x83|[\x90-\xbf])[\x80-\xbf]|[\xe4-\xe9][\x80-\xbf]{2}|\xef[\xa4-\xab][\x80-\xbf]|\xf0[\xa0-\xb3][\x80-\xbf]{2})+"
+)
+
 ENTRY = "token long, doc long, line int, n int, pos int, s1 long, s2 long, kind long, probe boolean"
 PAIR = "x_doc long, x_line int, y_doc long, y_line int, more boolean"
 
@@ -71,12 +78,23 @@ def word_hashes(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return _mixed((sums[ends] - sums[starts]) * down[starts]), starts, np.flatnonzero(codes == 10)
 
 
+def _pairs_of(match: re.Match) -> bytes:
+    run = match[0].decode(errors="replace")
+    return f" {' '.join(map(''.join, zip(run, run[1:], strict=False))) or run} ".encode()
+
+
+def spaced(text: bytes) -> bytes:
+    """``text`` with every run of a script without blanks as its overlapping pairs of characters; lines stay."""
+    return text if text.isascii() else UNSPACED.sub(_pairs_of, text)
+
+
 def _segments(batches) -> Iterator[tuple[int, int, bytes, bool]]:
     """(doc, number of the first line, text, goes on in a line begun before) of at most SLICE_BYTES and a word."""
     for names, texts in rows_of(batches):
         for name, text in zip(names, texts, strict=True):
             if name is None or text is None:
                 continue
+            text = spaced(text)
             at, number, goes_on = 0, 0, False
             while at < len(text):
                 end = at + SLICE_BYTES
@@ -436,7 +454,7 @@ def _word_sets(docs: DataFrame, needed) -> DataFrame:
                 for k in chosen.tolist():
                     out[0].append(name)
                     out[1].append(k)
-                    out[2].append([w.decode() for w in dict.fromkeys(lines[k].lower().split())])
+                    out[2].append([w.decode() for w in dict.fromkeys(spaced(lines[k]).lower().split())])
         return out
 
     return map_columns(docs, "doc long, line int, words array<string>", work)
@@ -465,15 +483,19 @@ def duplicate_lines(
     *,
     threshold: float = THRESHOLD,
     least_words: int = LEAST_WORDS,
+    copied_words: int | None = None,
     first_candidates: int = FIRST_CANDIDATES,
     hot_run: int = HOT_RUN,
 ) -> DataFrame:
     """(doc, line): lines (numbered from 0) whose word set has Jaccard similarity ``threshold`` to that of an earlier line.
 
     Earlier means a smaller (id, line number) anywhere in ``docs``, whether that
-    line goes or stays. Words are split at white space, with A-Z lower-cased.
-    Lines with fewer than ``least_words`` different words are neither removed nor
-    matched; nor are those of null texts and ids. Ids are integers; rows that
+    line goes or stays. Words are split at white space, with A-Z lower-cased;
+    runs of Han, kana, Thai, Lao, Khmer and Myanmar characters count as their
+    overlapping pairs of characters. Lines with fewer than ``least_words``
+    different words are similar to none; exact copies (the same words, each as
+    often) of lines of ``copied_words`` different words go as well, by default of
+    as many. Lines of null texts and ids take no part. Ids are integers; rows that
     repeat an id are one document to this operator, as their lines share places.
 
     Exact copies meet by the key of their word set. Others meet on the rarest
@@ -486,9 +508,10 @@ def duplicate_lines(
     """
     spark = docs.sparkSession
     texts = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).cast("binary").alias("text"))
+    copied = least_words if copied_words is None else min(copied_words, least_words)
     schema = "doc long, line int, a long, b long, value int, n long"
     shape = arrow_schema(schema)
-    profile = cut_lineage(map_arrow(texts, lambda batches: _profile(batches, shape, least_words), schema))
+    profile = cut_lineage(map_arrow(texts, lambda batches: _profile(batches, shape, copied), schema))
     keyed = profile.filter("value is null").select("doc", "line", "a", "b")
     firsts = keyed.groupBy("a", "b").agg(F.min(F.struct("doc", "line")).alias("first"), F.count(F.lit(1)).alias("copies"))
     copies = keyed.join(firsts.filter("copies > 1"), ["a", "b"]).filter(F.struct("doc", "line") > F.col("first")).select("doc", "line")

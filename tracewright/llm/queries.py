@@ -65,7 +65,7 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tracewright.llm.linededup import remove_duplicate_lines
 
-    found = remove_duplicate_lines(table(spark, sf_dir, "documents"))
+    found = remove_duplicate_lines(table(spark, sf_dir, "documents"), copied_words=1)
     return found.select("doc_id", "n_lines", "n_removed", "text")
 
 
