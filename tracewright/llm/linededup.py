@@ -17,7 +17,7 @@ from tracewright.session import cut_lineage
 
 THRESHOLD = 0.8
 LEAST_WORDS = 5  # lines with fewer different words are similar to none
-COUNT_BITS = 22  # word counts are kept for 2**COUNT_BITS hash values, whatever the corpus
+COUNT_BITS = 22  # word counts are kept for 2**COUNT_BITS hash values, whatever the corpus; any number gives the same lines
 FILTER_BITS = 25
 FIRST_CANDIDATES = 32  # candidates of a line that are verified before the rest is looked at
 CLOSE_CANDIDATES = 2  # of a line with close candidates, those that are verified first
@@ -183,15 +183,15 @@ def _enough(lines: Lines, least: int) -> np.ndarray:
     return enough
 
 
-def _slots(words: np.ndarray) -> np.ndarray:
-    return (words >> np.uint64(64 - COUNT_BITS)).astype(np.int64)
+def _slots(words: np.ndarray, count_bits: int) -> np.ndarray:
+    return (words >> np.uint64(64 - count_bits)).astype(np.int64)
 
 
-def _profile(batches, target: pa.Schema, least: int):
+def _profile(batches, target: pa.Schema, least: int, count_bits: int):
     """Lines with the key of their words, then how many words fell to each hash value."""
-    counts = np.zeros(1 << COUNT_BITS, np.uint32)
+    counts = np.zeros(1 << count_bits, np.uint32)
     for lines in line_slices(batches):
-        slots, times = np.unique(_slots(lines.words), return_counts=True)
+        slots, times = np.unique(_slots(lines.words, count_bits), return_counts=True)
         counts[slots] += times.astype(np.uint32)
         a, b = _class_keys(lines)
         kept = np.flatnonzero(_enough(lines, least))
@@ -213,7 +213,7 @@ def prefix_size(n: np.ndarray, threshold: float) -> np.ndarray:
 
 def _sets(lines: Lines, rank: np.ndarray):
     """Different words of every line by (rank, hash): (hash, line, position, words per line, rank)."""
-    ranks = rank[_slots(lines.words)]
+    ranks = rank[_slots(lines.words, len(rank).bit_length() - 1)]
     key = (lines.line.astype(np.uint64) << np.uint64(45)) | (ranks.astype(np.uint64) << np.uint64(37)) | (lines.words >> np.uint64(27))
     order = np.argsort(key)
     words, line = lines.words[order], lines.line[order]
@@ -486,6 +486,7 @@ def duplicate_lines(
     copied_words: int | None = None,
     first_candidates: int = FIRST_CANDIDATES,
     hot_run: int = HOT_RUN,
+    count_bits: int = COUNT_BITS,
 ) -> DataFrame:
     """(doc, line): lines (numbered from 0) whose word set has Jaccard similarity ``threshold`` to that of an earlier line.
 
@@ -511,14 +512,14 @@ def duplicate_lines(
     copied = least_words if copied_words is None else min(copied_words, least_words)
     schema = "doc long, line int, a long, b long, value int, n long"
     shape = arrow_schema(schema)
-    profile = cut_lineage(map_arrow(texts, lambda batches: _profile(batches, shape, copied), schema))
+    profile = cut_lineage(map_arrow(texts, lambda batches: _profile(batches, shape, copied, count_bits), schema))
     keyed = profile.filter("value is null").select("doc", "line", "a", "b")
     firsts = keyed.groupBy("a", "b").agg(F.min(F.struct("doc", "line")).alias("first"), F.count(F.lit(1)).alias("copies"))
     copies = keyed.join(firsts.filter("copies > 1"), ["a", "b"]).filter(F.struct("doc", "line") > F.col("first")).select("doc", "line")
 
     counts = profile.filter("value is not null").groupBy("value").agg(F.sum("n").alias("n"))
     level = counts.select("value", F.least(F.lit(255), F.ceil(F.log2("n") * 6)).cast("int").alias("level")).toArrow()
-    rank = np.zeros(1 << COUNT_BITS, np.uint8)
+    rank = np.zeros(1 << count_bits, np.uint8)
     rank[level["value"].to_numpy()] = level["level"].to_numpy().astype(np.uint8)
     ranks = spark.sparkContext.broadcast(rank)
     target = arrow_schema(ENTRY)
