@@ -112,6 +112,28 @@ def op10_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return best_fit_pack(table(spark, sf_dir, "documents"))
 
 
+@_query
+def op11_ctph(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tracewright.llm.ctph import compare_with_edits
+
+    return compare_with_edits(table(spark, sf_dir, "documents"))
+
+
+@_query
+def op12_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tracewright.llm.variants import SLIP_EVERY, spelling_variants
+
+    return spelling_variants(table(spark, sf_dir, "documents"), slip_every=SLIP_EVERY)
+
+
+@_query
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tracewright.llm.whitening import fit, whiten
+
+    vectors = table(spark, sf_dir, "embeddings")
+    return whiten(vectors, fit(vectors))
+
+
 @_query
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf_dir)
