@@ -22,7 +22,7 @@ LEAST_LENGTH = 6
 LEAST_COUNT = 5
 SLIP_EVERY = 199  # one in so many of a document's words is misspelt
 RATIO = 5  # times as often as a word its form occurs at least
-HELD_WORDS = 1 << 18  # counted words that a task holds
+HELD_WORDS = 1 << 16  # counted words that a task holds
 CHUNK = 1 << 20  # characters of a text searched at a time
 HELD_ROWS = 1 << 16
 
