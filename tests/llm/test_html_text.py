@@ -107,3 +107,29 @@ def test_query_on_table(spark):
         inside = re.search("<article>(.*)</article>", html[r.page_id], re.S)[1]
         blocks = [" ".join(unescape(re.sub("<[^>]+>", "", b)).split()) for b in re.split("</?(?:p|h1)>|<br>", inside)]
         assert r.text == "\n\n".join(b for b in blocks if b) and r.n_chars == len(r.text)
+
+
+def test_cut_off_tags_take_no_time():
+    import time
+
+    attributes = " ".join(f'data-a{i}="v{i}" b{i}=\'w{i}\'' for i in range(4000))
+    long = "word " * 40
+    pages = [
+        f"<p>{long}</p><div {attributes}",
+        f"<p>{long}</p><div {attributes} c=\"",
+        f"<p>{long}</p>" + '<a ">" ' * 60000,
+        f"<p>{long}</p>" + "<a '" * 60001,
+        f"<p>{long}</p><script " + '"x" ' * 60000,
+        f"<p>{long}</p>" + "<" * 200000,
+        f"<p>{long}</p>" + "<!--" * 60000,
+    ]
+    for page in pages:
+        began = time.time()
+        assert html_text.main_text(page).startswith(long.strip())
+        assert time.time() - began < 10
+
+
+def test_quotes_in_tags():
+    long = "words of an article " * 8
+    for tag in ("<p title=it's>", "<p title='a > b'>", '<p title="a > b" x>', "<p title=\"it's\">", '<p title="open>'):
+        assert html_text.main_text(f"<div>{tag}{long}</p></div>") == long.strip()

@@ -10,9 +10,7 @@ from tracewright.llm import packing
 
 
 def tokenizer():
-    t = Tokenizer.from_file(packing.default_vocabulary())
-    t.encode_special_tokens = True
-    return t
+    return Tokenizer.from_file(packing.default_vocabulary())
 
 
 def test_ids_equal_the_tokenizer(monkeypatch):
@@ -31,6 +29,11 @@ def test_ids_equal_the_tokenizer(monkeypatch):
     assert [np.frombuffer(b, "<u4").tolist() for b in encode.encode(texts[:50])] == want[:50]
 
 
+def test_added_tokens_have_their_own_ids():
+    ids = np.frombuffer(packing.Encoder(packing.default_vocabulary()).encode(["a <|endoftext|> b"])[0], "<u4").tolist()
+    assert ids == [64, 220, 50256, 275] == tokenizer().encode("a <|endoftext|> b", add_special_tokens=False).ids
+
+
 def test_words_by_ranks_equal_the_tokenizer():
     """Every kind of word that the plain pattern gives, by both libraries."""
     rng = random.Random(3)

@@ -95,3 +95,15 @@ def test_query_on_table(spark):
             assert a != b and pairs.setdefault(a.lower(), b.lower()) == b.lower()
     assert len(pairs) > 20 and len(set(pairs.values())) == len(pairs)
     assert not set(pairs) & set(pairs.values())
+
+
+def test_very_long_runs(spark):
+    n = 100_000
+    texts = [
+        "x@" + "a." * n, "x@" + "a-" * n + ".com", "a" * n + "@b.org", "Mr " + "A" * n, "1" * n, "1." * n, "+1 " * n, "(" * n,
+        "DE00 " * n, "A1" * n, "4111 " * n, "Mr A" + "'" * n, "@" * n,
+    ]
+    found = pii.replace_entities(documents(spark, texts + ["mail jo@x.example.org now"]), key="k")
+    got = {r.doc_id: r for r in found.select("doc_id", "n_entities", F.length("text").alias("n")).collect()}
+    assert len(got) == len(texts) + 1 and got[len(texts)].n_entities == 1
+    assert not any(got[i].n_entities for i in (0, 1, 2, 3, 4, 5, 11, 12))  # longer than any address or name

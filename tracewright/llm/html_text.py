@@ -14,12 +14,14 @@ from tracewright.llm.common import map_columns
 WINDOW = 3  # lines of a window
 SURGE = 80  # characters of a window at which text surges
 
+# A tag ends at the first > outside quoted values, or, where quotes don't close or there are hundreds, at the first > at all.
+# Possessive throughout, so no text is read more than twice from one place.
 MARKUP = re.compile(
     r"""<!--.*?(?:--!?>|\Z)
-    |<(?P<raw>script|style|textarea|title|noscript|iframe|template|svg)\b(?:[^>"']|"[^"]*"|'[^']*')*>.*?(?:</(?P=raw)\s*>|\Z)
-    |<(?P<close>/)?(?P<tag>[a-zA-Z][^\s/>]*)(?P<rest>(?:[^>"']|"[^"]*"|'[^']*'|["'])*?)>
-    |<[!?][^>]*>
-    |<[a-zA-Z/!][^>]*\Z""",
+    |<(?P<raw>script|style|textarea|title|noscript|iframe|template|svg)\b(?:[^>"']++|"[^"]*+"|'[^']*+')*+>.*?(?:</(?P=raw)\s*>|\Z)
+    |<(?P<close>/)?(?P<tag>[a-zA-Z][^\s/>]*+)(?P<rest>(?:[^>"']++|"[^"]*+"|'[^']*+'){0,512}+(?=>)|[^>]*+(?=>))>
+    |<[!?][^>]*+>
+    |<[a-zA-Z/!][^>]*+\Z""",
     re.S | re.I | re.X,
 )
 NAMED = re.compile(r"""\b(class|id|role|itemprop|aria-label)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)

@@ -16,7 +16,7 @@ from tracewright.llm.common import WHITE, arrow_schema, fresh_name, map_arrow, m
 from tracewright.session import cut_lineage
 
 THRESHOLD = 0.8
-LEAST_WORDS = 5  # lines with fewer different words are similar to none
+LEAST_WORDS = 1  # lines with fewer different words are similar to none
 COUNT_BITS = 22  # word counts are kept for 2**COUNT_BITS hash values, whatever the corpus; any number gives the same lines
 FILTER_BITS = 25
 FIRST_CANDIDATES = 32  # candidates of a line that are verified before the rest is looked at
@@ -535,7 +535,8 @@ def duplicate_lines(
     )
     if not open_lines.isEmpty():
         at = spark.sparkContext.broadcast(_place_filter(open_lines))
-        asked = map_arrow(texts, lambda batches: _entries(batches, target, ranks, threshold, least_words, at), ENTRY)
+        asking = texts.join(open_lines.select("doc").distinct(), "doc", "left_semi").select("doc", "text")
+        asked = map_arrow(asking, lambda batches: _entries(batches, target, ranks, threshold, least_words, at), ENTRY)
         words = spark.sparkContext.broadcast(HashFilter(asked.select("token").distinct()))
         rest = map_arrow(texts, lambda batches: _entries(batches, target, ranks, threshold, least_words, at, words), ENTRY)
         further = _candidate_pairs(rest, threshold, None, hot_run).drop("more").distinct().withColumn("more", F.lit(False))

@@ -50,7 +50,9 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        # Strings of the vocabulary's own added tokens have their ids wherever they stand, so no words are cut out of such texts.
+        added = sorted(t.content for t in self.tokenizer.get_added_tokens_decoder().values())
+        self.added = re.compile("|".join(map(re.escape, added)) or r"(?!)")
         self.known: dict[str, bytes] = {}
         ranks = path.removesuffix(".json") + ".tiktoken"
         self.single = _word_encoder(ranks) if os.path.exists(ranks) else None
@@ -84,7 +86,7 @@ class Encoder:
                 self.known = {}
         out, open_words = [], {}
         for text in texts:
-            if len(text) > CHUNK or NOT_PLAIN.search(text):
+            if len(text) > CHUNK or NOT_PLAIN.search(text) or self.added.search(text):
                 out.append([self._direct([c])[0] for c in self._chunks(text)])
                 continue
             words = PLAIN_WORDS.findall(text)

@@ -10,14 +10,15 @@ from tracewright.session import cut_lineage
 
 MAX_ROUNDS = 100
 
-# What counts as an entity. Alternatives are tried in this order; the first that fits names the type.
+# What counts as an entity. Parts are no longer than addresses and names can be, and no group repeats without bound,
+# so a text of any length is matched with a bounded stack. Alternatives are tried in this order; the first that fits names the type.
 _OCTET = r"(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])"
 _TITLES_M = "Mr|Herr|Herrn|Monsieur|M|Señor|Sr|Don|Sir|Lord|г-н|господин"
 _TITLES_F = "Mrs|Ms|Miss|Frau|Madame|Mme|Mademoiselle|Señora|Sra|Señorita|Doña|Lady|г-жа|госпожа"
 _TITLES_N = "Dr|Prof|Mx"
-_NAME = r"\p{Lu}[\p{L}'’-]+"
+_NAME = r"\p{Lu}[\p{L}'’-]{1,63}+(?![\p{L}'’-])"
 PATTERNS = {
-    "email": r"(?=[A-Za-z0-9._%+-])(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@(?:[A-Za-z0-9-]+\.)+[A-Za-z]{2,}(?![A-Za-z0-9-])",
+    "email": r"(?=[A-Za-z0-9._%+-])(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}+@(?:[A-Za-z0-9-]{1,63}+\.){1,126}[A-Za-z]{2,}(?![A-Za-z0-9-])",
     "ip": rf"(?=[0-9])(?<![\w.])(?:{_OCTET}\.){{3}}{_OCTET}(?!\w|\.[0-9])",
     "iban": r"(?=[A-Z])(?<!\w)[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?!\w)",
     "ssn": r"(?=[0-9])(?<![\w-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![\w-])",
