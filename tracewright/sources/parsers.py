@@ -7,14 +7,17 @@ file split.
 
 from __future__ import annotations
 
+import csv
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tracewright.functions.text import clean, first_nonempty, nonblank
 from tracewright.functions.times import canonical_ts
 from tracewright.schema import SCHEMA_VERSION, conform
+from tracewright.sources.records import quoted_records
 
 # Timestamp column -> (event type, origin), per tool.
 MFT_TIMES = {
@@ -141,7 +144,7 @@ def plain_path(url: Column) -> Column:
     return F.url_decode(F.regexp_replace(url, r"\+", "%2B"))
 
 
-def files_by_header(spark: SparkSession, paths: str | list[str]) -> list[list[str]]:
+def files_by_header(spark: SparkSession, paths: str | list[str]) -> dict[str, list[str]]:
     """Files grouped by their first line; one line per file reaches the driver, like a listing."""
     lines = spark.read.text(paths).select(
         "value", plain_path(F.col("_metadata.file_path")).alias("file"),
@@ -149,7 +152,17 @@ def files_by_header(spark: SparkSession, paths: str | list[str]) -> list[list[st
     )
     first = lines.groupBy("file").agg(F.min_by("value", "place").alias("header"))
     grouped = first.groupBy("header").agg(F.sort_array(F.collect_list("file")).alias("files"))
-    return sorted(row["files"] for row in grouped.collect())
+    return {row["header"]: row["files"] for row in sorted(grouped.collect(), key=lambda row: row["files"])}
+
+
+# How fields are quoted; empty fields are null, quoted empty ones are empty texts.
+CSV_OPTIONS = {"quote": '"', "escape": '"', "encoding": "UTF-8", "ignoreLeadingWhiteSpace": "false", "ignoreTrailingWhiteSpace": "false"}
+
+
+def header_names(header: str) -> list[str]:
+    """Column names of a header line; a name that comes again gets its position."""
+    names = next(csv.reader([header.removeprefix("\ufeff")]), [])
+    return [name if names.index(name) == i else f"{name}{i}" for i, name in enumerate(names)]
 
 
 def read_csv(spark: SparkSession, paths: str | list[str], tool: str, *, multiline: bool = True) -> DataFrame:
@@ -158,21 +171,28 @@ def read_csv(spark: SparkSession, paths: str | list[str], tool: str, *, multilin
     Files may order their columns differently or lack optional ones: files with
     the same header are one scan, every header must hold the required columns,
     and the scans are joined by column name. Files without any line are skipped.
-    ``multiline`` is needed where fields hold line breaks; a file is then one
-    split. Without it huge files split into many tasks.
+    Huge files are read by many tasks, also where fields hold line breaks; ``multiline=False``
+    says that none does, and saves the passes that look for them.
     """
 
-    def scan(files: str | list[str]) -> DataFrame:
-        found = spark.read.csv(
-            files, header=True, inferSchema=False, multiLine=multiline, escape='"', quote='"', encoding="UTF-8",
-            ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False,
-        )
+    def plain(header: str, files: list[str]) -> DataFrame:
+        found = spark.read.csv(files, header=True, inferSchema=False, **{**CSV_OPTIONS, "multiLine": False})
         return number_records(require_columns(found, tool), 2)
 
+    def quoted(header: str, files: list[str]) -> DataFrame:
+        fields = T.StructType([T.StructField(name, T.StringType()) for name in header_names(header)])
+        require_columns(spark.createDataFrame([], fields), tool)
+        rows = quoted_records(spark, files).filter(F.col("number") > 1)
+        parsed = F.from_csv("value", fields.toDDL(), {**CSV_OPTIONS, "multiLine": "true", "lineSep": "\n"})
+        return rows.select(
+            parsed.alias("_r"), F.col("number").alias("source_row"), F.regexp_replace(plain_path(F.col("file")), r"^file:(//)?", "").alias("source_file")
+        ).select("_r.*", "source_row", "source_file")
+
     groups = files_by_header(spark, paths)
-    if len(groups) < 2:
-        return scan(paths)
-    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), map(scan, groups))
+    scans = [(quoted if multiline else plain)(header, files) for header, files in groups.items()]
+    if not scans:
+        return spark.createDataFrame([], ", ".join(f"`{c}` string" for c in REQUIRED[tool]) + ", source_row long, source_file string")
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), scans)
 
 
 def _text(df: DataFrame, name: str) -> Column:
