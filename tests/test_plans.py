@@ -303,15 +303,6 @@ def test_candidate_findings_signature(spark):
     assert sorted(r[0] for r in V.candidate_findings(df, ["title"]).collect()) == ["a", "c", "d", "e", "g"]
 
 
-def test_vector_blocks_agree(spark):
-    rows = [(i, [float((i * 7 + j * 3) % 11 - 5) for j in range(6)]) for i in range(60)]
-    queries = spark.createDataFrame(rows, "query_id long, vector array<double>")
-    corpus = spark.createDataFrame([(i, v) for i, v in rows], "doc_id long, vector array<double>").repartition(4)
-    one = sorted(map(tuple, V.vector_topk(queries, corpus, 5).collect()))
-    many = sorted(map(tuple, V.vector_topk(queries, corpus, 5, max_query_bytes=500).collect()))
-    assert one == many and len(one) == 300
-
-
 def test_progress_never_goes_back(spark):
     df = spark.createDataFrame([("c", "CORRELATION"), ("c", "parsing"), ("d", "x")], "case_id string, line string")
     assert [(r["phase"], r["percent"]) for r in G.case_progress(df).collect()] == [("Correlation", 41.2)]

@@ -2,16 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tracewright.functions.labels import contains_any, lookup
 from tracewright.functions.text import clean, dedupe_ci, nonblank
 from tracewright.operators.skew import top_n
+from tracewright.operators.vectors import cell_search
 
 # Result sizes, minimum text length, query caps.
 SEARCH_K, REPORT_K = 8, 4
@@ -19,11 +16,6 @@ RERANK_K, RERANK_POOL = 10, 120
 CONTEXT_K, MIN_CONTEXT_CHARS = 6, 300
 LIST_VALUES, QUERY_CHARS = 8, 3000
 
-# Queries are broadcast in blocks of at most this many vector bytes; a task scores
-# tiles of at most this many (query, chunk) pairs at a time: 32 MB of scores.
-MAX_QUERY_BYTES = 16 * 1024 * 1024
-TILE_PAIRS = 4 * 1024 * 1024
-
 # Question signals, device terms and phase bonuses.
 DEVICE_SIGNALS = [
     "network appliance", "network infrastructure appliance", "network infrastructure", "network device",
@@ -50,82 +42,13 @@ HISTORICAL_TERMS = [
 HISTORY_MARKERS = ["5. **historical examples**", "5. historical examples"]
 
 
-def _unit_rows(vectors: np.ndarray) -> np.ndarray:
-    norms = np.linalg.norm(vectors, axis=1, keepdims=True)
-    return np.divide(vectors, norms, out=np.zeros_like(vectors), where=norms > 0)
-
-
-def _best_of_tile(scores: np.ndarray, docs: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """(row, column) of the k best of every row: higher score, then smaller id."""
-    if scores.shape[1] > k:
-        least = np.partition(scores, scores.shape[1] - k, axis=1)[:, scores.shape[1] - k]
-        rows, cols = np.nonzero(scores >= least[:, None])
-    else:
-        rows, cols = (x.ravel() for x in np.indices(scores.shape))
-    order = np.lexsort((docs[cols], -scores[rows, cols], rows))
-    rows, cols = rows[order], cols[order]
-    first = np.searchsorted(rows, np.arange(scores.shape[0]))
-    kept = np.arange(len(rows)) - first[rows] < k
-    return rows[kept], cols[kept]
-
+def vector_topk(queries: DataFrame, corpus: DataFrame, k: int, **options: int) -> DataFrame:
+    """Exact cosine top-k: (query_id, doc_id, score), score rounded to 6 digits, ties to the smaller id.
 
-def vector_topk(
-    queries: DataFrame, corpus: DataFrame, k: int, *, max_query_bytes: int = MAX_QUERY_BYTES, tile_pairs: int = TILE_PAIRS
-) -> DataFrame:
-    """Exact cosine top-k: (query_id, doc_id, score), score rounded to 6 digits.
-
-    ``queries`` is (query_id, vector), ``corpus`` is (doc_id, vector). Corpus
-    batches stay where they are: each task scores its batch against a broadcast
-    query block and keeps k rows per query, so what is shuffled is k rows per
-    query and batch, never all pairs. Queries are sized first; more than one
-    block's worth is read block by block, and every block scans the corpus. A
-    task holds the scores of ``tile_pairs`` pairs at most and sorts only the best
-    of them, however many queries there are.
+    ``queries`` is (query_id, vector), ``corpus`` is (doc_id, vector); how they meet is told at
+    :func:`tracewright.operators.vectors.cell_search`, which takes the ``options``.
     """
-    spark = queries.sparkSession
-    size = queries.agg(
-        F.count(F.lit(1)).alias("n"), F.max(F.size("vector")).alias("dim")
-    ).first()
-    if not size["n"]:
-        return spark.createDataFrame([], "query_id long, doc_id long, score double")
-    per_row = 8 * (size["dim"] or 1)
-    blocks = max(1, -(-size["n"] * per_row // max_query_bytes))
-    schema = f"query_id {dict(queries.dtypes)['query_id']}, doc_id {dict(corpus.dtypes)['doc_id']}, score double"
-    parts = []
-    for block in range(blocks):
-        chosen = queries
-        if blocks > 1:
-            chosen = queries.filter(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == block)
-        local = chosen.select("query_id", "vector").toPandas()
-        if local.empty:
-            continue
-        ids = spark.sparkContext.broadcast(local["query_id"].to_numpy())
-        matrix = spark.sparkContext.broadcast(
-            _unit_rows(np.vstack(local["vector"].map(lambda v: np.asarray(v, dtype=np.float64))))
-        )
-
-        def score(batches: Iterator[pd.DataFrame], ids=ids, matrix=matrix) -> Iterator[pd.DataFrame]:
-            for batch in batches:
-                if batch.empty:
-                    continue
-                docs = batch["doc_id"].to_numpy()
-                vectors = np.vstack(batch["vector"].map(lambda v: np.asarray(v, dtype=np.float64)))
-                unit = _unit_rows(vectors)
-                step = max(1, tile_pairs // len(docs))
-                for start in range(0, len(ids.value), step):
-                    # Rounded score first, then the smaller id, as in the final ranking.
-                    scores = np.round(matrix.value[start : start + step] @ unit.T, 6)
-                    rows, cols = _best_of_tile(scores, docs, k)
-                    yield pd.DataFrame(
-                        {"query_id": ids.value[start + rows], "doc_id": docs[cols], "score": scores[rows, cols]}
-                    )
-
-        hits = corpus.select("doc_id", "vector").mapInPandas(score, schema)
-        parts.append(top_n(hits, ["query_id"], [F.desc("score"), F.asc("doc_id")], k))
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.unionByName(part)
-    return out
+    return cell_search(queries, corpus, k, **options)[0]
 
 
 def best_chunk_per_report(hits: DataFrame, *, reports: int = REPORT_K) -> DataFrame:

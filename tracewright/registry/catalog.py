@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tracewright.registry import graph, hosts, imports, leads, reads, streams  # noqa: F401
+from tracewright.registry import graph, hosts, imports, leads, reads, scans, streams  # noqa: F401
 from tracewright.registry.base import ORACLES, QUERIES
 
 
