@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tracewright.operators.running import PART, range_parts, running
+from tracewright.session import cut_lineage
+
 
 def session_cells(df: DataFrame, keys: list[str], ts_us: str, gap_us: int) -> DataFrame:
     """(keys, _cell, session_no, first_us, last_us, n) per occupied time cell.
@@ -12,22 +15,28 @@ def session_cells(df: DataFrame, keys: list[str], ts_us: str, gap_us: int) -> Da
     Rows of one key inside a cell as wide as the gap are never further apart
     than the gap, so they share a session. Grouping to cells combines before
     the shuffle; the windows then see one row per occupied cell, a number that
-    time bounds and row counts do not.
+    time bounds and row counts do not. Without keys the cells are worked on in ranges.
     """
     cells = df.groupBy(*keys, F.floor(F.col(ts_us) / F.lit(gap_us)).alias("_cell")).agg(
         F.min(ts_us).alias("first_us"),
         F.max(ts_us).alias("last_us"),
         F.count(F.lit(1)).alias("n"),
     )
+    if not keys:  # one sequence of all rows: in ranges of time
+        parts = range_parts(cells, [], ["_cell"])
+        seen = running(parts, [], ["_cell"], before=True, _previous=("max", F.col("last_us")))
+        begins = F.when(F.col("first_us") - F.col("_previous") <= gap_us, 0).otherwise(1)
+        marked = cut_lineage(seen.withColumn("_starts", begins))
+        return running(marked, [], ["_cell"], session_no=("sum", F.col("_starts"))).drop("_starts", "_previous", PART)
     order = Window.partitionBy(*keys).orderBy("_cell")
     previous = F.lag("last_us").over(order)
     starts = F.when(
         previous.isNotNull() & (F.col("first_us") - previous <= gap_us), 0
     ).otherwise(1)
-    running = order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    so_far = order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     return (
         cells.withColumn("_starts", starts)
-        .withColumn("session_no", F.sum("_starts").over(running))
+        .withColumn("session_no", F.sum("_starts").over(so_far))
         .drop("_starts")
     )
 

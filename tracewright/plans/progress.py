@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tracewright.operators.running import PART, range_parts, running
+
 # Phases in order, and the patterns that announce them.
 PHASES = [
     "Evidence Upload", "Prepare Case", "Artifact Collection", "Parsing", "Normalization", "System Telemetry",
@@ -50,5 +52,37 @@ def case_progress(lines: DataFrame, by: str = "case_id", line: str = "line") ->
         .agg(reached)
         .filter(F.col("phase_index").isNotNull())
         .withColumn("phase", F.element_at(names, F.col("phase_index") + 1))
-        .withColumn("percent", F.round(F.lit(100.0) * F.col("phase_index") / (len(PHASES) - 1), 1))
+        .withColumn("percent", percent_of(F.col("phase_index")))
+    )
+
+
+def percent_of(index: Column) -> Column:
+    return F.round(F.lit(100.0) * index / (len(PHASES) - 1), 1)
+
+
+def line_progress(
+    lines: DataFrame, order: list[str], by: str = "case_id", line: str = "line", carried: DataFrame | None = None
+) -> DataFrame:
+    """One row per log line that is not blank: the line's columns, detected, phase_index, phase, percent, started.
+
+    ``detected`` is the index of the phase that the line announces (null if none), ``phase_index`` the furthest one so far in
+    the order of ``order`` within the case (null before the first), ``started`` whether the line moves it on. ``carried`` is
+    (``by``, reached): how far a case had come before. The furthest phase is a running maximum over ranges of lines, so a case
+    may have any number of lines.
+    """
+    index = phase_index(F.col(line))
+    parts = range_parts(lines.filter(F.trim(F.col(line)) != "").withColumn("detected", index), [by], order)
+    seen = running(parts, [by], order, before=True, _before=("max", F.col("detected"))).drop(PART)
+    if carried is not None:
+        seen = seen.join(carried.select(by, F.col("reached").alias("_reached")), by, "left")
+        seen = seen.withColumn("_before", F.greatest("_before", "_reached")).drop("_reached")
+    names = F.array(*[F.lit(p) for p in PHASES])
+    reached = F.greatest("_before", "detected")
+    started = F.coalesce(F.col("detected") > F.coalesce("_before", F.lit(-1)), F.lit(False))
+    return (
+        seen.withColumn("phase_index", reached)
+        .withColumn("started", started)
+        .withColumn("phase", F.when(F.col("phase_index").isNotNull(), F.element_at(names, F.col("phase_index") + 1)))
+        .withColumn("percent", percent_of(F.col("phase_index")))
+        .drop("_before")
     )

@@ -272,10 +272,10 @@ def related_activity(
     joining the timeline on the session bounds' number.
     """
     rows = timeline.select(
-        F.lit(1).alias("one"), "finding_id", "title", "theme", "hostname", "event_uid", "event_ts",
+        "finding_id", "title", "theme", "hostname", "event_uid", "event_ts",
         micros(F.col("event_ts")).alias("us"),
     )
-    located = assign_sessions(rows, ["one"], "us", gap_seconds * 1_000_000)
+    located = assign_sessions(rows, [], "us", gap_seconds * 1_000_000)
     sessions = located.groupBy("session_no").agg(
         F.min("event_ts").alias("start_ts"),
         F.max("event_ts").alias("end_ts"),

@@ -13,7 +13,8 @@ from tracewright.registry.views import stored_events, table
 from tracewright.session import ensure_checkpoint_dir
 from tracewright.sources.results import write_events_jsonl
 from tracewright.streaming.ingest import start_ingest, stream_events
-from tracewright.streaming.progress import start_progress, stream_lines
+from tracewright.plans.progress import line_progress
+from tracewright.streaming.progress import read_progress, start_line_progress, start_progress, stream_lines
 
 
 def _folder(spark) -> str:
@@ -47,3 +48,57 @@ def stream_phase(spark, sf_dir):
     name = f"phases_{uuid.uuid4().hex}"
     start_progress(named, name, f"{base}/state", once=True).awaitTermination()
     return spark.table(name).select("case_id", "phase_index")
+
+
+# What is added to a line, by its length, so that lines announce phases.
+MARKS = ["", " NORMALIZATION", "", " correlation", " PARSING", "", " investigation context", " Findings", "", " RAG", " Qwen8 selective", "", "", " Final report"]
+MARKED = f"""l AS (SELECT conv_id, turn, i AS line_no, lines[i] || ([{', '.join(repr(m) for m in MARKS)}])[CAST(length(lines[i]) % {len(MARKS)} + 1 AS INTEGER)] AS line
+    FROM (SELECT conv_id, turn, string_split(text, chr(10)) AS lines, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS i FROM conversations WHERE text IS NOT NULL)),
+  d AS (SELECT *, CASE WHEN regexp_matches(line, '(?i)PHASE 1 - IMAGE TO EVIDENCE\\.DB|PREPARE CASE|prepare_case_from_image') THEN 1
+    WHEN regexp_matches(line, '(?i)ARTIFACT COLLECTION|COLLECT|EvidenceReader|TRIAGE COLLECTOR|AD1') THEN 2
+    WHEN regexp_matches(line, '(?i)PARSING|EvtxECmd|Hayabusa|LECmd|PECmd|RECmd') THEN 3 WHEN regexp_matches(line, '(?i)NORMALIZATION|Finish normalization') THEN 4
+    WHEN regexp_matches(line, '(?i)SYSTEM TELEMETRY') THEN 5 WHEN regexp_matches(line, '(?i)SAM TELEMETRY') THEN 6 WHEN regexp_matches(line, '(?i)CORRELATION') THEN 7
+    WHEN regexp_matches(line, '(?i)CORE CLUSTERS|CANDIDATE CLUSTERS|clusters') THEN 8 WHEN regexp_matches(line, '(?i)FINDINGS') THEN 9
+    WHEN regexp_matches(line, '(?i)INVESTIGATION CONTEXT') THEN 10 WHEN regexp_matches(line, '(?i)FAST TRIAGE') THEN 11 WHEN regexp_matches(line, '(?i)QWEN4') THEN 12
+    WHEN regexp_matches(line, '(?i)RAG') THEN 13 WHEN regexp_matches(line, '(?i)DEEP PREPARATION|Prepare deep analysis') THEN 14
+    WHEN regexp_matches(line, '(?i)QWEN INVESTIGATOR|Qwen8 selective') THEN 15 WHEN regexp_matches(line, '(?i)CASE SYNTHESIS|Prepare synthesis') THEN 16
+    WHEN regexp_matches(line, '(?i)FINAL DFIR REPORT|Final report') THEN 17 END AS detected FROM l WHERE trim(line) <> '')"""
+
+
+def _marked(spark, sf_dir):
+    """Lines of the conversations, each with the mark that its length names."""
+    lines = table(spark, sf_dir, "conversations").filter("text is not null").select(
+        "conv_id", "turn", F.posexplode(F.split("text", "\n", -1)).alias("at", "text")
+    )
+    mark = F.element_at(F.array(*[F.lit(m) for m in MARKS]), F.length("text") % len(MARKS) + 1)
+    return lines.select("conv_id", "turn", (F.col("at") + 1).cast("long").alias("line_no"), F.concat("text", mark).alias("line"))
+
+
+@query(
+    "line_progress",
+    f"""WITH {MARKED}, r AS (SELECT *, max(detected) OVER (PARTITION BY conv_id ORDER BY turn, line_no) AS reached,
+      max(detected) OVER (PARTITION BY conv_id ORDER BY turn, line_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS earlier FROM d)
+    SELECT conv_id, turn, line_no, detected, reached AS phase_index, round(100.0 * reached / 17, 1) AS percent,
+      coalesce(detected > coalesce(earlier, -1), false) AS started FROM r""",
+)
+def line_progress_rows(spark, sf_dir):
+    rows = line_progress(_marked(spark, sf_dir), ["turn", "line_no"], by="conv_id")
+    return rows.select("conv_id", "turn", "line_no", "detected", "phase_index", "percent", "started")
+
+
+@query(
+    "stream_line_progress",
+    f"""WITH {MARKED}, r AS (SELECT *, max(detected) OVER (PARTITION BY conv_id ORDER BY line) AS reached,
+      max(detected) OVER (PARTITION BY conv_id ORDER BY line ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS earlier FROM d),
+    a AS (SELECT conv_id, line, detected, reached FROM r)
+    SELECT CAST(conv_id AS VARCHAR) AS case_id, line, detected, max(reached) AS phase_index, count(*) AS n FROM a GROUP BY ALL""",
+)
+def stream_line_progress(spark, sf_dir):
+    """The lines of each conversation arrive as one log, in the order of their text."""
+    base = _folder(spark)
+    lines = _marked(spark, sf_dir)
+    lines.select("conv_id", F.col("line").alias("value")).repartition(8, "conv_id").sortWithinPartitions("conv_id", "value").write.partitionBy("conv_id").text(f"{base}/logs")
+    named = stream_lines(spark, f"{base}/logs").withColumn("case_id", F.regexp_replace("case_id", "^conv_id=", ""))
+    start_line_progress(named, f"{base}/table", f"{base}/state", once=True).awaitTermination()
+    rows = read_progress(spark, f"{base}/table").groupBy("case_id", "line", "detected", "phase_index").agg(F.count(F.lit(1)).alias("n"))
+    return rows.groupBy("case_id", "line", "detected").agg(F.max("phase_index").alias("phase_index"), F.sum("n").alias("n"))
