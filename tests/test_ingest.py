@@ -96,3 +96,65 @@ def test_store_reads_are_pruned(spark, tmp_path):
     plan = I.stored_alike(stored, stored)._jdf.queryExecution().executedPlan().toString()
     folders, pushed = (plan.split(f"{kind}: [")[1].split("], ")[0] for kind in ("PartitionFilters", "PushedFilters"))
     assert "case_id" in folders and "source_tool" in folders and "GreaterThanOrEqual(event_ts" in pushed
+
+
+def test_rejected_lines_are_not_read_again(spark, tmp_path):
+    good = '{"Timestamp": "2024-01-01 00:00:00", "RuleTitle": "r"}'
+    path = tmp_path / "d.jsonl"
+    path.write_text("\n".join([good, "{broken", "{cut", good.replace("01-01", "01-02"), "{last"]))
+    store = str(tmp_path / "store")
+    got = [I.import_source(spark, store, "C", "hayabusa", str(path), max_rows=n) for n in (3, 3)] + [I.import_source(spark, store, "C", "hayabusa", str(path))]
+    assert [(g["inserted"], g["malformed"], g["last_source_row"]) for g in got] == [(1, 2, 3), (0, 0, 3), (1, 1, 5)]
+    assert sorted(r["source_row"] for r in I.read_rejects(spark, store).collect()) == [2, 3, 5]
+    commits = [(r["first_row"], r["last_row"], r["events"], r["rejects"]) for r in I.read_commits(spark, store).orderBy("committed_at").collect()]
+    assert commits == [(1, 3, 1, 2), (4, 3, 0, 0), (4, 5, 1, 1)]
+
+
+@pytest.mark.parametrize("step", ["commit_batch", "createDataFrame"])
+def test_killed_between_write_and_ledger(spark, tmp_path, monkeypatch, step):
+    """An import that dies before its commit leaves nothing to read; one that dies before its ledger row gives the same rows again."""
+    path = write_csv(tmp_path / "pf.csv", P.REQUIRED["pecmd"], prefetch_rows(6) + [{"LastRun": "unreadable"}])
+    store = str(tmp_path / "store")
+    I.import_source(spark, store, "C", "pecmd", path, max_rows=2)
+    before = I.read_events(spark, store).count()
+
+    class Killed(Exception):
+        pass
+
+    def die(*_, **__):
+        raise Killed
+
+    with monkeypatch.context() as patch:
+        if step == "commit_batch":
+            patch.setattr(I, step, die)
+        else:
+            patch.setattr(I, "commit_batch", lambda *a, f=I.commit_batch, **b: (f(*a, **b), die()))
+        with pytest.raises(Killed):
+            I.import_source(spark, store, "C", "pecmd", path)
+    assert I.read_events(spark, store).count() == (before if step == "commit_batch" else 6)
+    assert I.read_rejects(spark, store).count() == (step != "commit_batch")
+    got = I.import_source(spark, store, "C", "pecmd", path)
+    assert (got["inserted"], got["rejected"]) == (4, 1)
+    assert I.read_events(spark, store).select("event_uid").distinct().count() == I.read_events(spark, store).count() == 6
+    assert I.read_rejects(spark, store).count() == 1
+
+
+def test_compaction(spark, tmp_path):
+    incoming, store, state = tmp_path / "in", str(tmp_path / "store"), str(tmp_path / "state")
+    path = write_csv(tmp_path / "pf.csv", P.REQUIRED["pecmd"], prefetch_rows(12) + [{"LastRun": "unreadable"}])
+    events = P.prefetch_events(spark, path, "C", parser_output="p")
+    for i in range(4):
+        write_events_jsonl(events.filter(f"provenance.source_row % 4 = {i}").coalesce(1), str(incoming / f"p{i}"))
+    stream = lambda where: start_ingest(stream_events(spark, f"{incoming}/*", files_per_trigger=1), store, where, once=True, compact_from=4)
+    stream(state).awaitTermination()
+    live = I.live_batches(spark, store)
+    assert len(live) < 4 and any(name.startswith("compact-") for name in live)
+    assert sorted(r["event_uid"] for r in I.read_events(spark, store).collect()) == sorted(r["event_uid"] for r in events.filter("event_ts is not null").collect())
+    assert I.read_rejects(spark, store).count() == 1
+    # Another stream over the same files finds everything stored.
+    stream(str(tmp_path / "other")).awaitTermination()
+    assert I.read_events(spark, store).count() == 12
+    name = I.compact(spark, store, least_batches=2)
+    assert I.live_batches(spark, store) == [name] and I.read_events(spark, store).count() == 12
+    assert len(I.read_events(spark, store).inputFiles()) >= 1
+    assert I.compact(spark, store, least_batches=2) is None

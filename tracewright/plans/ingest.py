@@ -1,17 +1,22 @@
 """Importing parser outputs into the event store.
 
 The store is a parquet table partitioned by import batch, case and tool. A
-batch overwrites its own folder, so an import that runs again after a failure
-leaves no doubles. The ledger is a small table with one row per import attempt.
+batch overwrites its own folder and counts once its commit is written, one small
+file that appears whole; so an import that runs again after a failure leaves no
+doubles, and nobody reads half a batch. Many small batches are compacted into one
+that replaces them in the same way. The ledger is a small table with one row per
+import attempt.
 """
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tracewright.operators.skew import first_by
+from tracewright.operators.skew import first_by, planned_bytes
 from tracewright.schema import EVENT_SCHEMA, union_all
 from tracewright.session import cut_lineage
 from tracewright.sources.inventory import list_files
@@ -52,6 +57,12 @@ def normalize(spark: SparkSession, inputs: dict[str, str | list[str]], case_id:
     return union_all([ADAPTERS[tool](spark, path, case_id) for tool, path in inputs.items()])
 
 
+COMMIT_SCHEMA = (
+    "batch string, replaces array<string>, events long, rejects long, first_row long, last_row long, committed_at timestamp"
+)
+COMPACT_FROM = 32  # batches from which a store is compacted
+
+
 def _read(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
     try:
         return spark.read.schema(schema).parquet(path)
@@ -61,11 +72,36 @@ def _read(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
         return spark.createDataFrame([], schema)
 
 
+def read_commits(spark: SparkSession, store: str) -> DataFrame:
+    """One row per committed batch, or more if it was written again."""
+    return _read(spark, f"{store}/commits", T._parse_datatype_string(COMMIT_SCHEMA))
+
+
+def live_batches(spark: SparkSession, store: str) -> list[str]:
+    """Batches that count: committed, and not replaced since. Their number is kept small by :func:`compact`."""
+    live: dict[str, None] = {}
+    for row in read_commits(spark, store).orderBy("committed_at").select("batch", "replaces").collect():
+        for name in row["replaces"] or ():
+            live.pop(name, None)
+        live[row["batch"]] = None
+    return list(live)
+
+
+def commit_batch(
+    spark: SparkSession, store: str, batch: str, *, replaces: list[str] | None = None, events: int | None = None,
+    rejects: int | None = None, first_row: int | None = None, last_row: int | None = None,
+) -> None:
+    """Make a written batch count, in place of those it ``replaces``."""
+    fields = T._parse_datatype_string(COMMIT_SCHEMA).fields[:-1]
+    row = spark.createDataFrame([(batch, replaces or [], events, rejects, first_row, last_row)], T.StructType(fields))
+    row.withColumn("committed_at", F.current_timestamp()).coalesce(1).write.mode("append").parquet(f"{store}/commits")
+
+
 def read_events(spark: SparkSession, store: str, *, without_batch: str | None = None) -> DataFrame:
-    """The event store; empty before the first import. One batch can be left out."""
+    """The committed events; empty before the first import. One batch can be left out."""
     rows = _read(spark, f"{store}/events", EVENT_SCHEMA)
-    if without_batch is not None and "batch" in rows.columns:
-        rows = rows.filter(F.col("batch") != without_batch)
+    if "batch" in rows.columns:
+        rows = rows.filter(F.col("batch").isin([name for name in live_batches(spark, store) if name != without_batch]))
     return rows.select(*EVENT_SCHEMA.names)
 
 
@@ -117,10 +153,31 @@ def write_rejects(rejects: DataFrame, store: str, batch: str) -> None:
 
 
 def read_rejects(spark: SparkSession, store: str) -> DataFrame:
-    """All rejected rows; empty before the first reject."""
-    return _read(spark, f"{store}/rejects", T._parse_datatype_string(REJECT_SCHEMA)).select(
-        "source_file", "source_row", "event_uid", "value", "reason"
-    )
+    """All rejected rows of committed batches; empty before the first reject."""
+    rows = _read(spark, f"{store}/rejects", T._parse_datatype_string(REJECT_SCHEMA))
+    if "batch" in rows.columns:
+        rows = rows.filter(F.col("batch").isin(live_batches(spark, store)))
+    return rows.select("source_file", "source_row", "event_uid", "value", "reason")
+
+
+def compact(spark: SparkSession, store: str, *, least_batches: int = COMPACT_FROM, file_bytes: int = 128 << 20) -> str | None:
+    """Rewrite all batches as one, in files of about ``file_bytes``, if there are ``least_batches``; its name.
+
+    Rows are ranged by case, tool and time, so a large case fills many files and a small one shares a task. The
+    new batch replaces the others with its commit; a run that ends before leaves the store as it was.
+    """
+    live = live_batches(spark, store)
+    if len(live) < least_batches:
+        return None
+    name = f"compact-{uuid.uuid4().hex[:16]}"
+    events, rejects = read_events(spark, store), read_rejects(spark, store)
+    parts = max(1, -(-planned_bytes(events) // file_bytes))
+    ranged = events.repartitionByRange(parts, "case_id", "source_tool", "event_ts", "event_uid")
+    write_batch(ranged, store, name)
+    if not rejects.isEmpty():
+        write_rejects(rejects.coalesce(max(1, -(-planned_bytes(rejects) // file_bytes))), store, name)
+    commit_batch(spark, store, name, replaces=live)
+    return name
 
 
 def first_by_uid(events: DataFrame) -> DataFrame:
@@ -186,7 +243,8 @@ def import_source(
     source rows and leaves the import PARTIAL. Returns a summary whose parsed
     events are the inserted, the duplicates and the rejected ones; rejected rows
     (events without a readable time, and malformed lines, counted apart) are
-    written beside the store.
+    written beside the store. A run goes on after the last record of the one before,
+    whether that was stored or rejected.
     """
     source = source_fingerprint(spark, path)
     ledger = read_ledger(spark, store)
@@ -209,17 +267,20 @@ def import_source(
     name = f"{import_id[:16]}-{start_row or first}"
     fresh = cut_lineage(missing_events(good, stored_alike(good, read_events(spark, store, without_batch=name))))
     rejects = untimed_rejects(rejected)
-    malformed = 0
+    malformed, last_malformed = 0, None
     if tool == "hayabusa":
         lines = cut_lineage(limit_rows(read_detections(spark, path)[1], start_row, max_row))
-        malformed = lines.count()
+        malformed, last_malformed = lines.agg(F.count(F.lit(1)), F.max("source_row")).first()
         rejects = rejects.unionByName(lines.withColumn("event_uid", F.lit(None).cast("string")))
     counts = batch.agg(F.count(F.lit(1)).alias("n"), F.max("provenance.source_row").alias("last")).first()
     inserted, refused = fresh.count(), rejected.count()
     write_batch(fresh, store, name)
     if refused + malformed:
         write_rejects(rejects, store, name)
-    last = counts["last"] if counts["last"] is not None else (previous["last_source_row"] if previous else None)
+    # The last record of all, stored or not: a line that gives no event is not read again.
+    reached = [n for n in (counts["last"], last_malformed, previous["last_source_row"] if previous else None) if n is not None]
+    last = max(reached, default=None)
+    commit_batch(spark, store, name, events=inserted, rejects=refused + malformed, first_row=start_row or first, last_row=last)
     status = PARTIAL if max_rows is not None else COMPLETED
     row = (
         import_id, case_id, tool, path, status, source["sha256"], source["length"], last,
@@ -253,9 +314,12 @@ def gap_fill(spark: SparkSession, store: str, case_id: str, inputs: dict[str, st
         good, rejected = split_unparseable(batch)
         fresh = cut_lineage(missing_events(good, stored_alike(good, stored)))
         inserted, refused = fresh.count(), rejected.count()
+        name = f"gap-{case_id}-{tool}-{existing}"
         if refused:
-            write_rejects(untimed_rejects(rejected), store, f"gap-{case_id}-{tool}-{existing}")
+            write_rejects(untimed_rejects(rejected), store, name)
         if inserted:
-            write_batch(fresh, store, f"gap-{case_id}-{tool}-{existing}")
+            write_batch(fresh, store, name)
+        if inserted or refused:
+            commit_batch(spark, store, name, events=inserted, rejects=refused)
         rows.append((tool, FILLED if inserted else ALREADY, existing, n, inserted, refused))
     return spark.createDataFrame(rows, "tool string, state string, existing long, normalized long, inserted long, rejected long")
