@@ -1,5 +1,6 @@
 """The link and component plans with the salting path forced by a low threshold."""
 
+import random
 from functools import partial
 
 import pytest
@@ -45,3 +46,18 @@ def test_hub_component(spark, low_threshold):
     df = spark.createDataFrame(edges, "a string, b string")
     got = {r["node"]: r["component"] for r in components.connected_components(df, "a", "b").collect()}
     assert got == union_find(edges)
+
+
+def test_edges_of_a_hub(spark):
+    from tracewright.plans.lookups import incident_edges
+
+    rng = random.Random(3)
+    name = lambda: "hub" if rng.random() < 0.4 else f"e{rng.randrange(60)}"
+    edges = [(f"x{i}", name(), name(), "R", 0.5, "HIGH", 1.0) for i in range(400)]
+    held = [(f"f{i % 7}", name()) for i in range(60)] + [("f9", None)]
+    want = sorted({(f, e[0]) for f, uid in held for e in edges if uid is not None and uid in e[1:3]})
+    schema = "edge_uid string, event_uid_a string, event_uid_b string, relationship_type string, score double, confidence string, time_delta_seconds double"
+    frames = spark.createDataFrame(edges, schema), spark.createDataFrame(held, "finding_id string, event_uid string")
+    for options in ({}, {"rows_per_salt": 20, "min_bytes": 0}):
+        got = [tuple(r) for r in incident_edges(*frames, **options).select("finding_id", "edge_uid").collect()]
+        assert sorted(got) == want

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from tracewright.functions.text import clean, first_nonempty
 from tracewright.functions.times import canonical_ts
 from tracewright.operators.ranking import number_rows
+from tracewright.operators.skew import ROWS_PER_SALT, SMALL_BYTES, salted_join
 
 # The default result bound and the known placeholder time.
 MAX_LIMIT = 10_000
@@ -164,17 +165,16 @@ def finding_evidence_lists(findings: DataFrame, evidence: DataFrame) -> DataFram
     )
 
 
-def incident_edges(edges: DataFrame, evidence: DataFrame) -> DataFrame:
+def incident_edges(
+    edges: DataFrame, evidence: DataFrame, *, rows_per_salt: int = ROWS_PER_SALT, min_bytes: int = SMALL_BYTES
+) -> DataFrame:
     """Edges with either end in a finding's evidence, once per finding.
 
-    Two equi-joins instead of an OR condition, which would need a nested loop.
+    Both ends of an edge are rows of one equi-join, which carries what is shown of the edge. The edges of
+    a hub event spread over tasks by their uid, and the findings that hold it meet each of them there.
     """
-    ends = evidence.select("finding_id", "event_uid")
-    by_a = edges.join(ends, F.col("event_uid_a") == F.col("event_uid")).select("finding_id", "edge_uid")
-    by_b = edges.join(ends, F.col("event_uid_b") == F.col("event_uid")).select("finding_id", "edge_uid")
-    return (
-        by_a.unionByName(by_b)
-        .distinct()
-        .join(edges, "edge_uid")
-        .select("finding_id", "edge_uid", "relationship_type", "score", "confidence", "time_delta_seconds")
-    )
+    shown = ["edge_uid", "relationship_type", "score", "confidence", "time_delta_seconds"]
+    ends = edges.select(*shown, F.explode(F.array_distinct(F.array("event_uid_a", "event_uid_b"))).alias("event_uid"))
+    held = evidence.select("finding_id", "event_uid").filter("event_uid is not null").distinct()
+    met = salted_join(ends, held, ["event_uid"], salt_by=["edge_uid"], rows_per_salt=rows_per_salt, min_bytes=min_bytes)
+    return met.select("finding_id", *shown).dropDuplicates(["finding_id", "edge_uid"])

@@ -167,6 +167,22 @@ def incident_edges(spark, sf_dir):
     return L.incident_edges(edges, finding_tables(spark, sf_dir)[1]).select("finding_id", "edge_uid", "score")
 
 
+@query(
+    "incident_edges_hub",
+    f"""WITH RECURSIVE {SUPPRESS_CTE}, h AS (SELECT edge_uid, score, CASE WHEN left(edge_uid, 1) < '6' THEN 'HUB' ELSE event_uid_a END AS a, event_uid_b AS b FROM edges),
+    held AS (SELECT finding_id, event_uid FROM evidence UNION SELECT finding_id, 'HUB' FROM evidence)
+    SELECT DISTINCT v.finding_id, e.edge_uid, e.score FROM h e JOIN held v ON v.event_uid = e.a OR v.event_uid = e.b""",
+)
+def incident_edges_hub(spark, sf_dir):
+    """One event is an end of a third of all edges and in every finding."""
+    _, edges, _, _ = staged_graph(spark, sf_dir)
+    hub = F.when(F.substring("edge_uid", 1, 1) < "6", "HUB").otherwise(F.col("event_uid_a"))
+    evidence = finding_tables(spark, sf_dir)[1].select("finding_id", "event_uid")
+    held = evidence.unionByName(evidence.select("finding_id", F.lit("HUB").alias("event_uid")))
+    found = L.incident_edges(edges.withColumn("event_uid_a", hub), held, rows_per_salt=200, min_bytes=0)
+    return found.select("finding_id", "edge_uid", "score")
+
+
 @query(
     "source_context",
     f"""WITH RECURSIVE {SUPPRESS_CTE}, src AS (SELECT true AS cand, candidate_id AS source_id, event_count, edge_count FROM candidates

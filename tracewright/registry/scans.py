@@ -6,10 +6,11 @@ import uuid
 
 from pyspark.sql import functions as F
 
+from tracewright.plans import acquisition as A
 from tracewright.plans import ingest as I
 from tracewright.registry.base import query
 from tracewright.registry.reads import EV
-from tracewright.registry.views import staged, stored_events
+from tracewright.registry.views import staged, stored_events, table
 from tracewright.session import ensure_checkpoint_dir
 from tracewright.sources import parsers as P
 
@@ -31,6 +32,10 @@ def _written(spark, sf_dir, tool, columns):
     return folder
 
 
+def _inputs(spark, sf_dir, tools):
+    return {tool: staged(spark, sf_dir, f"csv_{tool}", lambda tool=tool: _written(spark, sf_dir, tool, _columns(tool))) for tool in tools}
+
+
 def _columns(tool):
     number = F.col("provenance.source_row")
     time, user = F.col("timestamp"), F.regexp_extract("event_uid", "^.{4}", 0)
@@ -57,7 +62,7 @@ def _columns(tool):
 
 
 def scan(spark, sf_dir, tool):
-    folder = staged(spark, sf_dir, f"csv_{tool}", lambda: _written(spark, sf_dir, tool, _columns(tool)))
+    folder = _inputs(spark, sf_dir, [tool])[tool]
     events = P.ADAPTERS[tool](spark, folder, CASE)
     file = F.regexp_extract("provenance.parser_output", r"_file=([0-9]+)/", 1).cast("long")
     return events.withColumn("file", file).withColumn("source_row", F.col("provenance.source_row"))
@@ -120,9 +125,37 @@ def scan_shortcut(spark, sf_dir):
 )
 def adapter_union(spark, sf_dir):
     """Four tools' outputs as one event table; every event has a key of its own."""
-    inputs = {
-        tool: staged(spark, sf_dir, f"csv_{tool}", lambda tool=tool: _written(spark, sf_dir, tool, _columns(tool)))
-        for tool in ("mftecmd", "evtxecmd", "recmd", "lecmd")
-    }
-    events = I.first_by_uid(I.normalize(spark, inputs, CASE))
+    events = I.first_by_uid(I.normalize(spark, _inputs(spark, sf_dir, ("mftecmd", "evtxecmd", "recmd", "lecmd")), CASE))
     return events.groupBy("source_tool", "artifact_type").agg(F.count(F.lit(1)).alias("n"), F.min("timestamp").alias("first"))
+
+
+@query(
+    "gap_fill",
+    EV + """, c AS (SELECT count(*) FILTER (source_row % 5 <> 0) AS reg, count(*) + count(*) FILTER (source_row % 2 = 0) AS lnk FROM ev)
+    SELECT 1 AS run, 'recmd' AS tool, 'COMPLETED_MISSING_EVENTS' AS state, 0 AS existing, reg AS normalized, reg AS inserted, 0 AS rejected FROM c
+    UNION ALL SELECT 1, 'lecmd', 'COMPLETED_MISSING_EVENTS', 0, lnk, lnk, 0 FROM c UNION ALL SELECT 1, 'hayabusa', 'SKIPPED_NO_SOURCE', 0, 0, 0, 0
+    UNION ALL SELECT 2, 'recmd', 'ALREADY_COMPLETE', reg, reg, 0, 0 FROM c UNION ALL SELECT 2, 'lecmd', 'ALREADY_COMPLETE', lnk, lnk, 0, 0 FROM c
+    UNION ALL SELECT 2, 'hayabusa', 'SKIPPED_NO_SOURCE', 0, 0, 0, 0""",
+)
+def gap_fill(spark, sf_dir):
+    """Two tools' outputs fill an empty store; a second run finds everything there."""
+    store = f"{ensure_checkpoint_dir(spark).rstrip('/')}/scans/{uuid.uuid4().hex}/store"
+    inputs = _inputs(spark, sf_dir, ("recmd", "lecmd"))
+    runs = [I.gap_fill(spark, store, CASE, inputs).withColumn("run", F.lit(n)) for n in (1, 2)]
+    return runs[0].unionByName(runs[1])
+
+
+@query(
+    "listing_scan",
+    r"""SELECT CASE WHEN page_id % 3 = 0 THEN 'd/d' ELSE 'r/r' END AS entry_type, page_id % 2 = 1 AS deleted, CAST(page_id AS VARCHAR) || '-128-1' AS metadata_address,
+      trim(url) AS path FROM pages WHERE trim(url) <> ''""",
+)
+def listing_scan(spark, sf_dir):
+    """A listing of every page's address as a file system tool prints it, with lines of another form between."""
+    folder = f"{ensure_checkpoint_dir(spark).rstrip('/')}/scans/{uuid.uuid4().hex}/listing"
+    number = F.col("page_id")
+    kind = F.when(number % 3 == 0, "d/d ").otherwise("r/r ")
+    line = F.concat(kind, F.when(number % 2 == 1, "* ").otherwise(""), number.cast("string"), F.lit("-128-1:\t"), "url")
+    pages = table(spark, sf_dir, "pages").filter(F.trim("url") != "")
+    pages.select(F.explode(F.array(line, F.lit("noise"), F.lit(""))).alias("value")).write.text(folder)
+    return A.read_listing(spark, folder, "v").select("entry_type", "deleted", "metadata_address", "path")
