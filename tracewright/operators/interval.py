@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tracewright.operators.running import PART, range_parts, running
 from tracewright.operators.skew import salted_join
 from tracewright.session import cut_lineage
 
@@ -109,15 +110,12 @@ def crowded_anchors(
         group, "_cell", source, ts_us, "_n",
         F.lit(1).alias("_rank"), F.lit(None).cast("long").alias("_anchor"),
     ).unionByName(edges)
-    all_sources = Window.partitionBy(group, "_cell").orderBy(ts_us, "_rank").rowsBetween(
-        Window.unboundedPreceding, Window.currentRow
-    )
-    own_source = Window.partitionBy(group, "_cell", source).orderBy(ts_us, "_rank").rowsBetween(
-        Window.unboundedPreceding, Window.currentRow
-    )
-    running = rows.withColumn(
-        "_seen", F.sum("_n").over(all_sources) - F.sum("_n").over(own_source)
-    ).filter(F.col("_anchor").isNotNull())
+    # Both running counts are worked out over ranges of time, so a cell may hold any number of points.
+    order = [ts_us, "_rank"]
+    all_sources = running(range_parts(rows, [group, "_cell"], order), [group, "_cell"], order, _seen_all=("sum", F.col("_n"))).drop(PART)
+    own = [group, "_cell", source]
+    own_source = running(range_parts(all_sources, own, order), own, order, _seen_own=("sum", F.col("_n"))).drop(PART)
+    seen = own_source.withColumn("_seen", F.col("_seen_all") - F.col("_seen_own")).filter(F.col("_anchor").isNotNull())
     # events in the window = rest of the lower cell + whole middle cell + head of the upper cell
     cell_totals = (
         points.groupBy(group, "_cell")
@@ -125,7 +123,7 @@ def crowded_anchors(
     )
     own_totals = points.groupBy(group, "_cell", source).agg(F.sum("_n").alias("_own"))
     per_anchor = (
-        running.groupBy(group, source, "_anchor")
+        seen.groupBy(group, source, "_anchor")
         .agg(
             F.max(F.when(F.col("_rank") == 0, F.col("_seen"))).alias("_before"),
             F.max(F.when(F.col("_rank") == 2, F.col("_seen"))).alias("_upto"),
