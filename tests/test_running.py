@@ -95,3 +95,18 @@ def test_stream_goes_on_after_a_restart(spark, tmp_path):
     assert got == plain(LINES)
     run()
     assert read_progress(spark, table).count() == len(got)
+
+
+def test_packages_of_a_hub_finding(spark, tmp_path):
+    from tracewright.plans.context import package_parts, read_packages, write_packages
+
+    rows = [(1, "hub", "evidence", f"{i:05}", "x" * (i % 40)) for i in range(800)] + [(2, "small", "finding", "", "{}"), (2, "small", "evidence", "a", "é")]
+    items = spark.createDataFrame(rows, "priority long, finding_id string, section string, sort_key string, item string")
+    parts = package_parts(items, part_bytes=500).collect()
+    assert all(r.bytes < 540 for r in parts)
+    hub = sorted((r for r in parts if r.finding_id == "hub"), key=lambda r: r.part)
+    assert [i.sort_key for r in hub for i in r["items"]] == [f"{i:05}" for i in range(800)] and len(hub) == hub[-1].part > 20
+    write_packages(items, str(tmp_path / "out"))
+    packages, index = read_packages(spark, str(tmp_path / "out"))
+    assert sorted(tuple(r) for r in index.collect()) == [(1, "hub", 1, sum(i % 40 for i in range(800)), 800, 800, 0), (2, "small", 1, 4, 2, 1, 0)]
+    assert packages.count() == 2

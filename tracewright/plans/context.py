@@ -1,17 +1,19 @@
 """Per-finding context: priority numbers, evidence, edges, source and search hints.
 
 A package is kept as tables keyed by finding. One document per finding has no
-size bound, so the sink writes one JSON line per item, laid out by priority.
+size bound, so one sink writes one JSON line per item, laid out by priority, and
+the other nested documents that are closed at a size and go on in a numbered part.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tracewright.functions.labels import lookup
 from tracewright.functions.text import clean
 from tracewright.operators.ranking import number_rows
+from tracewright.operators.running import PART, range_parts, running
 from tracewright.operators.skew import salted_join, top_n
 from tracewright.plans.lookups import incident_edges
 
@@ -180,3 +182,46 @@ def write_context(items: DataFrame, path: str) -> None:
         F.count_if(F.col("section") == "correlation_edges").alias("edge_count"),
     )
     index.write.mode("errorifexists").json(f"{path}/index")
+
+
+PART_BYTES = 8 << 20  # of a package's items in one document
+
+
+def package_parts(items: DataFrame, *, part_bytes: int = PART_BYTES) -> DataFrame:
+    """Nested packages: (priority, finding_id, part, bytes, items), each the next items of a finding in order.
+
+    ``items`` is an array of (section, sort_key, item). A part is closed by the item that fills ``part_bytes``; the package goes on in
+    the next number. Where items fall is told by running sums over ranges, so a finding of any size is never held by one task.
+    """
+    order = ["section", "sort_key", "item"]
+    size = F.octet_length("item").cast("long")
+    rows = items.select("priority", "finding_id", *order)
+    parts = range_parts(rows, ["finding_id"], order)
+    placed = running(parts, ["finding_id"], order, before=True, _before=("sum", size)).drop(PART)
+    numbered = placed.withColumn("part", (F.floor(F.coalesce("_before", F.lit(0)) / part_bytes) + 1).cast("int"))
+    return numbered.groupBy("priority", "finding_id", "part").agg(
+        F.sum(size).alias("bytes"), F.array_sort(F.collect_list(F.struct(*order))).alias("items")
+    )
+
+
+def write_packages(items: DataFrame, path: str, *, part_bytes: int = PART_BYTES) -> None:
+    """One JSON document per package part, and a flat index with the number of parts, items and links of every finding."""
+    package_parts(items, part_bytes=part_bytes).write.mode("errorifexists").json(f"{path}/packages")
+    written = items.sparkSession.read.json(f"{path}/packages", schema=PACKAGE_SCHEMA)
+    of = lambda section: F.sum(F.size(F.filter("items", lambda i: i["section"] == section)))
+    index = written.groupBy("priority", "finding_id").agg(
+        F.max("part").alias("parts"), F.sum("bytes").alias("bytes"), F.sum(F.size("items")).alias("items"),
+        of("evidence").alias("evidence_count"), of("correlation_edges").alias("edge_count"),
+    )
+    index.write.mode("errorifexists").json(f"{path}/index")
+
+
+PACKAGE_SCHEMA = (
+    "priority long, finding_id string, part int, bytes long, items array<struct<section: string, sort_key: string, item: string>>"
+)
+
+
+def read_packages(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """(package parts, index) of a folder that :func:`write_packages` has written."""
+    counts = "priority long, finding_id string, parts int, bytes long, items long, evidence_count long, edge_count long"
+    return spark.read.json(f"{path}/packages", schema=PACKAGE_SCHEMA), spark.read.json(f"{path}/index", schema=counts)

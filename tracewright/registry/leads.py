@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from tracewright.functions.text import clean
@@ -18,7 +20,7 @@ from tracewright.plans.ingest import missing_events
 from tracewright.registry.base import query
 from tracewright.registry.graph import CANDIDATES_CTE, CLUSTERS_CTE, EDGES_CTE, RUN, staged_graph
 from tracewright.registry.views import staged, table
-from tracewright.session import cut_lineage
+from tracewright.session import cut_lineage, ensure_checkpoint_dir
 
 
 def finding_tables(spark, sf_dir):
@@ -196,6 +198,29 @@ def source_context(spark, sf_dir):
     return X.source_context(found, candidates, clusters).select("finding_id", "source_id", "event_count", "edge_count")
 
 
+@query(
+    "context_parts",
+    f"""WITH RECURSIVE {SUPPRESS_CTE}, i AS (SELECT finding_id, 'evidence' AS section, event_uid AS item FROM evidence UNION ALL SELECT finding_id, 'finding', title FROM findings),
+    r AS (SELECT *, strlen(item) AS size, sum(strlen(item)) OVER (PARTITION BY finding_id ORDER BY section, item ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM i),
+    p AS (SELECT *, CAST(floor(coalesce(before, 0) / 600) AS INTEGER) + 1 AS part FROM r)
+    SELECT p.finding_id, part, CAST(sum(size) AS BIGINT) AS bytes, count(*) AS n, min(item) FILTER (section = 'evidence') AS first, x.parts, x.evidence_count FROM p JOIN
+      (SELECT finding_id, max(part) AS parts, count(*) FILTER (section = 'evidence') AS evidence_count FROM p GROUP BY 1) x USING (finding_id) GROUP BY ALL""",
+)
+def context_parts(spark, sf_dir):
+    """Packages of findings with their events, written in parts of 600 bytes and read back with the index."""
+    found, evidence, _ = finding_tables(spark, sf_dir)
+    rows = evidence.select("finding_id", F.lit("evidence").alias("section"), F.col("event_uid").alias("item")).unionByName(
+        found.select("finding_id", F.lit("finding").alias("section"), F.col("title").alias("item"))
+    )
+    folder = f"{ensure_checkpoint_dir(spark).rstrip('/')}/packages/{uuid.uuid4().hex}"
+    X.write_packages(rows.withColumn("priority", F.lit(1).cast("long")).withColumn("sort_key", F.lit("")), folder, part_bytes=600)
+    packages, index = X.read_packages(spark, folder)
+    first = F.array_min(F.transform(F.filter("items", lambda i: i["section"] == "evidence"), lambda i: i["item"]))
+    return packages.join(index.select("finding_id", "parts", "evidence_count"), "finding_id").select(
+        "finding_id", "part", "bytes", F.size("items").cast("long").alias("n"), first.alias("first"), "parts", "evidence_count"
+    )
+
+
 @query("context_package")
 def context_package(spark, sf_dir):
     events, edges, (clusters, _, _), (candidates, _, _, _) = staged_graph(spark, sf_dir)
