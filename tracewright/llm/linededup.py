@@ -23,7 +23,7 @@ FIRST_CANDIDATES = 32  # candidates of a line that are verified before the rest
 CLOSE_CANDIDATES = 2  # of a line with close candidates, those that are verified first
 HOT_RUN = 50_000  # lines with one rare word that one task compares
 SLICE_BYTES = 1 << 18  # of text hashed at a time
-KEPT_KEYS = 400_000  # line keys that a task remembers
+KEPT_KEYS = 100_000  # line keys that a task remembers
 
 # UTF-8 of runs of Thai, Lao, Myanmar, Khmer, kana and Han characters, which are written without blanks.
 UNSPACED = re.compile(
