@@ -97,6 +97,32 @@ def test_shared_path_scores(spark):
     assert {r["c_uid"]: round(r["raw_score"], 4) for r in matches.collect()} == {"b": 0.95, "c": 0.85}
 
 
+def test_pairs_with_several_keys(spark):
+    anchor = {"event_uid": "a", "source_tool": "lecmd", "at": 10, "path": "C:/T/one.exe", "target_path": "C:/T/two.exe"}
+    both = [{"event_uid": f"b{i:02}", "source_tool": "mftecmd", "at": 10 + i * 0.01, "path": "c:\\t\\two.exe", "target_path": "c:\\t\\one.exe"} for i in range(12)]
+    other = {"event_uid": "n", "source_tool": "mftecmd", "at": 10, "path": "D:/x/one.exe"}
+    matches = K.shared_key_matches(K.uncrowded_anchors(make_events(spark, [anchor, *both, other])), make_events(spark, [anchor, *both, other]))
+    rows = matches.filter("a_uid = 'a'").collect()
+    paths = {r["c_uid"]: r["shared_keys"] for r in rows if r["relationship_type"] == K.PATH}
+    names = {r["c_uid"]: r["shared_keys"] for r in rows if r["relationship_type"] == K.EXECUTABLE}
+    assert len(rows) == len(paths) + len(names)  # a pair with two keys is one row of each kind
+    assert set(paths) == {r["event_uid"] for r in both}
+    assert all([k[-7:] for k in shared["paths"]] == ["one.exe", "two.exe"] for shared in paths.values())
+    assert sorted(names) == [f"b{i:02}" for i in range(9)] + ["n"]  # ten pairs, however many keys each has
+    assert names["n"] == {"executables": ["one.exe"]} and names["b00"] == {"executables": ["one.exe", "two.exe"]}
+    none = K.shared_key_matches(K.uncrowded_anchors(make_events(spark, [anchor, *both])), make_events(spark, [anchor, *both]), fanout=0)
+    assert {r["relationship_type"] for r in none.collect()} == {K.PATH}
+
+
+def test_key_join_moves_rows_of_fixed_size(spark):
+    events = make_events(spark, [{"event_uid": "a", "source_tool": "lecmd", "at": 10, "path": "C:/T/one.exe"}])
+    matches = K.shared_key_matches(K.uncrowded_anchors(events), events)
+    plan = matches._jdf.queryExecution().optimizedPlan().toString()
+    joins = [line for line in plan.splitlines() if "Join Inner" in line]
+    assert any("hash" in line for line in joins) and not any("keys" in line for line in joins)
+    assert "array_intersect" not in plan
+
+
 def test_keep_first_edge_and_crowd(spark):
     events = make_events(spark, [
         {"event_uid": "early", "source_tool": "recmd", "at": 1, "path": "c:\\p\\q", "registry_value_data": "run C:\\k\\tool.exe"},

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tracewright.functions.labels import confidence_from_score, same_text
+from tracewright.functions.labels import confidence_from_score, norm_text, same_text
 from tracewright.functions.text import (
     attribute,
     basename,
@@ -17,6 +17,7 @@ from tracewright.functions.text import (
 )
 from tracewright.functions.times import micros
 from tracewright.operators.interval import crowded_anchors, interval_join
+from tracewright.session import cut_lineage
 
 # Rule version, windows in seconds, crowd limit, fan-out limit.
 RULE_VERSION = "1.2"
@@ -46,6 +47,8 @@ ANCHOR_EVENT_ID = "7045"
 # and sort executables before paths.
 PATH, EXECUTABLE = "SHARED_PATH_NEAR_TIME", "SHARED_EXECUTABLE_NEAR_TIME"
 PATH_TAG, EXECUTABLE_TAG = "P|", "E|"
+KEY_CHECK = "check"  # sets the second hash of a key apart from the first
+LONGEST_KEY = (1 << 31) - 1
 
 EDGE_COLUMNS = [
     "edge_uid",
@@ -144,6 +147,12 @@ def detection_matches(events: DataFrame, *, window: float = DETECTION_WINDOW) ->
     )
 
 
+def _text_hash(name: str) -> Column:
+    """A hash that is equal where :func:`same_text` holds; null for blank text."""
+    text = norm_text(F.col(name))
+    return F.when(text != "", F.xxhash64(text))
+
+
 def _normalized(events: DataFrame, *more: Column) -> DataFrame:
     """Event columns with normalized paths, computed once in their own step."""
     return events.select(
@@ -228,67 +237,63 @@ def shared_key_matches(
 ) -> DataFrame:
     """Anchor to event pairs of different tools with a common path or executable.
 
-    Both key kinds go through one interval join. A pair with several common
-    keys meets once per key. Executable keys sort before path keys, so the
-    smallest common key stands for the executables of a pair and the largest
-    for its paths: deduplication needs no shuffle. Executable pairs keep the
-    best ``fanout`` per anchor; the crowd limit bounds what one anchor meets.
+    Both key kinds go through one interval join, whose rows have a fixed size: a key is two 64-bit hashes, the
+    first joins and the second must agree, and host and user are hashes as well. A pair with several common keys
+    meets once per key. Executable pairs keep the best ``fanout`` per anchor; as all rows of a pair rank alike, each
+    task limits an anchor to that many pairs before anything is shuffled. Only pairs that are kept look up the texts
+    of their keys, among those of the anchor.
     """
 
-    def side(rows: DataFrame, prefix: str) -> DataFrame:
+    anchors = cut_lineage(anchors)  # read for the join and for the texts
+
+    def side(rows: DataFrame, prefix: str, *more: Column) -> DataFrame:
         # The outer form keeps the planner from testing the size of the key list
         # below, which would compute all keys a second time.
         return rows.select(
             "case_id", F.explode_outer("keys").alias("key"),
             F.col("event_uid").alias(f"{prefix}_uid"), F.col("source_tool").alias(f"{prefix}_tool"),
-            F.col("event_ts").alias(f"{prefix}_ts"), F.col("ts_us").alias(f"{prefix}_us"),
-            F.col("hostname").alias(f"{prefix}_host"), F.col("username").alias(f"{prefix}_user"),
-            F.col("keys").alias(f"{prefix}_keys"),
-        ).filter(F.col("key").isNotNull())
+            F.col("ts_us").alias(f"{prefix}_us"),
+            _text_hash("hostname").alias(f"{prefix}_host"), _text_hash("username").alias(f"{prefix}_user"),
+        ).filter(F.col("key").isNotNull()).select(
+            "*", *more, F.xxhash64("key").alias("hash"), F.xxhash64(F.lit(KEY_CHECK), "key").alias(f"{prefix}_check")
+        ).drop("key")
 
     pairs = interval_join(
-        side(anchors, "a"), side(candidate_keys(events), "c"), ["case_id", "key"],
+        side(anchors, "a", F.col("key").startswith(PATH_TAG).alias("is_path")), side(candidate_keys(events), "c"),
+        ["case_id", "hash"],
         anchor_us="a_us", candidate_us="c_us", window_us=_us(window),
         salt_by=["c_uid"], hot_on=["case_id"],
     )
-    shared = F.array_intersect("a_keys", "c_keys")
-    is_path = F.col("key").startswith(PATH_TAG)
-    kept = (
-        pairs.filter(F.col("a_tool") != F.col("c_tool"))
-        .filter(F.col("key") == F.when(is_path, F.array_max(shared)).otherwise(F.array_min(shared)))
-        .withColumn("shared", shared)
-        .withColumn("delta", F.abs(F.col("a_us") - F.col("c_us")) / F.lit(1e6))
-    )
-    tag = F.left("key", F.lit(len(PATH_TAG)))
-    common = F.sort_array(
-        F.transform(
-            F.filter("shared", lambda k: k.startswith(tag)),
-            lambda k: F.substring(k, F.lit(len(PATH_TAG) + 1), F.length(k)),
-        )
-    )
-    host = F.when(same_text(F.col("a_host"), F.col("c_host")), 0.05).otherwise(0.0)
-    user = F.when(same_text(F.col("a_user"), F.col("c_user")), 0.05).otherwise(0.0)
-    near = F.col("delta") <= 0.10
+    is_path = F.col("is_path")
+    delta = F.abs(F.col("a_us") - F.col("c_us")) / F.lit(1e6)
+    host = F.when(F.col("a_host") == F.col("c_host"), 0.05).otherwise(0.0)
+    user = F.when(F.col("a_user") == F.col("c_user"), 0.05).otherwise(0.0)
+    near = delta <= 0.10
     path_score = F.least(F.when(near, 0.90).otherwise(0.85) + host, F.lit(1.0))
     executable_score = F.least(F.when(near, 0.78).otherwise(0.72) + host + user, F.lit(0.90))
-    scored = kept.select(
-        "case_id", "a_uid", "a_tool", "a_ts", "c_uid", "c_tool", "c_ts", "delta",
+    scored = pairs.filter((F.col("a_tool") != F.col("c_tool")) & (F.col("a_check") == F.col("c_check"))).select(
+        "case_id", "a_uid", "a_tool", "a_us", "c_uid", "c_tool", "c_us", "hash", "is_path", delta.alias("delta"),
         F.when(is_path, path_score).otherwise(executable_score).alias("raw_score"),
-        F.create_map(F.when(is_path, "paths").otherwise("executables"), common).alias("shared_keys"),
+    )
+    # A path pair is a group of its own, so that one ranking with a limit per task serves both kinds.
+    best = Window.partitionBy("a_uid", F.when(is_path, F.col("c_uid"))).orderBy(F.desc("raw_score"), F.asc("delta"), F.asc("c_uid"))
+    ranked = scored.withColumn("_rank", F.dense_rank().over(best)).filter(F.col("_rank") <= max(fanout, 1)).drop("_rank")
+    ranked = ranked if fanout > 0 else ranked.filter(is_path)
+    texts = anchors.select(F.col("event_uid").alias("a_uid"), F.explode_outer("keys").alias("key")).filter(F.col("key").isNotNull())
+    texts = texts.select("a_uid", F.xxhash64("key").alias("hash"), F.substring("key", len(PATH_TAG) + 1, LONGEST_KEY).alias("key"))
+    named = ranked.join(texts, ["a_uid", "hash"])
+    pair = ["case_id", "a_uid", "a_tool", "a_us", "c_uid", "c_tool", "c_us", "delta", "raw_score", "is_path"]
+    kept = named.groupBy(*pair).agg(F.sort_array(F.collect_set("key")).alias("common"))
+    return kept.select(
+        "case_id", "a_uid", "a_tool", F.timestamp_micros("a_us").alias("a_ts"),
+        "c_uid", "c_tool", F.timestamp_micros("c_us").alias("c_ts"), "delta", "raw_score",
+        F.create_map(F.when(is_path, "paths").otherwise("executables"), "common").alias("shared_keys"),
         F.when(is_path, PATH).otherwise(EXECUTABLE).alias("relationship_type"),
         F.when(is_path, "Events of different sources name the same path close in time.")
         .otherwise("Events of different sources name the same executable close in time.")
         .alias("reason"),
         F.when(is_path, 2).otherwise(3).alias("rule"),
     )
-    best = Window.partitionBy("a_uid", "relationship_type").orderBy(
-        F.desc("raw_score"), F.asc("delta"), F.asc("c_uid")
-    )
-    return (
-        scored.withColumn("_rank", F.row_number().over(best))
-        .filter((F.col("rule") == 2) | (F.col("_rank") <= fanout))
-        .drop("_rank")
-    )
 
 
 def edges_from_matches(matches: DataFrame, run_id: str) -> DataFrame:
