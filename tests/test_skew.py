@@ -61,3 +61,30 @@ def test_edges_of_a_hub(spark):
     for options in ({}, {"rows_per_salt": 20, "min_bytes": 0}):
         got = [tuple(r) for r in incident_edges(*frames, **options).select("finding_id", "edge_uid").collect()]
         assert sorted(got) == want
+
+
+
+def shuffled_rows(node):
+    """Rows that the exchanges of an executed plan have written."""
+    name = node.nodeName()
+    inner = "executedPlan" if name == "AdaptiveSparkPlan" else "plan" if name.endswith("QueryStage") else None
+    below = [getattr(node, inner)()] if inner else [node.children().apply(i) for i in range(node.children().size())]
+    own = node.metrics().apply("shuffleRecordsWritten").value() if name == "Exchange" else 0
+    return own + sum(map(shuffled_rows, below))
+
+
+@pytest.mark.parametrize("listed", [3, 1000])
+def test_edges_of_a_hub_in_every_finding(spark, monkeypatch, listed):
+    """The rows of a hub, all findings times all its edges, are not shuffled to find repeats."""
+    from tracewright.plans import lookups
+
+    monkeypatch.setattr(lookups, "LISTED", listed, raising=False)
+    rng = random.Random(5)
+    edges = [(f"x{i}", "hub", f"e{rng.randrange(300)}", "R", 0.5, "HIGH", 1.0) for i in range(600)]
+    held = [(f"f{i}", uid) for i in range(40) for uid in ("hub", *(f"e{rng.randrange(300)}" for _ in range(15)))]
+    want = sorted({(f, e[0]) for f, uid in held for e in edges if uid in e[1:3]})
+    schema = "edge_uid string, event_uid_a string, event_uid_b string, relationship_type string, score double, confidence string, time_delta_seconds double"
+    frames = spark.createDataFrame(edges, schema), spark.createDataFrame(held, "finding_id string, event_uid string")
+    found = lookups.incident_edges(*frames, rows_per_salt=100, min_bytes=0).select("finding_id", "edge_uid")
+    assert sorted(tuple(r) for r in found.collect()) == want and len(want) == 40 * 600
+    assert listed < 1000 or shuffled_rows(found._jdf.queryExecution().executedPlan()) < len(want) / 2
