@@ -4,6 +4,7 @@ import random
 from functools import partial
 
 import pytest
+from pyspark.sql import functions as F
 from test_operators import union_find
 from test_plans import make_events
 
@@ -88,3 +89,17 @@ def test_edges_of_a_hub_in_every_finding(spark, monkeypatch, listed):
     found = lookups.incident_edges(*frames, rows_per_salt=100, min_bytes=0).select("finding_id", "edge_uid")
     assert sorted(tuple(r) for r in found.collect()) == want and len(want) == 40 * 600
     assert listed < 1000 or shuffled_rows(found._jdf.queryExecution().executedPlan()) < len(want) / 2
+
+
+def test_stored_keys_are_not_broadcast_by_their_file_size(spark):
+    """Columns that compress to nothing let a table of keys look small; in memory it is over the limit for broadcasts."""
+    from tracewright.session import cut_lineage, prepare
+
+    prepare(spark)
+    key = F.sha2(F.col("id").cast("string"), 256).alias("key")
+    wide = [F.lit("a text that is the same in every row, and long").alias(f"c{i}") for i in range(8)]
+    table = cut_lineage(spark.range(100_000).select(key, *wide))
+    joined = table.join(table.select("key", F.col("c0").alias("other")), "key")
+    plan = joined._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan
+    assert skew.planned_bytes(table) < 16 << 20  # as the files are
