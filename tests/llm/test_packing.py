@@ -134,3 +134,13 @@ def test_query_on_table(spark):
     ids_of = {d.doc_id: e.ids for d, e in zip(docs, t.encode_batch([d.text for d in docs], add_special_tokens=False), strict=True)}
     used = check(op10_pack(spark, sf).collect(), ids_of, 2048)
     assert used <= 1.02 * sum(len(v) + 1 for v in ids_of.values()) / 2048 + 1
+
+
+def test_other_tasks_release_the_encoder():
+    """A Python worker that goes on with other steps does not keep the words of its packing tasks."""
+    from tracewright.llm import common, packing
+
+    packing.encoder(packing.default_vocabulary()).encode(["some words that are kept"])
+    assert packing.encoder.cache_info().currsize
+    common.release_encoder()
+    assert not packing.encoder.cache_info().currsize

@@ -147,7 +147,7 @@ def pieces(
                         column.append(value)
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(out, target, strict=True)], schema=target)
 
-    return map_arrow(docs.select(id_col, text_col), run, schema)
+    return map_arrow(docs.select(id_col, text_col), run, schema, encodes=True)
 
 
 def sum_of_squares(lengths: np.ndarray, size: int = SIZE) -> list[list[int]]:
