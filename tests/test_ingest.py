@@ -39,6 +39,15 @@ def test_gap_fill(spark, tmp_path):
     assert states()["lecmd"] == ("ALREADY_COMPLETE", 0)
 
 
+def test_gap_fill_reads_its_source_once(spark, tmp_path, monkeypatch):
+    """The import rules are checked on the written batch, not by reading and parsing the source once more."""
+    path = write_csv(tmp_path / "lnk.csv", P.REQUIRED["lecmd"], [{"SourceFile": "a", "TargetCreated": "2024-01-01 00:00:00"}])
+    plans, check = [], I.checked
+    monkeypatch.setattr(I, "checked", lambda events, *rest: plans.append(events._jdf.queryExecution().optimizedPlan().toString()) or check(events, *rest))
+    assert I.gap_fill(spark, str(tmp_path / "store"), "C", {"lecmd": path}).count() == 3
+    assert plans and not any("MapInArrow" in plan or "Project" in plan for plan in plans)
+
+
 def test_checked(spark, tmp_path):
     path = write_csv(tmp_path / "pf.csv", P.REQUIRED["pecmd"], prefetch_rows(1))
     events = P.prefetch_events(spark, path, "C")

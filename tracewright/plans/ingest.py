@@ -307,7 +307,7 @@ def gap_fill(spark: SparkSession, store: str, case_id: str, inputs: dict[str, st
         if not inputs.get(tool):
             rows.append((tool, NO_SOURCE, existing, 0, 0, 0))
             continue
-        batch = cut_lineage(checked(ADAPTERS[tool](spark, inputs[tool], case_id), case_id, tool))
+        batch = checked(cut_lineage(ADAPTERS[tool](spark, inputs[tool], case_id)), case_id, tool)
         n, distinct = batch.agg(F.count(F.lit(1)), F.count_distinct("event_uid")).first()
         if n != distinct:
             raise InvalidEvents(f"{tool} output gives duplicate event keys")
