@@ -103,3 +103,17 @@ def test_stored_keys_are_not_broadcast_by_their_file_size(spark):
     plan = joined._jdf.queryExecution().executedPlan().toString()
     assert "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan
     assert skew.planned_bytes(table) < 16 << 20  # as the files are
+
+
+@pytest.mark.parametrize("how", ["inner", "left", "left_semi", "left_anti"])
+def test_long_keys_are_counted_by_a_hash(spark, monkeypatch, how):
+    """Hot keys are looked for by 8 bytes a row, and keys of one hash still find their own partners only."""
+    seen, hash_of, found = [], F.xxhash64, skew.hot_keys
+    monkeypatch.setattr(skew, "hot_keys", lambda df, *rest: seen.append(df.dtypes) or found(df, *rest))
+    monkeypatch.setattr(skew.F, "xxhash64", lambda *c: hash_of(F.length(*c)) if isinstance(c[0], str) else hash_of(*c))
+    left = spark.createDataFrame([(i, None if i % 9 == 0 else f"k{i % 4}") for i in range(200)], "id long, k string")
+    right = spark.createDataFrame([("k0", 1), ("k0", 2), ("k3", 3), (None, 4), ("q", 5)], "k string, v long")
+    got = skew.salted_join(left, right, ["k"], how, salt_by=["id"], rows_per_salt=20, min_bytes=0)
+    want = left.join(right, ["k"], how)
+    rows = lambda df: sorted(map(repr, df.select(*want.columns).collect()))
+    assert rows(got) == rows(want) and seen == [[("_slot", "bigint")]]
