@@ -82,3 +82,19 @@ def test_query_on_table(spark):
     assert all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 3 == 1) for r in got)
     held = [r for r in got if r.held_out]
     assert sum(r.lang_pred == docs[r.doc_id].lang for r in held) >= 0.98 * len(held)
+
+
+def test_a_fit_needs_little_memory():
+    """Of the whole sample a fit holds the kernel, its inverse and what the solver copies, no more."""
+    import tracemalloc
+
+    rng = np.random.default_rng(4)
+    n = 1200
+    vectors = rng.random((n, langid.BUCKETS), np.float32)
+    vectors /= np.linalg.norm(vectors, axis=1, keepdims=True)
+    labels = ["de", "en", "fr"] * (n // 3)
+    tracemalloc.start()
+    langid.fit(vectors, labels)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 3.2 * n * n * 8

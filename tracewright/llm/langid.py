@@ -7,6 +7,7 @@ from functools import lru_cache
 from itertools import product
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -17,6 +18,7 @@ BUCKETS = 1 << 12  # hashed n-gram features
 ORDERS = 3  # n-grams of one to three characters
 SAMPLE_ROWS = 2000  # labelled rows that a fit sees at most
 RIDGE = 0.02
+STEP = 512  # features of the planes worked out at a time
 SLOPE = 6.0  # of the score over decoding distances
 AMBIGUOUS = 0.05  # relative gap of the two nearest codewords below which a text is ambiguous
 EXHAUSTIVE = 7  # up to so many languages every split of them is a bit
@@ -110,16 +112,22 @@ def fit(vectors: np.ndarray, labels: list[str]) -> LanguageModel:
         return LanguageModel(languages, codes, codes, empty, np.zeros(0, np.float32))
     of = np.array([languages.index(x) for x in labels])
     target = codes[of].astype(np.float64)
-    kernel = (vectors @ vectors.T).astype(np.float64) + 1.0
-    inverse = np.linalg.inv(kernel + RIDGE * len(labels) / 100 * np.eye(len(labels)))
+    # In place, and without a copy that outlives its use: the driver holds this beside Spark.
+    kernel = (vectors @ vectors.T).astype(np.float64)
+    kernel += 1.0
+    kernel[np.diag_indices_from(kernel)] += RIDGE * len(labels) / 100
+    inverse = np.linalg.inv(kernel)
+    del kernel
     dual = inverse @ target
     left_out = target - dual / np.diag(inverse)[:, None]
+    del inverse
     right = left_out * target > 0
     weights = np.stack([(right[of == c].sum(axis=0) + 1) / ((of == c).sum() + 2) for c in range(len(languages))])
     weights /= weights.sum(axis=1, keepdims=True)
-    return LanguageModel(
-        languages, codes, weights.astype(np.float32), (vectors.T @ dual).astype(np.float32), dual.sum(axis=0).astype(np.float32)
-    )
+    planes = np.empty((vectors.shape[1], codes.shape[1]), np.float32)
+    for at in range(0, len(planes), STEP):
+        planes[at : at + STEP] = vectors[:, at : at + STEP].T @ dual
+    return LanguageModel(languages, codes, weights.astype(np.float32), planes, dual.sum(axis=0).astype(np.float32))
 
 
 def learn(
@@ -141,8 +149,12 @@ def learn(
     texts = texts.join(F.broadcast(chosen), "_id").dropDuplicates(["_id"]).select("_lang", "_text")
     rows = map_columns(texts, "lang string, vector binary", _vector_rows).limit(sample_rows).toArrow()
     labels = rows["lang"].to_pylist()
-    vectors = [np.frombuffer(v, np.float32) for v in rows["vector"].to_pylist()]
-    return fit(np.stack(vectors) if vectors else np.zeros((0, BUCKETS), np.float32), labels)
+    vectors = np.zeros((len(labels), BUCKETS), np.float32)
+    for at, vector in enumerate(rows["vector"]):
+        vectors[at] = np.frombuffer(vector.as_buffer(), np.float32)
+    del rows
+    pa.default_memory_pool().release_unused()
+    return fit(vectors, labels)
 
 
 def _vector_rows(columns: list[list]) -> list[list]:
