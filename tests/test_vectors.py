@@ -62,3 +62,20 @@ def test_centres_and_ties():
     assert V.choose_centres(units, 9).tolist() == [[1, 0], [-1, 0], [0, 1]]
     rows, cols = V.best_of_tile(np.array([[0.5, 0.5, 0.1, 0.5], [0, 0, 0, 1]]), np.array([9, 3, 1, 4]), 2)
     assert list(zip(rows.tolist(), cols.tolist(), strict=True)) == [(0, 1), (0, 3), (1, 3), (1, 2)]
+
+
+def shuffled_bytes(spark):
+    """Bytes that all stages of the session have written to shuffles so far."""
+    stages = spark.sparkContext._jsc.sc().statusStore().stageList(None, False, False, spark.sparkContext._gateway.new_array(spark.sparkContext._jvm.double, 0), None)
+    return sum(stages.apply(i).shuffleWriteBytes() for i in range(stages.size()))
+
+
+def test_vectors_are_moved_once_however_many_blocks_meet(spark):
+    """Many small blocks: the bytes shuffled are those of the vectors, not of their pairs."""
+    rng = np.random.default_rng(8)
+    rows = [(i, rng.normal(size=32).tolist()) for i in range(800)]
+    asked, held = spark.createDataFrame(rows, QUERIES), spark.createDataFrame(rows, CORPUS)
+    before = shuffled_bytes(spark)
+    hits = V.cell_search(asked, held, 3, query_rows=20, corpus_rows=20, max_cells=1)[0]
+    assert hits.count() == 2400
+    assert shuffled_bytes(spark) - before < 6 * 800 * 32 * 8

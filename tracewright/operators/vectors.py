@@ -1,4 +1,4 @@
-"""Exact cosine top-k: cells of vectors around centres, searched in cogrouped pairs of blocks."""
+"""Exact cosine top-k: cells of vectors around centres, searched in pairs of written blocks that are read, not shuffled."""
 
 from __future__ import annotations
 
@@ -6,8 +6,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import _parse_datatype_string
 
 from tracewright.operators.skew import top_n
 from tracewright.session import cut_lineage, ship_package
@@ -83,42 +86,84 @@ def _by_cell(values: dict[int, int], default: int) -> Column:
 
 @dataclass
 class Cells:
-    """The corpus by cells: rows and largest angle to the centre of each."""
+    """The corpus by cells: rows and largest angle to the centre of each, and the vectors in written blocks."""
 
-    rows: DataFrame
+    blocks: DataFrame
     sizes: dict[int, int]
     radius: dict[int, float]
     id_type: str
 
 
-def _search(asked: DataFrame, cells: Cells, k: int, query_rows: int, corpus_rows: int, tile_pairs: int) -> DataFrame:
-    """k best hits of every (query_id, vector, cell) row in that cell: blocks of both sides meet in groups of bounded size."""
+def _blocks(rows: DataFrame, id_col: str, sizes: dict[int, int], block_rows: int, prefix: str) -> DataFrame:
+    """Rows (id, vector, cell, open cells) in written blocks of about ``block_rows``, all of one cell: one row a block.
+
+    Every vector is moved once. ``cells`` are those open to any row of the block, ``mask`` tells which are open to each row.
+    """
+    parts = {cell: -(-n // block_rows) for cell, n in sizes.items()}
+    part = F.pmod(F.xxhash64(id_col, "vector"), _by_cell(parts, 1)).cast("int")
+    columns = f"cell int, part int, ids array<{dict(rows.dtypes)[id_col]}>, vectors binary, cells array<int>, mask binary".split(", ")
+
+    def pack(frame: pd.DataFrame) -> pd.DataFrame:
+        cells = sorted({int(c) for row in frame["open"] for c in row})
+        place = {c: i for i, c in enumerate(cells)}
+        mask = np.zeros((len(frame), len(cells)), bool)
+        for i, row in enumerate(frame["open"]):
+            mask[i, [place[int(c)] for c in row]] = True
+        values = int(frame["cell"].iloc[0]), int(frame["part"].iloc[0]), frame["ids"].tolist(), _matrix(frame["vector"]).tobytes(), cells, mask.tobytes()
+        return pd.DataFrame({f"{prefix}{c.split()[0]}": [v] for c, v in zip(columns, values, strict=True)})
+
+    dealt = rows.select("cell", part.alias("part"), F.col(id_col).alias("ids"), "vector", "open")
+    return cut_lineage(dealt.groupBy("cell", "part").applyInPandas(pack, ", ".join(f"{prefix}{c}" for c in columns)))
+
+
+def _merged(best: tuple | None, more: tuple, k: int) -> tuple:
+    """The k best (row, score, doc) of every row of both."""
+    rows, scores, docs = more if best is None else (np.concatenate(x) for x in zip(best, more, strict=True))
+    order = np.lexsort((docs, -scores, rows))
+    rows, scores, docs = rows[order], scores[order], docs[order]
+    kept = np.arange(len(rows)) - np.searchsorted(rows, rows) < k
+    return rows[kept], scores[kept], docs[kept]
+
+
+def _search(asked: DataFrame, cells: Cells, k: int, query_rows: int, tile_pairs: int) -> DataFrame:
+    """k best hits of every (query_id, vector, cell, open) row in its open cells.
+
+    Blocks of both sides meet in a product of the two written tables, which tasks read: no vector is copied by a shuffle, and a
+    task gives its k best of a query over all blocks it has read. Spark bounds the bytes of the batches that blocks travel in.
+    """
     counts = {row["cell"]: row["count"] for row in asked.groupBy("cell").count().collect()}
-    asked_parts = {cell: -(-n // query_rows) for cell, n in counts.items()}
-    held_parts = {cell: -(-n // corpus_rows) for cell, n in cells.sizes.items()}
-    part = lambda of, *by: F.pmod(F.xxhash64(*by), of).cast("int")
-    every = lambda of: F.explode(F.sequence(F.lit(0), of - 1))
-    asking = asked.withColumn("asked", part(_by_cell(asked_parts, 1), "query_id")).withColumn("held", every(_by_cell(held_parts, 1)))
-    holding = cells.rows.filter(F.col("cell").isin(list(counts))).withColumn("held", part(_by_cell(held_parts, 1), "doc_id", "vector"))
-    holding = holding.withColumn("asked", every(_by_cell(asked_parts, 1)))
+    blocks = _blocks(asked, "query_id", counts, query_rows, "q_")
+    meet = blocks.join(cells.blocks, F.array_contains("q_cells", F.col("d_cell")))
     schema = f"query_id {dict(asked.dtypes)['query_id']}, doc_id {cells.id_type}, score double"
+    target = to_arrow_schema(_parse_datatype_string(schema))
 
-    def score(queries: pd.DataFrame, corpus: pd.DataFrame) -> pd.DataFrame:
-        if not len(queries) or not len(corpus):
-            return pd.DataFrame({"query_id": [], "doc_id": [], "score": []})
-        ids, docs = queries["query_id"].to_numpy(), corpus["doc_id"].to_numpy()
-        left, right = _matrix(queries["vector"]), _matrix(corpus["vector"]).T
-        step, out = max(1, tile_pairs // len(docs)), []
-        for start in range(0, len(ids), step):
-            # Rounded score first, then the smaller id, as in the final ranking.
-            scores = np.round(left[start : start + step] @ right, 6)
-            rows, cols = best_of_tile(scores, docs, k)
-            out.append(pd.DataFrame({"query_id": ids[start + rows], "doc_id": docs[cols], "score": scores[rows, cols]}))
-        return pd.concat(out)
-
-    keys = ["cell", "asked", "held"]
-    sides = asking.select("query_id", "vector", *keys).groupBy(*keys), holding.select("doc_id", "vector", *keys).groupBy(*keys)
-    return sides[0].cogroup(sides[1]).applyInPandas(score, schema)
+    def score(batches):
+        best: dict[tuple, tuple] = {}
+        names: dict[tuple, np.ndarray] = {}
+        for batch in batches:
+            for at in range(batch.num_rows):
+                row = {name: batch.column(name)[at] for name in ("q_cell", "q_part", "q_ids", "q_vectors", "q_cells", "q_mask", "d_cell", "d_ids", "d_vectors")}
+                of = row["q_cell"].as_py(), row["q_part"].as_py()
+                if of not in names:
+                    names[of] = row["q_ids"].values.to_numpy(zero_copy_only=False).copy()
+                open_cells = row["q_cells"].as_py()
+                mask = np.frombuffer(row["q_mask"].as_buffer(), bool).reshape(-1, len(open_cells))
+                asking = np.flatnonzero(mask[:, open_cells.index(row["d_cell"].as_py())])
+                docs = row["d_ids"].values.to_numpy(zero_copy_only=False)
+                left = np.frombuffer(row["q_vectors"].as_buffer()).reshape(len(mask), -1)
+                right = np.frombuffer(row["d_vectors"].as_buffer()).reshape(len(docs), -1).T
+                step = max(1, tile_pairs // len(docs))
+                for start in range(0, len(asking), step):
+                    some = asking[start : start + step]
+                    # Rounded score first, then the smaller id, as in the final ranking.
+                    scores = np.round(left[some] @ right, 6)
+                    rows, cols = best_of_tile(scores, docs, k)
+                    best[of] = _merged(best.get(of), (some[rows], scores[rows, cols], docs[cols]), k)
+        for of, (rows, scores, docs) in best.items():
+            arrays = [pa.array(x, f.type) for x, f in zip((names[of][rows], docs, scores), target, strict=True)]
+            yield pa.RecordBatch.from_arrays(arrays, schema=target)
+
+    return meet.select("q_cell", "q_part", "q_ids", "q_vectors", "q_cells", "q_mask", "d_cell", "d_ids", "d_vectors").mapInArrow(score, schema)
 
 
 def cell_search(
@@ -155,15 +200,17 @@ def cell_search(
     rows = _placed(known, "doc_id", centres)
     own = F.element_at("angles", F.col("cell") + 1)
     stats = rows.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.max(own).alias("radius")).collect()
-    cells = Cells(rows, {r["cell"]: r["n"] for r in stats}, {r["cell"]: r["radius"] for r in stats}, id_type)
+    sizes = {r["cell"]: r["n"] for r in stats}
+    blocks = _blocks(rows.withColumn("open", F.array().cast("array<int>")), "doc_id", sizes, corpus_rows, "d_")
+    cells = Cells(blocks, sizes, {r["cell"]: r["radius"] for r in stats}, id_type)
     asking = _placed(queries, "query_id", centres)
     # The nearest cell that holds anything.
     filled = F.array(*[F.lit(c) for c in sorted(cells.sizes)])
     angle = lambda c: F.element_at("angles", c + 1)
     home = F.array_min(F.transform(filled, lambda c: F.struct(angle(c).alias("angle"), c.alias("cell"))))["cell"]
     asking = asking.withColumn("cell", home)
-    search = lambda asked: _search(asked, cells, k, query_rows, corpus_rows, tile_pairs)
-    first = top_n(search(asking), ["query_id"], [F.desc("score"), F.asc("doc_id")], k)
+    search = lambda asked: _search(asked, cells, k, query_rows, tile_pairs)
+    first = top_n(search(asking.withColumn("open", F.array("cell"))), ["query_id"], [F.desc("score"), F.asc("doc_id")], k)
     asked = asking.select("query_id", "cell")
     size = _by_cell(cells.sizes, 0).cast("long").alias("size")
     if len(cells.sizes) < 2:
@@ -176,10 +223,10 @@ def cell_search(
     open_cells = F.filter(reach, lambda c: (c["cell"] != F.col("cell")) & (bound(c) + SLACK >= F.coalesce(floor, F.lit(-2.0))))
     further = cut_lineage(
         asking.join(floors, "query_id", "left").withColumn("open", F.transform(open_cells, lambda c: c["cell"]))
-        .select("query_id", "vector", F.explode("open").alias("cell"))
+        .filter(F.size("open") > 0).select("query_id", "vector", "cell", "open")
     )
     out = top_n(first.unionByName(search(further)), ["query_id"], [F.desc("score"), F.asc("doc_id")], k)
-    return out, asked.unionByName(further.select("query_id", "cell")).select("query_id", "cell", size)
+    return out, asked.unionByName(further.select("query_id", F.explode("open").alias("cell"))).select("query_id", "cell", size)
 
 
 def skipped_share(queries: DataFrame, corpus: DataFrame, k: int, **options) -> DataFrame:
