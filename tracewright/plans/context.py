@@ -16,6 +16,7 @@ from tracewright.operators.ranking import number_rows
 from tracewright.operators.running import PART, range_parts, running
 from tracewright.operators.skew import salted_join, top_n
 from tracewright.plans.lookups import incident_edges
+from tracewright.session import cut_lineage
 
 # Severity order of the work list, hint count.
 SEVERITY_ORDER = {"CRITICAL": 1, "HIGH": 2, "MEDIUM": 3, "UNASSESSED": 4, "LOW": 5, "INFO": 6, "UNKNOWN": 7}
@@ -124,20 +125,23 @@ def context_items(
     clusters: DataFrame,
 ) -> DataFrame:
     """Package items: (priority, finding_id, section, sort_key, item JSON)."""
-    numbered = finding_priority(findings)
+    numbered = cut_lineage(finding_priority(findings))
     keys = numbered.select("finding_id", "priority")
+    # Rows of findings are given their priority while they are ids; items, which are long and many, are not joined again.
+    evidence = cut_lineage(_with_priority(evidence, keys, ["event_uid"]))
+    tagged = F.concat_ws("|", F.col("priority").cast("string"), F.col("finding_id"))
     header = numbered.select(
-        "finding_id", F.lit("finding").alias("section"), F.lit("").alias("sort_key"),
+        "priority", "finding_id", F.lit("finding").alias("section"), F.lit("").alias("sort_key"),
         F.to_json(F.struct(*findings.columns)).alias("item"),
     )
     source = source_context(findings, candidates, clusters)
-    source_rows = source.select(
-        "finding_id", F.lit("source_context").alias("section"), F.lit("").alias("sort_key"),
+    source_rows = source.join(keys, "finding_id").select(
+        "priority", "finding_id", F.lit("source_context").alias("section"), F.lit("").alias("sort_key"),
         F.to_json(F.struct(*[c for c in source.columns if c != "finding_id"])).alias("item"),
     )
     detailed = evidence.join(events, ["event_uid"]).drop(events["source_tool"])
     evidence_rows = detailed.select(
-        "finding_id", F.lit("evidence").alias("section"),
+        "priority", "finding_id", F.lit("evidence").alias("section"),
         F.concat_ws("|", F.coalesce("timestamp", F.lit("")), "event_uid").alias("sort_key"),
         F.to_json(
             F.struct(
@@ -147,26 +151,30 @@ def context_items(
             )
         ).alias("item"),
     )
-    linked = incident_edges(edges, evidence)
+    linked = incident_edges(edges, evidence.select(tagged.alias("finding_id"), "event_uid"))
+    bar = F.instr("finding_id", "|")
     edge_rows = linked.select(
-        "finding_id", F.lit("correlation_edges").alias("section"),
+        F.substring("finding_id", F.lit(1), bar - 1).cast(dict(keys.dtypes)["priority"]).alias("priority"),
+        F.substring("finding_id", bar + 1, F.length("finding_id")).alias("finding_id"), F.lit("correlation_edges").alias("section"),
         F.concat_ws("|", F.format_string("%.4f", 1 - F.col("score")), F.format_string("%020.6f", "time_delta_seconds"), "edge_uid").alias("sort_key"),
         F.to_json(F.struct(*[c for c in linked.columns if c != "finding_id"])).alias("item"),
     )
-    value_rows = values.select(
-        "finding_id", F.concat(F.lit("values_"), F.lower("kind")).alias("section"),
+    value_rows = _with_priority(values, keys, ["kind", "value"]).select(
+        "priority", "finding_id", F.concat(F.lit("values_"), F.lower("kind")).alias("section"),
         F.col("value").alias("sort_key"), F.to_json(F.struct("value")).alias("item"),
     )
-    hints = search_hints(findings, values, evidence, events).select(
-        "finding_id", F.lit("search_hints").alias("section"),
+    hints = search_hints(findings, values, evidence.drop("priority"), events).join(keys, "finding_id").select(
+        "priority", "finding_id", F.lit("search_hints").alias("section"),
         F.format_string("%04d", "position").alias("sort_key"), F.to_json(F.struct("hint")).alias("item"),
     )
     rows = header
     for part in (source_rows, evidence_rows, edge_rows, value_rows, hints):
         rows = rows.unionByName(part)
-    return salted_join(rows, keys, ["finding_id"], salt_by=["section", "sort_key", "item"]).select(
-        "priority", "finding_id", "section", "sort_key", "item"
-    )
+    return rows
+
+
+def _with_priority(rows: DataFrame, keys: DataFrame, salt_by: list[str]) -> DataFrame:
+    return salted_join(rows, keys, ["finding_id"], salt_by=salt_by)
 
 
 def write_context(items: DataFrame, path: str) -> None:
