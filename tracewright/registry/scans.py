@@ -125,7 +125,10 @@ def scan_shortcut(spark, sf_dir):
 )
 def adapter_union(spark, sf_dir):
     """Four tools' outputs as one event table; every event has a key of its own."""
-    events = I.first_by_uid(I.normalize(spark, _inputs(spark, sf_dir, ("mftecmd", "evtxecmd", "recmd", "lecmd")), CASE))
+    events = I.normalize(spark, _inputs(spark, sf_dir, ("mftecmd", "evtxecmd", "recmd", "lecmd")), CASE)
+    # The first of a uid is told by whole rows, which the planner cannot narrow: only what is counted goes in.
+    row = F.struct("provenance.source_row").alias("provenance")
+    events = I.first_by_uid(events.select("event_uid", "source_tool", "artifact_type", "timestamp", row))
     return events.groupBy("source_tool", "artifact_type").agg(F.count(F.lit(1)).alias("n"), F.min("timestamp").alias("first"))
 
 
