@@ -24,14 +24,21 @@ CLOSE_CANDIDATES = 2  # of a line with close candidates, those that are verified
 HOT_RUN = 50_000  # lines with one rare word that one task compares
 SLICE_BYTES = 1 << 18  # of text hashed at a time
 KEPT_KEYS = 100_000  # line keys that a task remembers
+SLICE_BITS = 16  # word counts move in slices of 2**SLICE_BITS hash values
+BLOCK_ENTRIES = 1 << 17  # entries that a task holds before it hands them on
+BUCKET_LINES = 20_000  # lines of the corpus for each bucket of words
 
 # UTF-8 of runs of Thai, Lao, Myanmar, Khmer, kana and Han characters, which are written without blanks.
 UNSPACED = re.compile(
     rb"(?:\xe0[\xb8-\xbb][\x80-\xbf]|\xe1(?:[\x80\x81\x9e\x9f][\x80-\xbf]|\x82[\x80-\x9f])"
     rb"|\xe3(?:\x81|\x82|\x83|[\x90-\xbf])[\x80-\xbf]|[\xe4-\xe9][\x80-\xbf]{2}|\xef[\xa4-\xab][\x80-\xbf]|\xf0[\xa0-\xb3][\x80-\xbf]{2})+"
 )
+# Every such run lies in a run of these bytes, which are found faster.
+HIGH = re.compile(rb"[\xe0\xe1\xe3-\xe9\xef\xf0][\x80-\xbf\xe0\xe1\xe3-\xe9\xef\xf0]*")
 
 ENTRY = "token long, doc long, line int, n int, pos int, s1 long, s2 long, kind long, probe boolean"
+ENTRY_TYPES = ("<i8", "<i8", "<i4", "<i4", "<i4", "<i8", "<i8", "<i8", "?")
+BLOCK = "bucket int, rows int, data binary"
 PAIR = "x_doc long, x_line int, y_doc long, y_line int, more boolean"
 
 
@@ -70,11 +77,13 @@ def word_hashes(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     all of them at once; it depends on the word alone.
     """
     codes = np.frombuffer(data, np.uint8)
-    inside = ~((codes == 32) | ((codes >= 9) & (codes <= 13)))
-    edges = np.flatnonzero(np.diff(np.r_[False, inside, False].astype(np.int8)))
+    inside = np.zeros(len(codes) + 2, bool)
+    inside[1:-1] = ~((codes == 32) | ((codes >= 9) & (codes <= 13)))
+    edges = np.flatnonzero(inside[1:] != inside[:-1])
     starts, ends = edges[::2], edges[1::2]
     up, down = _powers(1 << max(SLICE_BYTES.bit_length() + 2, len(codes).bit_length()))
-    sums = np.r_[np.uint64(0), np.cumsum((codes.astype(np.uint64) + np.uint64(1)) * up[: len(codes)])]
+    sums = np.zeros(len(codes) + 1, np.uint64)
+    np.cumsum((codes.astype(np.uint64) + np.uint64(1)) * up[: len(codes)], out=sums[1:])
     return _mixed((sums[ends] - sums[starts]) * down[starts]), starts, np.flatnonzero(codes == 10)
 
 
@@ -85,7 +94,7 @@ def _pairs_of(match: re.Match) -> bytes:
 
 def spaced(text: bytes) -> bytes:
     """``text`` with every run of a script without blanks as its overlapping pairs of characters; lines stay."""
-    return text if text.isascii() else UNSPACED.sub(_pairs_of, text)
+    return text if text.isascii() else HIGH.sub(lambda run: UNSPACED.sub(_pairs_of, run[0]), text)
 
 
 def _segments(batches) -> Iterator[tuple[int, int, bytes, bool]]:
@@ -138,7 +147,8 @@ def line_slices(batches) -> Iterator[Lines]:
         for start in _groups(texts):
             hashes, begins, breaks = word_hashes(b"\n".join(texts[start]).lower())
             words.append(hashes)
-            line.append(np.searchsorted(breaks, begins) + done)
+            ends = np.r_[0, np.searchsorted(begins, breaks), len(begins)]
+            line.append(np.repeat(np.arange(done, done + len(breaks) + 1), np.diff(ends)))
             done += len(breaks) + 1
         words, line = np.concatenate(words), (np.cumsum(merged) - 1)[np.concatenate(line)]
         doc, number = np.array(docs, np.int64)[segment][merged], number[merged]
@@ -174,6 +184,8 @@ def _class_keys(lines: Lines) -> tuple[np.ndarray, np.ndarray]:
 
 def _enough(lines: Lines, least: int) -> np.ndarray:
     """Which lines have ``least`` different words; the few that a sketch leaves open are counted."""
+    if least <= 1:
+        return np.ones(len(lines.doc), bool)
     starts = _starts(lines.line)
     sketch = np.bitwise_count(np.bitwise_or.reduceat(np.uint64(1) << (lines.words & np.uint64(63)), starts))
     enough = sketch >= least
@@ -188,22 +200,46 @@ def _slots(words: np.ndarray, count_bits: int) -> np.ndarray:
 
 
 def _profile(batches, target: pa.Schema, least: int, count_bits: int):
-    """Lines with the key of their words, then how many words fell to each hash value."""
+    """Lines with the key of their words, then how many words fell to each hash value, in slices of hash values."""
     counts = np.zeros(1 << count_bits, np.uint32)
     for lines in line_slices(batches):
-        slots, times = np.unique(_slots(lines.words, count_bits), return_counts=True)
-        counts[slots] += times.astype(np.uint32)
+        np.add.at(counts, _slots(lines.words, count_bits), np.uint32(1))
         a, b = _class_keys(lines)
         kept = np.flatnonzero(_enough(lines, least))
         nothing = pa.nulls(len(kept), pa.int32())
         columns = [lines.doc[kept], lines.number[kept], a[kept].view(np.int64), b[kept].view(np.int64)]
-        yield pa.RecordBatch.from_arrays([*map(pa.array, columns), nothing, nothing.cast(pa.int64())], schema=target)
-    used = np.flatnonzero(counts)
-    for start in range(0, len(used), 1 << 16):
-        part = used[start : start + (1 << 16)]
-        nothing = pa.nulls(len(part), pa.int64())
-        columns = [nothing, nothing.cast(pa.int32()), nothing, nothing, pa.array(part.astype(np.int32)), pa.array(counts[part].astype(np.int64))]
-        yield pa.RecordBatch.from_arrays(columns, schema=target)
+        yield pa.RecordBatch.from_arrays([*map(pa.array, columns), nothing, pa.nulls(len(kept), pa.binary())], schema=target)
+    for number in range(-(-len(counts) >> SLICE_BITS)):
+        part = counts[number << SLICE_BITS : number + 1 << SLICE_BITS]
+        used = np.flatnonzero(part)
+        if len(used):
+            data = used.astype("<u2").tobytes() + part[used].astype("<u4").tobytes()
+            yield pa.RecordBatch.from_pylist([{"slice": number, "counts": data}], schema=target)
+
+
+def _levels(batches, target: pa.Schema):
+    """Rarity levels of the hash values of each slice, a byte each, from the counts of all tasks."""
+    sums: dict[int, np.ndarray] = {}
+    for batch in batches:
+        for number, data in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+            data = data.as_buffer()
+            size = len(data) // 6
+            total = sums.setdefault(number, np.zeros(1 << SLICE_BITS, np.int64))
+            total[np.frombuffer(data, "<u2", size)] += np.frombuffer(data, "<u4", size, size * 2)
+    for number, total in sums.items():
+        level = np.minimum(255, np.ceil(np.log2(np.maximum(total, 1)) * 6)).astype(np.uint8)
+        yield pa.RecordBatch.from_pylist([{"slice": number, "level": level.tobytes()}], schema=target)
+
+
+def _ranks(counts: DataFrame, count_bits: int) -> np.ndarray:
+    """Level of every hash value from (slice, counts) rows: 0 for words that occur once, more for frequent ones."""
+    schema = "slice int, level binary"
+    target = arrow_schema(schema)
+    found = map_arrow(counts.repartition("slice"), lambda batches: _levels(batches, target), schema).toArrow()
+    rank = np.zeros(max(1 << count_bits, 1 << SLICE_BITS), np.uint8)
+    for number, level in zip(found["slice"].to_pylist(), found["level"], strict=True):
+        rank[number << SLICE_BITS : number + 1 << SLICE_BITS] = np.frombuffer(level.as_buffer(), np.uint8)
+    return rank[: 1 << count_bits]
 
 
 def prefix_size(n: np.ndarray, threshold: float) -> np.ndarray:
@@ -234,6 +270,13 @@ def _entries(batches, target: pa.Schema, rank, threshold: float, least: int, pla
     """
     first: dict[tuple[int, int], tuple[int, int]] = {}
     for lines in line_slices(batches):
+        if tokens is not None:
+            hit = np.zeros(len(lines.doc), bool)
+            hit[lines.line[tokens.value.holds(lines.words)]] = True
+            if not hit.any():
+                continue
+            kept = hit[lines.line]
+            lines = Lines(lines.doc[hit], lines.number[hit], lines.words[kept], (np.cumsum(hit) - 1)[lines.line[kept]])
         words, line, position, n, ranks = _sets(lines, rank.value)
         a, b = _class_keys(lines)
         kind = _mixed(a ^ _mixed(b))
@@ -250,8 +293,9 @@ def _entries(batches, target: pa.Schema, rank, threshold: float, least: int, pla
             first.clear()
         # Parity of the words in each of 2 x 64 bins: lines differ in at least as many words as in bins.
         starts = _starts(line)
-        s1 = np.bitwise_xor.reduceat(np.where(words & np.uint64(64), np.uint64(1) << (words & np.uint64(63)), np.uint64(0)), starts)
-        s2 = np.bitwise_xor.reduceat(np.where(words & np.uint64(64), np.uint64(0), np.uint64(1) << (words & np.uint64(63))), starts)
+        bit = np.uint64(1) << (words & np.uint64(63))
+        half = bit * (words >> np.uint64(6) & np.uint64(1))
+        s1, s2 = np.bitwise_xor.reduceat(half, starts), np.bitwise_xor.reduceat(bit ^ half, starts)
         chosen = (position < prefix_size(n, threshold)[line]) & (ranks > 0) & wanted[line]
         if tokens is not None:
             chosen &= tokens.value.holds(words)
@@ -267,6 +311,40 @@ def _entries(batches, target: pa.Schema, rank, threshold: float, least: int, pla
             yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(c)) for c in columns], schema=target)
 
 
+def _blocks(batches, target: pa.Schema, bits: int):
+    """Entries in blocks: of about BLOCK_ENTRIES of a task, those of each of 2**``bits`` buckets of tokens, column after column."""
+    held: list[list[np.ndarray]] = []
+    size = 0
+
+    def packed() -> pa.RecordBatch:
+        columns = [np.concatenate(c) for c in zip(*held, strict=True)]
+        held.clear()
+        bucket = columns[0].view(np.uint64) >> np.uint64(64 - bits)
+        order = np.argsort(bucket, kind="stable")
+        columns, bucket = [c[order].astype(t, copy=False) for c, t in zip(columns, ENTRY_TYPES, strict=True)], bucket[order]
+        starts = _starts(bucket)
+        ends = np.r_[starts[1:], len(bucket)]
+        data = [b"".join(c[low:high].tobytes() for c in columns) for low, high in zip(starts.tolist(), ends.tolist(), strict=True)]
+        return pa.RecordBatch.from_arrays([pa.array(bucket[starts].astype(np.int32)), pa.array((ends - starts).astype(np.int32)), pa.array(data, pa.binary())], schema=target)
+
+    for batch in batches:
+        held.append([c.to_numpy(zero_copy_only=False) for c in batch.columns])
+        size += batch.num_rows
+        if size >= BLOCK_ENTRIES:
+            yield packed()
+            size = 0
+    if held:
+        yield packed()
+
+
+def _unpacked(rows: int, data: pa.Buffer) -> list[np.ndarray]:
+    out, at = [], 0
+    for kind in map(np.dtype, ENTRY_TYPES):
+        out.append(np.frombuffer(data, kind, rows, at))
+        at += rows * kind.itemsize
+    return out
+
+
 def _run_pairs(entries: dict[str, np.ndarray], threshold: float, limit: int | None):
     """Candidate pairs (x later, y earlier) of runs of one token, after the length, position and parity bounds.
 
@@ -326,77 +404,104 @@ def _first_pairs(entries: dict[str, np.ndarray], threshold: float, limit: int |
     return x, y, more
 
 
-def _candidates(batches, target: pa.Schema, threshold: float, limit: int | None, hot_run: int | None):
-    """Candidate pairs of sorted entries; a run over ``hot_run`` lines is handed on as entries (y and more null)."""
-    names = [f.split()[0] for f in ENTRY.split(", ")]
+def _pair_batch(columns: list[np.ndarray], target: pa.Schema, threshold: float, limit: int | None) -> Iterator[pa.RecordBatch]:
+    """Candidate pairs of whole runs of sorted entries."""
+    entries = dict(zip(_names(ENTRY), columns, strict=True))
+    x, y, more = _run_pairs(entries, threshold, limit)
+    if len(x):
+        out = [entries["doc"][x], entries["line"][x], entries["doc"][y], entries["line"][y], more[x]]
+        blank = [pa.nulls(len(x), f.type) for f in list(target)[5:]]
+        yield pa.RecordBatch.from_arrays([*map(pa.array, out), *blank], schema=target)
+
+
+def _candidates(batches, target: pa.Schema, threshold: float, limit: int | None):
+    """Candidate pairs of entries sorted by token, doc and line."""
+    held: list[list[np.ndarray]] = []
+    rows = 0
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        held.append([c.to_numpy(zero_copy_only=False) for c in batch.columns])
+        rows += batch.num_rows
+        if rows < HOT_RUN // 4:
+            continue
+        columns = [np.concatenate(c) for c in zip(*held, strict=True)]
+        split = int(np.flatnonzero(columns[0] == columns[0][-1])[0])
+        if split:
+            yield from _pair_batch([c[:split] for c in columns], target, threshold, limit)
+        held = [[c[split:] for c in columns]]
+        rows -= split
+    if held:
+        yield from _pair_batch([np.concatenate(c) for c in zip(*held, strict=True)], target, threshold, limit)
+
+
+def _block_candidates(batches, target: pa.Schema, threshold: float, limit: int | None, hot_run: int):
+    """Candidate pairs of blocks sorted by bucket; entries of a token in over ``hot_run`` lines are handed on (y and more null)."""
     held: list[list[np.ndarray]] = []
-    rows, hot = 0, None
-
-    def pairs(columns):
-        entries = dict(zip(names, columns, strict=True))
-        x, y, more = _run_pairs(entries, threshold, limit)
-        if len(x):
-            out = [entries["doc"][x], entries["line"][x], entries["doc"][y], entries["line"][y], more[x]]
-            blank = [pa.nulls(len(x), f.type) for f in target][5:]
-            yield pa.RecordBatch.from_arrays([*map(pa.array, out), *blank], schema=target)
-
-    def handed(columns):
-        entries = dict(zip(names, columns, strict=True))
+    rows, now, hot = 0, None, np.zeros(0, np.int64)
+    room = 4 * hot_run
+
+    def handed(columns: list[np.ndarray]) -> pa.RecordBatch:
+        entries = dict(zip(_names(ENTRY), columns, strict=True))
         size = len(entries["doc"])
         out = [pa.array(entries["doc"]), pa.array(entries["line"]), *(pa.nulls(size, f.type) for f in list(target)[2:5])]
         out += [pa.array(np.ascontiguousarray(entries[k])) for k in ("token", "n", "pos", "s1", "s2", "kind", "probe")]
         return pa.RecordBatch.from_arrays(out, schema=target)
 
-    def joined():
-        out = [np.concatenate(c) for c in zip(*held, strict=True)]
+    def parted() -> tuple[list[np.ndarray], list[np.ndarray]]:
+        """The entries held that are hot, and the others."""
+        nonlocal hot
+        columns = [np.concatenate(c) for c in zip(*held, strict=True)]
         held.clear()
-        return out
+        token, count = np.unique(columns[0], return_counts=True)
+        hot = np.union1d(hot, token[count > hot_run])
+        is_hot = np.isin(columns[0], hot) if len(hot) else np.zeros(len(columns[0]), bool)
+        return [c[is_hot] for c in columns], [c[~is_hot] for c in columns] if is_hot.any() else columns
+
+    def bucket_pairs():
+        over, columns = parted()
+        if len(over[0]):
+            yield handed(over)
+        order = np.lexsort((columns[2], columns[1], columns[0]))
+        if len(order):
+            yield from _pair_batch([c[order] for c in columns], target, threshold, limit)
 
     for batch in batches:
-        columns = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
-        if not len(columns[0]):
-            continue
-        token = columns[0]
-        if hot is not None:
-            same = token == hot
-            if same.any():
-                yield handed([c[same] for c in columns])
-            columns = [c[~same] for c in columns]
-            if not len(columns[0]):
-                continue
-            hot, token = None, columns[0]
-        held.append(columns)
-        rows += len(token)
-        last = token[-1]
-        if rows < HOT_RUN // 4 and (hot_run is None or rows <= hot_run):
-            continue
-        columns = joined()
-        split = int(np.flatnonzero(columns[0] == last)[0])
-        if split:
-            yield from pairs([c[:split] for c in columns])
-        tail = [c[split:] for c in columns]
-        rows = len(tail[0])
-        if hot_run is not None and rows > hot_run:
-            yield handed(tail)
-            hot, rows = last, 0
-        else:
-            held.append(tail)
+        for bucket, size, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
+            if bucket != now:
+                if held:
+                    yield from bucket_pairs()
+                    held.clear()
+                now, rows, hot, room = bucket, 0, hot[:0], 4 * hot_run
+            held.append(_unpacked(size, data.as_buffer()))
+            rows += size
+            if rows > room:
+                over, columns = parted()
+                if len(over[0]):
+                    yield handed(over)
+                held.append(columns)
+                rows = len(columns[0])
+                room = max(room, 2 * rows)
     if held:
-        yield from pairs(joined())
+        yield from bucket_pairs()
 
 
-def _candidate_pairs(entries: DataFrame, threshold: float, limit: int | None, hot_run: int) -> DataFrame:
-    """PAIR rows of ``entries``; runs over ``hot_run`` lines are dealt to cells of two parts and compared there."""
-    names = [f.split()[0] for f in ENTRY.split(", ")]
-    schema = f"{PAIR}, token long, n int, pos int, s1 long, s2 long, kind long, probe boolean"
-    target = arrow_schema(schema)
+def _names(schema: str) -> list[str]:
+    return [f.split()[0] for f in schema.split(", ")]
+
 
-    def compared(frame: DataFrame, hot: int | None) -> DataFrame:
-        ordered = frame.repartition("token").sortWithinPartitions("token", "doc", "line").select(*names)
-        return map_arrow(ordered, lambda batches: _candidates(batches, target, threshold, limit, hot), schema)
+def _candidate_pairs(texts: DataFrame, made, threshold: float, limit: int | None, hot_run: int, bits: int) -> DataFrame:
+    """PAIR rows of the entries that ``made`` makes of batches of ``texts``.
 
-    found = cut_lineage(compared(entries, hot_run))
-    pair_names = [f.split()[0] for f in PAIR.split(", ")]
+    They move as blocks, one row for the entries of a task in a bucket. Tokens in over ``hot_run`` lines are dealt to cells
+    of two parts and compared there.
+    """
+    schema = f"{PAIR}, token long, n int, pos int, s1 long, s2 long, kind long, probe boolean"
+    target, block = arrow_schema(schema), arrow_schema(BLOCK)
+    blocks = map_arrow(texts, lambda batches: _blocks(made(batches), block, bits), BLOCK)
+    dealt = blocks.repartition("bucket").sortWithinPartitions("bucket")
+    found = cut_lineage(map_arrow(dealt, lambda batches: _block_candidates(batches, target, threshold, limit, hot_run), schema))
+    names, pair_names = _names(ENTRY), _names(PAIR)
     pairs = found.filter("y_doc is not null").select(*pair_names)
     handed = found.filter("token is not null").withColumnsRenamed({"x_doc": "doc", "x_line": "line"}).select(*names)
     if handed.isEmpty():
@@ -405,7 +510,8 @@ def _candidate_pairs(entries: DataFrame, threshold: float, limit: int | None, ho
     own = F.pmod(F.xxhash64("doc", "line"), F.col("parts")).cast("int")
     celled = handed.join(parts, "token").withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     cells = celled.withColumn("token", F.xxhash64("token", F.least("own", "other"), F.greatest("own", "other")))
-    return pairs.unionByName(compared(cells.select(*names), None).select(*pair_names))
+    ordered = cells.repartition("token").sortWithinPartitions("token", "doc", "line").select(*names)
+    return pairs.unionByName(map_arrow(ordered, lambda batches: _candidates(batches, target, threshold, limit), schema).select(*pair_names))
 
 
 class HashFilter:
@@ -444,17 +550,18 @@ def _word_sets(docs: DataFrame, needed) -> DataFrame:
 
     def work(columns: list[list]) -> list[list]:
         out = [[], [], []]
-        for name, text in zip(*columns, strict=True):
-            if name is None or text is None:
-                continue
-            count = text.count(b"\n") + 1
-            chosen = np.flatnonzero(needed.value.holds(place_hashes(np.full(count, name, np.int64), np.arange(count))))
-            if len(chosen):
-                lines = text.split(b"\n")
-                for k in chosen.tolist():
-                    out[0].append(name)
-                    out[1].append(k)
-                    out[2].append([w.decode() for w in dict.fromkeys(spaced(lines[k]).lower().split())])
+        rows = [(name, text) for name, text in zip(*columns, strict=True) if name is not None and text is not None]
+        sizes = np.array([text.count(b"\n") + 1 for _, text in rows], np.int64)
+        row = np.repeat(np.arange(len(rows)), sizes)
+        line = np.arange(len(row)) - (np.cumsum(sizes) - sizes)[row]
+        chosen = np.flatnonzero(needed.value.holds(place_hashes(np.array([name for name, _ in rows], np.int64)[row], line)))
+        at, lines = None, []
+        for i, k in zip(row[chosen].tolist(), line[chosen].tolist(), strict=True):
+            if i != at:
+                at, lines = i, rows[i][1].split(b"\n")
+            out[0].append(rows[i][0])
+            out[1].append(k)
+            out[2].append([w.decode() for w in dict.fromkeys(spaced(lines[k]).lower().split())])
         return out
 
     return map_columns(docs, "doc long, line int, words array<string>", work)
@@ -510,22 +617,21 @@ def duplicate_lines(
     spark = docs.sparkSession
     texts = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).cast("binary").alias("text"))
     copied = least_words if copied_words is None else min(copied_words, least_words)
-    schema = "doc long, line int, a long, b long, value int, n long"
+    schema = "doc long, line int, a long, b long, slice int, counts binary"
     shape = arrow_schema(schema)
     profile = cut_lineage(map_arrow(texts, lambda batches: _profile(batches, shape, copied, count_bits), schema))
-    keyed = profile.filter("value is null").select("doc", "line", "a", "b")
+    keyed = profile.filter("slice is null").select("doc", "line", "a", "b")
     firsts = keyed.groupBy("a", "b").agg(F.min(F.struct("doc", "line")).alias("first"), F.count(F.lit(1)).alias("copies"))
     copies = keyed.join(firsts.filter("copies > 1"), ["a", "b"]).filter(F.struct("doc", "line") > F.col("first")).select("doc", "line")
 
-    counts = profile.filter("value is not null").groupBy("value").agg(F.sum("n").alias("n"))
-    level = counts.select("value", F.least(F.lit(255), F.ceil(F.log2("n") * 6)).cast("int").alias("level")).toArrow()
-    rank = np.zeros(1 << count_bits, np.uint8)
-    rank[level["value"].to_numpy()] = level["level"].to_numpy().astype(np.uint8)
-    ranks = spark.sparkContext.broadcast(rank)
+    ranks = spark.sparkContext.broadcast(_ranks(profile.filter("slice is not null").select("slice", "counts"), count_bits))
     target = arrow_schema(ENTRY)
-    entries = map_arrow(texts, lambda batches: _entries(batches, target, ranks, threshold, least_words), ENTRY)
+    bits = min(16, max(4, (keyed.count() // BUCKET_LINES).bit_length()))
+
+    def entries(batches):
+        return _entries(batches, target, ranks, threshold, least_words)
 
-    pairs = _candidate_pairs(entries, threshold, first_candidates, hot_run)
+    pairs = _candidate_pairs(texts, entries, threshold, first_candidates, hot_run, bits)
     pairs = pairs.groupBy("x_doc", "x_line", "y_doc", "y_line").agg(F.max("more").alias("more"))
     checked = cut_lineage(_verified(pairs, texts, threshold))
     near = checked.filter("similar").select(F.col("x_doc").alias("doc"), F.col("x_line").alias("line"))
@@ -538,8 +644,11 @@ def duplicate_lines(
         asking = texts.join(open_lines.select("doc").distinct(), "doc", "left_semi").select("doc", "text")
         asked = map_arrow(asking, lambda batches: _entries(batches, target, ranks, threshold, least_words, at), ENTRY)
         words = spark.sparkContext.broadcast(HashFilter(asked.select("token").distinct()))
-        rest = map_arrow(texts, lambda batches: _entries(batches, target, ranks, threshold, least_words, at, words), ENTRY)
-        further = _candidate_pairs(rest, threshold, None, hot_run).drop("more").distinct().withColumn("more", F.lit(False))
+
+        def rest(batches):
+            return _entries(batches, target, ranks, threshold, least_words, at, words)
+
+        further = _candidate_pairs(texts, rest, threshold, None, hot_run, bits).drop("more").distinct().withColumn("more", F.lit(False))
         again = _verified(further, texts, threshold).filter("similar")
         near = near.unionByName(again.select(F.col("x_doc").alias("doc"), F.col("x_line").alias("line")))
     return copies.unionByName(near).distinct()
