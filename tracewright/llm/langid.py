@@ -19,6 +19,7 @@ ORDERS = 3  # n-grams of one to three characters
 SAMPLE_ROWS = 2000  # labelled rows that a fit sees at most
 RIDGE = 0.02
 STEP = 512  # features of the planes worked out at a time
+BLOCK = 128  # rows of the kernel worked out at a time
 SLOPE = 6.0  # of the score over decoding distances
 AMBIGUOUS = 0.05  # relative gap of the two nearest codewords below which a text is ambiguous
 EXHAUSTIVE = 7  # up to so many languages every split of them is a bit
@@ -103,6 +104,21 @@ class LanguageModel:
         return names, scores, unsure
 
 
+def invert(matrix: np.ndarray) -> None:
+    """Put the inverse of a symmetric positive definite matrix in its place, by Gauss-Jordan steps of BLOCK rows."""
+    size = len(matrix)
+    for low in range(0, size, BLOCK):
+        own = slice(low, min(low + BLOCK, size))
+        pivot = np.linalg.inv(matrix[own, own])
+        rows, columns = pivot @ matrix[own], matrix[:, own].copy()
+        rows[:, own] = pivot
+        matrix[:, own] = 0
+        for at in range(0, size, BLOCK):
+            if at != low:
+                matrix[at : at + BLOCK] -= columns[at : at + BLOCK] @ rows
+        matrix[own] = rows
+
+
 def fit(vectors: np.ndarray, labels: list[str]) -> LanguageModel:
     """Ridge classifiers for every bit; a bit's weight for a language is its leave-one-out accuracy there."""
     languages = sorted(set(labels))
@@ -112,15 +128,16 @@ def fit(vectors: np.ndarray, labels: list[str]) -> LanguageModel:
         return LanguageModel(languages, codes, codes, empty, np.zeros(0, np.float32))
     of = np.array([languages.index(x) for x in labels])
     target = codes[of].astype(np.float64)
-    # In place, and without a copy that outlives its use: the driver holds this beside Spark.
-    kernel = (vectors @ vectors.T).astype(np.float64)
+    # In place and by blocks of rows, without a copy of the kernel: the driver holds this beside Spark.
+    kernel = np.empty((len(labels), len(labels)))
+    for at in range(0, len(labels), BLOCK):
+        kernel[at : at + BLOCK] = vectors[at : at + BLOCK] @ vectors.T
     kernel += 1.0
     kernel[np.diag_indices_from(kernel)] += RIDGE * len(labels) / 100
-    inverse = np.linalg.inv(kernel)
+    invert(kernel)
+    dual = kernel @ target
+    left_out = target - dual / np.diag(kernel)[:, None]
     del kernel
-    dual = inverse @ target
-    left_out = target - dual / np.diag(inverse)[:, None]
-    del inverse
     right = left_out * target > 0
     weights = np.stack([(right[of == c].sum(axis=0) + 1) / ((of == c).sum() + 2) for c in range(len(languages))])
     weights /= weights.sum(axis=1, keepdims=True)
@@ -136,8 +153,8 @@ def learn(
     """Fit on at most ``sample_rows`` rows with a language, as many of each, taken by a hash of their id.
 
     The choice reads ids and languages of all rows; only the chosen rows' texts
-    are read. The driver gets one vector of BUCKETS floats per chosen row. Rows
-    whose text is null or has no letter teach nothing.
+    are read. The driver gets one vector per chosen row, as its places and values
+    other than zero. Rows whose text is null or has no letter teach nothing.
     """
     known = labelled.filter(F.col(lang_col).isNotNull() & F.col(id_col).isNotNull())
     kinds = known.groupBy(lang_col).count().limit(sample_rows).count()
@@ -147,19 +164,24 @@ def learn(
     chosen = hash_sample(keys, "_lang", "_id", max(1, sample_rows // kinds)).select("_id").distinct()
     texts = known.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"), F.col(lang_col).alias("_lang"))
     texts = texts.join(F.broadcast(chosen), "_id").dropDuplicates(["_id"]).select("_lang", "_text")
-    rows = map_columns(texts, "lang string, vector binary", _vector_rows).limit(sample_rows).toArrow()
+    rows = map_columns(texts, "lang string, places binary, found binary", _vector_rows).limit(sample_rows).toArrow()
     labels = rows["lang"].to_pylist()
     vectors = np.zeros((len(labels), BUCKETS), np.float32)
-    for at, vector in enumerate(rows["vector"]):
-        vectors[at] = np.frombuffer(vector.as_buffer(), np.float32)
+    for at, (places, found) in enumerate(zip(rows["places"], rows["found"], strict=True)):
+        vectors[at, np.frombuffer(places.as_buffer(), "<u2")] = np.frombuffer(found.as_buffer(), "<f4")
     del rows
     pa.default_memory_pool().release_unused()
     return fit(vectors, labels)
 
 
 def _vector_rows(columns: list[list]) -> list[list]:
-    found = [(lang, f.tobytes()) for lang, f in zip(columns[0], map(features, columns[1]), strict=True) if f is not None]
-    return [[x for x, _ in found], [x for _, x in found]]
+    out: list[list] = [[], [], []]
+    for lang, vector in zip(columns[0], map(features, columns[1]), strict=True):
+        if vector is not None:
+            places = np.flatnonzero(vector)
+            for column, value in zip(out, (lang, places.astype("<u2").tobytes(), vector[places].astype("<f4").tobytes()), strict=True):
+                column.append(value)
+    return out
 
 
 def identify(docs: DataFrame, model: LanguageModel, id_col: str = "doc_id", text_col: str = "text", *, carry: bool = False) -> DataFrame:
