@@ -36,9 +36,9 @@ def read_results(spark: SparkSession, path: str, schema: T.StructType | str) ->
     )
 
 
-def write_events_jsonl(events: DataFrame, path: str) -> None:
-    """Normalized events as JSON lines; an existing output is an error."""
-    events.write.mode("errorifexists").option("ignoreNullFields", "false").json(path)
+def write_events_jsonl(events: DataFrame, path: str, *, compression: str | None = None) -> None:
+    """Normalized events as JSON lines, compressed if ``compression`` names how; an existing output is an error."""
+    events.write.mode("errorifexists").option("ignoreNullFields", "false").json(path, compression=compression)
 
 
 def write_table(df: DataFrame, path: str, *, by: list[str] | None = None) -> None:
