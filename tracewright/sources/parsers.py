@@ -144,14 +144,19 @@ def plain_path(url: Column) -> Column:
     return F.url_decode(F.regexp_replace(url, r"\+", "%2B"))
 
 
-def files_by_header(spark: SparkSession, paths: str | list[str]) -> dict[str, list[str]]:
-    """Files grouped by their first line; one line per file reaches the driver, like a listing."""
+def first_lines(spark: SparkSession, paths: str | list[str]) -> DataFrame:
+    """(file, header): the first line of every file with a line. Numbers tell which it is, so no line is sorted for it."""
     lines = spark.read.text(paths).select(
-        "value", plain_path(F.col("_metadata.file_path")).alias("file"),
-        F.struct(F.col("_metadata.file_block_start").alias("start"), F.monotonically_increasing_id().alias("id")).alias("place"),
+        "value", plain_path(F.col("_metadata.file_path")).alias("file"), F.col("_metadata.file_block_start").alias("start"),
+        F.monotonically_increasing_id().alias("id"),
     )
-    first = lines.groupBy("file").agg(F.min_by("value", "place").alias("header"))
-    grouped = first.groupBy("header").agg(F.sort_array(F.collect_list("file")).alias("files"))
+    first = lines.filter("start = 0").groupBy("file").agg(F.min("id").alias("id"))
+    return lines.join(F.broadcast(first.select("id")), "id").select("file", F.col("value").alias("header"))
+
+
+def files_by_header(spark: SparkSession, paths: str | list[str]) -> dict[str, list[str]]:
+    """Files grouped by their first line; one line per file reaches the driver, like a listing."""
+    grouped = first_lines(spark, paths).groupBy("header").agg(F.sort_array(F.collect_list("file")).alias("files"))
     return {row["header"]: row["files"] for row in sorted(grouped.collect(), key=lambda row: row["files"])}
 
 
