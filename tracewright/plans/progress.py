@@ -74,8 +74,9 @@ def line_progress(
     parts = range_parts(lines.filter(F.trim(F.col(line)) != "").withColumn("detected", index), [by], order)
     seen = running(parts, [by], order, before=True, _before=("max", F.col("detected"))).drop(PART)
     if carried is not None:
-        seen = seen.join(carried.select(by, F.col("reached").alias("_reached")), by, "left")
-        seen = seen.withColumn("_before", F.greatest("_before", "_reached")).drop("_reached")
+        earlier = carried.select(F.col(by).alias("_case"), F.col("reached").alias("_reached"))
+        seen = seen.join(earlier, F.col(by).eqNullSafe(F.col("_case")), "left")
+        seen = seen.withColumn("_before", F.greatest("_before", "_reached")).drop("_case", "_reached")
     names = F.array(*[F.lit(p) for p in PHASES])
     reached = F.greatest("_before", "detected")
     started = F.coalesce(F.col("detected") > F.coalesce("_before", F.lit(-1)), F.lit(False))

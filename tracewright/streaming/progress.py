@@ -25,6 +25,27 @@ def stream_lines(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
+def stream_shared_lines(spark: SparkSession, path: str) -> DataFrame:
+    """Lines of log files that many cases share: JSON lines of ``case_id`` and ``line``, with the place they come from.
+
+    The files are rolled by name, so their names alone order them. There are as many files as the writers make, however many
+    cases there are, and a case may go on from one file to the next. What is no such JSON stays as a line of no case.
+    """
+    place, read = F.col("_metadata"), F.from_json("value", "case_id string, line string")
+    odd = read["case_id"].isNull() & read["line"].isNull()
+    return spark.readStream.option("recursiveFileLookup", "true").option("lineSep", "\n").text(path).select(
+        read["case_id"].alias("case_id"), F.when(odd, F.col("value")).otherwise(read["line"]).alias("line"),
+        F.lit(None).cast("timestamp").alias("written"), place["file_path"].alias("file"), place["file_block_start"].alias("start"),
+    )
+
+
+def write_shared_lines(lines: DataFrame, path: str, order: list[str]) -> None:
+    """(case_id, line) as files of :func:`stream_shared_lines`, in ``order`` within a file and from file to file."""
+    row = F.to_json(F.struct("case_id", "line")).alias("value")
+    ranges = lines.repartitionByRange(*order).sortWithinPartitions(*order)
+    ranges.select(row).write.text(path)  # part files are named by the number of their range
+
+
 def start_progress(lines: DataFrame, name: str, checkpoint: str, *, once: bool = False) -> StreamingQuery:
     """Keep one progress row per case in an in-memory table, for a look at few cases."""
     writer = (
@@ -58,7 +79,7 @@ def _append_lines(batch: DataFrame, batch_id: int, table: str) -> None:
 
 
 def start_line_progress(lines: DataFrame, table: str, checkpoint: str, *, once: bool = False) -> StreamingQuery:
-    """Append one progress row per line of :func:`stream_lines` to a parquet table.
+    """Append one progress row per line of :func:`stream_lines` or :func:`stream_shared_lines` to a parquet table.
 
     Lines of one batch come in the order of their files' times and names, then as they stand. What a case has
     reached is read from the table, so it goes on after a restart and a case may have any number of lines; no state is kept per case.
