@@ -117,3 +117,31 @@ def test_long_keys_are_counted_by_a_hash(spark, monkeypatch, how):
     want = left.join(right, ["k"], how)
     rows = lambda df: sorted(map(repr, df.select(*want.columns).collect()))
     assert rows(got) == rows(want) and seen == [[("_slot", "bigint")]]
+
+
+def test_parted_join_is_the_plain_join(spark):
+    rng = random.Random(11)
+    key = lambda: rng.choice([None, "hub", "hub", "side", f"k{rng.randrange(6)}"])
+    left = spark.createDataFrame([(i, key()) for i in range(150)], "a long, k string")
+    right = spark.createDataFrame([(i % 90, key()) for i in range(120)], "b long, k string")
+    want = sorted(tuple(r) for r in left.join(right, ["k"]).collect())
+    for rows in ((7, 11), (7, 10_000), (10_000, 7), (10_000, 10_000)):
+        got = skew.parted_join(left, right, ["k"], left_by=["a"], right_by=["b"], left_rows=rows[0], right_rows=rows[1])
+        assert got.columns == ["k", "a", "b"] and sorted(tuple(r) for r in got.collect()) == want
+
+
+def test_rows_of_a_hub_are_small_when_written(spark, tmp_path):
+    """With more findings than a dictionary of the file format takes, rows come in runs of few of them: their texts are not written again and again."""
+    from tracewright.plans.lookups import incident_edges
+
+    uid = lambda kind: F.sha2(F.concat(F.lit(kind), F.col("id").cast("string")), 256)
+    edges = spark.range(128).select(
+        uid("x").alias("edge_uid"), F.lit("hub").alias("event_uid_a"), uid("e").alias("event_uid_b"), F.lit("R").alias("relationship_type"),
+        F.lit(0.5).alias("score"), F.lit("HIGH").alias("confidence"), F.lit(1.0).alias("time_delta_seconds"),
+    )
+    finding = uid("f").alias("finding_id")
+    held = spark.range(24_000).select(finding, F.lit("hub").alias("event_uid")).unionByName(spark.range(100).select(finding, uid("e").alias("event_uid")))
+    incident_edges(edges, held, rows_per_salt=200, min_bytes=0).select("finding_id", "edge_uid", "score").write.parquet(str(tmp_path / "out"))
+    found = spark.read.parquet(str(tmp_path / "out"))
+    assert found.count() == found.distinct().count() == 24_000 * 128
+    assert sum(f.stat().st_size for f in (tmp_path / "out").glob("*.parquet")) < 24_000 * 128 * 3
